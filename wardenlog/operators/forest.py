@@ -37,6 +37,10 @@ def average_path(n: int) -> float:
 
 
 def _grow(seed: int):
+    # Captured as plain values, so that workers need nothing but numpy and pandas.
+    path_of = [average_path(n) for n in range(SAMPLE + 1)]
+    names = list(NODES.names)
+
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(rows["tree"].iloc[0])
         # Sorted by id: the order in which rows arrive must not matter.
@@ -53,7 +57,7 @@ def _grow(seed: int):
             part = x[idx]
             spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
             if depth >= limit or len(idx) <= 1 or len(spread) == 0:
-                nodes.append([tree, me, -1, 0.0, -1, -1, depth + average_path(len(idx))])
+                nodes.append([tree, me, -1, 0.0, -1, -1, depth + path_of[len(idx)]])
                 continue
             f = int(rng.choice(spread))
             cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
@@ -61,7 +65,7 @@ def _grow(seed: int):
             below = part[:, f] <= cut
             todo.append((idx[~below], depth + 1, (me, 5)))
             todo.append((idx[below], depth + 1, (me, 4)))
-        return pd.DataFrame(nodes, columns=NODES.names)
+        return pd.DataFrame(nodes, columns=names)
 
     return grow
 

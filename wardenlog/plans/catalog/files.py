@@ -1 +1,157 @@
+"""Sources and sinks, exercised by writing the given data and reading it back."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import clean, evaluate, windows
+from ...operators.identity import build_profiles
+from ...schema import EVENT_COLUMNS, LABEL_COLUMNS
+from ...scratch import scratch_path
+from ...sources import access_log as source
+from ...sources import files
+from .. import features as plan
+from .registry import VIEWS, dirty_of, joined, log_of, query, r6, rounded
+from . import cleaning, identity, triage  # noqa: F401  (their views are used here)
+
+
+@query("src1_read_events", """
+SELECT event_id, timestamp, entity_id, command_sequence, geo_lat, bytes_transferred, is_vpn FROM valid""")
+def src1(spark, sf_dir):
+    path = scratch_path(spark, "events")
+    dirty_of(spark, sf_dir).select(EVENT_COLUMNS).write.options(**files.CSV).csv(path)
+    return clean.clean(files.read_events(spark, path)).select(
+        "event_id", "timestamp", "entity_id", "command_sequence", "geo_lat", "bytes_transferred", "is_vpn"
+    )
+
+
+@query("src2_read_labels", "SELECT event_id, label, attack_type, attack_subtype FROM access_log")
+def src2(spark, sf_dir):
+    path = scratch_path(spark, "labels")
+    source.access_log(spark, sf_dir).select("event_id", *LABEL_COLUMNS).write.options(**files.CSV).csv(path)
+    return files.read_labels(spark, path)
+
+
+def profiles_of(log):
+    """Entity profiles with list columns as list literals, derived from the log."""
+    p = build_profiles(log)
+    literal = lambda c: F.concat(F.lit("['"), F.array_join(c, "', '"), F.lit("']"))
+    kinds = log.groupBy("entity_id").agg(
+        F.min("entity_type").alias("entity_type"), F.min("entity_role").alias("entity_role"),
+        F.min("geo_location").alias("primary_geo"), F.min(F.to_date("timestamp")).alias("onboarding_date"),
+        F.min("auth_method").alias("typical_auth_method"),
+    )
+    return p.join(kinds, "entity_id").select(
+        "entity_id", "entity_type", "entity_role", "department", "primary_geo", F.lit("").alias("secondary_geo"),
+        F.col("hour_low").alias("work_hours_start"), F.col("hour_high").alias("work_hours_end"),
+        F.lit("[0, 1, 2, 3, 4]").alias("work_days"), literal("typical_devices").alias("known_devices"),
+        literal("normal_resources").alias("typical_resources"), "typical_auth_method",
+        F.floor("avg_session_duration").alias("avg_session_duration"),
+        F.floor("avg_bytes_transferred").alias("avg_bytes_per_session"), "onboarding_date",
+    )
+
+
+@query("src3_read_profiles", """
+SELECT p.entity_id, p.department, hour_low AS work_hours_start, '0 | 1 | 2 | 3 | 4' AS work_days,
+  typical_devices AS known_devices, normal_resources AS typical_resources, CAST(floor(avg_session_duration) AS BIGINT) AS avg_session_duration
+FROM profile_all p""")
+def src3(spark, sf_dir):
+    path = scratch_path(spark, "profiles")
+    profiles_of(source.access_log(spark, sf_dir)).write.options(**files.CSV).csv(path)
+    return files.read_profiles(spark, path).select(
+        "entity_id", "department", F.col("work_hours_start").cast("bigint").alias("work_hours_start"),
+        joined("work_days"), joined("known_devices"), joined("typical_resources"), "avg_session_duration",
+    )
+
+
+def _engineered_path(spark, sf_dir):
+    path = scratch_path(spark, "engineered")
+    files.write_engineered(plan.engineered(log_of(spark, sf_dir)), path)
+    return path
+
+
+@query("src4_read_engineered", """
+SELECT event_id, CAST(failed_auth_count_1h AS BIGINT) AS failed_auth_count_1h, CAST(risk_multiplier AS BIGINT) AS risk_multiplier
+FROM windowed WHERE CAST(timestamp AS DATE) >= DATE '2024-01-20'""")
+def src4(spark, sf_dir):
+    data = files.read_engineered(spark, _engineered_path(spark, sf_dir))
+    # Only the days asked for and three columns are read.
+    return data.where(F.col("event_date") >= "2024-01-20").select("event_id", "failed_auth_count_1h", "risk_multiplier")
+
+
+@query("snk1_write_engineered", """
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) AS events, CAST(sum(unique_resources_24h) AS BIGINT) AS resources,
+  CAST(sum(off_hours_event_count_7d) AS BIGINT) AS off_hours, CAST(sum(risk_multiplier) AS BIGINT) AS risk,
+  CAST(sum(bytes_total_24h) AS DOUBLE) AS bytes FROM windowed GROUP BY 1""")
+def snk1(spark, sf_dir):
+    data = files.read_engineered(spark, _engineered_path(spark, sf_dir))
+    return data.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("unique_resources_24h").alias("resources"),
+        F.sum("off_hours_event_count_7d").alias("off_hours"), F.sum("risk_multiplier").alias("risk"),
+        F.sum("bytes_total_24h").alias("bytes"),
+    )
+
+
+@query("src5_read_audit_log", "SELECT timestamp, incident_id, previous_status, new_status, analyst, coalesce(remarks, '') AS remarks FROM audit")
+def src5(spark, sf_dir):
+    path = scratch_path(spark, "audit")
+    missing = files.read_audit_log(spark, path)
+    files.append_audit(source.audit(source.access_log(spark, sf_dir)), path)
+    return missing.unionByName(files.read_audit_log(spark, path)).fillna({"remarks": ""})
+
+
+@query("snk2_append_audit", "SELECT incident_id, 2 * count(*) AS actions FROM audit GROUP BY 1")
+def snk2(spark, sf_dir):
+    path = scratch_path(spark, "audit")
+    audit = source.audit(source.access_log(spark, sf_dir))
+    files.append_audit(audit, path)
+    files.append_audit(audit, path)
+    return files.read_audit_log(spark, path).groupBy("incident_id").agg(F.count(F.lit(1)).alias("actions"))
+
+
+@query("src6_lookup_dimensions", """
+SELECT geo_location, geo_lat, geo_lon, count(*) AS events, count(DISTINCT resource_category) AS categories,
+  count(*) FILTER (WHERE device_os <> 'Windows 12') AS with_agent FROM log GROUP BY 1, 2, 3""")
+def src6(spark, sf_dir):
+    log = source.access_log(spark, sf_dir).drop("geo_lat", "geo_lon", "user_agent")
+    # Fixed tables of at most 52 rows.
+    placed = log.join(F.broadcast(files.places(spark)), "geo_location", "left").join(
+        F.broadcast(files.user_agents(spark)), "device_os", "left"
+    ).join(F.broadcast(files.resources(spark).select("resource_category").distinct()), "resource_category", "left_semi")
+    return placed.groupBy("geo_location", "geo_lat", "geo_lon").agg(
+        F.count(F.lit(1)).alias("events"), F.count_distinct("resource_category").alias("categories"),
+        F.count("user_agent").alias("with_agent"),
+    )
+
+
+@query("snk3_export_csv", """
+SELECT 'entity_profiles' AS name, count(DISTINCT entity_id) AS exported FROM log
+UNION ALL SELECT 'events', count(*) FROM log UNION ALL SELECT 'labels', count(*) FROM log""")
+def snk3(spark, sf_dir):
+    path = scratch_path(spark, "export")
+    log = source.access_log(spark, sf_dir)
+    files.export_csv(log.select(EVENT_COLUMNS), log.select("event_id", *LABEL_COLUMNS), profiles_of(log), path)
+    back = [
+        ("entity_profiles", files.read_profiles(spark, f"{path}/entity_profiles")),
+        ("events", files.read_events(spark, f"{path}/events")),
+        ("labels", files.read_labels(spark, f"{path}/labels")),
+    ]
+    counts = [df.agg(F.count("entity_id" if n != "labels" else "event_id").alias("exported")).select(
+        F.lit(n).alias("name"), "exported") for n, df in back]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("snk6_evaluation_report", """
+SELECT metric, format('{:<24} {:.4f}', metric, value) AS line FROM (
+  SELECT unnest(['total_samples', 'actual_anomalies', 'predicted_anomalies', 'tp', 'fp', 'tn', 'fn']) AS metric,
+    unnest([CAST(n AS DOUBLE), tp + fn, tp + fp, tp, fp, tn, fn]) AS value
+  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE h AND t) AS tp, count(*) FILTER (WHERE h AND NOT t) AS fp,
+    count(*) FILTER (WHERE NOT h AND NOT t) AS tn, count(*) FILTER (WHERE NOT h AND t) AS fn
+    FROM (SELECT anomaly_score >= 0.7 AS h, label = 'anomaly' AS t FROM scored) q) c) m""")
+def snk6(spark, sf_dir):
+    path = scratch_path(spark, "metrics")
+    metrics = evaluate.long_metrics(evaluate.binary_metrics(source.scored(source.access_log(spark, sf_dir)), 0.7))
+    files.write_metrics(metrics, path)
+    back = spark.read.schema("metric string, value double").json(path)
+    counts = ["total_samples", "actual_anomalies", "predicted_anomalies", "tp", "fp", "tn", "fn"]
+    return evaluate.report_text(back.where(F.col("metric").isin(counts)))

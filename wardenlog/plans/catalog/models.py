@@ -1 +1,298 @@
+"""Model algebra over the stand-in scores, and trained models over the log."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ... import fixed_values as V
+from ...operators import classifier, clean, detector, evaluate, explain, features, forest, incident, reconstruction, scaling
+from ...scratch import scratch_path, written
+from ...sources import access_log as source
+from .. import features as plan
+from .registry import VIEWS, log_of, query, r6, rounded, train_of
+
+EVENT_LEVEL = [
+    "geo_lat", "geo_lon", "session_duration", "bytes_transferred", "command_count", "hour_of_day", "day_of_week",
+    "is_weekend", "is_off_hours", "suspicious_cmd_flag", "command_diversity", "resource_sensitivity",
+    "auth_failure_flag", "bytes_per_second",
+]
+
+
+def event_level(log):
+    """Features that need no history: cheap, row-wise, no shuffle."""
+    return log.transform(features.calendar).transform(features.commands).transform(features.sensitivity).transform(
+        features.transfer_rate
+    )
+
+
+def _scored(spark, sf_dir):
+    return source.scored(source.access_log(spark, sf_dir))
+
+
+# --- Algebra ------------------------------------------------------------------------------------------
+
+
+@query("m1_standardise", """
+SELECT event_id, round((bytes_transferred - (SELECT avg(bytes_transferred) FROM log)) / (SELECT stddev_pop(bytes_transferred) FROM log), 6) AS z_bytes,
+  round((session_duration - (SELECT avg(session_duration) FROM log)) / (SELECT stddev_pop(session_duration) FROM log), 6) AS z_duration FROM log""")
+def m1(spark, sf_dir):
+    log = source.access_log(spark, sf_dir)
+    s = scaling.fit_scaler(log, ["bytes_transferred", "session_duration"])
+    return log.select("event_id", r6(s.column("bytes_transferred")).alias("z_bytes"),
+                      r6(s.column("session_duration")).alias("z_duration"))
+
+
+@query("m4_min_max", """
+SELECT event_id, round((anomaly_score - (SELECT min(anomaly_score) FROM scored)) /
+  ((SELECT max(anomaly_score) FROM scored) - (SELECT min(anomaly_score) FROM scored)), 6) AS normalised FROM scored""")
+def m4(spark, sf_dir):
+    return rounded(scaling.normalise(_scored(spark, sf_dir), "anomaly_score", "normalised"), "normalised").select(
+        "event_id", "normalised"
+    )
+
+
+@query("m7_ensemble", "SELECT event_id, round(CAST(0.4 AS DOUBLE) * anomaly_score + CAST(0.6 AS DOUBLE) * classifier_confidence, 6) AS ensemble FROM scored")
+def m7(spark, sf_dir):
+    e = detector.ensemble_score(F.col("anomaly_score"), F.col("classifier_confidence"))
+    return _scored(spark, sf_dir).select("event_id", r6(e).alias("ensemble"))
+
+
+VIEWS["thresholds"] = "SELECT quantile_cont(anomaly_score, 0.99) AS high, quantile_cont(anomaly_score, 0.95) AS medium FROM scored"
+
+
+@query("m8_thresholds", """
+SELECT label, round((SELECT high FROM thresholds), 6) AS high, round((SELECT medium FROM thresholds), 6) AS medium, count(*) AS events FROM scored GROUP BY 1""")
+def m8(spark, sf_dir):
+    scores = _scored(spark, sf_dir)
+    high, medium = detector.alert_thresholds(scores)
+    return scores.groupBy("label").agg(F.count(F.lit(1)).alias("events")).withColumns(
+        {"high": r6(F.lit(high)), "medium": r6(F.lit(medium))})
+
+
+@query("m9_tiers", """
+SELECT event_id, CASE WHEN anomaly_score >= high THEN 'HIGH' WHEN anomaly_score >= medium THEN 'MEDIUM' ELSE 'LOW' END AS alert_tier,
+  CAST(CASE WHEN anomaly_score >= medium THEN 1 ELSE 0 END AS BIGINT) AS is_alert FROM scored, thresholds""")
+def m9(spark, sf_dir):
+    scores = _scored(spark, sf_dir)
+    return detector.tiers(scores, *detector.alert_thresholds(scores)).select("event_id", "alert_tier", "is_alert")
+
+
+@query("m10_label_codes", """
+SELECT event_id, attack_type, CAST(dense_rank() OVER (ORDER BY attack_type) - 1 AS DOUBLE) AS y FROM anomalous""")
+def m10(spark, sf_dir):
+    rows = source.access_log(spark, sf_dir).where(F.col("label") == "anomaly").select("event_id", "attack_type")
+    return classifier.label_indexer().fit(rows).transform(rows)
+
+
+_COUNTS = """SELECT count(*) AS total_samples, count(*) FILTER (WHERE t) AS actual_anomalies, count(*) FILTER (WHERE h) AS predicted_anomalies,
+  count(*) FILTER (WHERE h AND t) AS tp, count(*) FILTER (WHERE h AND NOT t) AS fp, count(*) FILTER (WHERE NOT h AND NOT t) AS tn,
+  count(*) FILTER (WHERE NOT h AND t) AS fn FROM (SELECT anomaly_score >= medium AS h, label = 'anomaly' AS t FROM scored, thresholds) q"""
+
+
+@query("m19_binary_metrics", f"""
+SELECT *, round(CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS recall,
+  round(CASE WHEN tp = 0 THEN 0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6)::DOUBLE AS f1_score, round(CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END, 6) AS false_positive_rate,
+  round(CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, 6) AS detection_rate FROM ({_COUNTS}) c""")
+def m19(spark, sf_dir):
+    scores = _scored(spark, sf_dir)
+    out = evaluate.binary_metrics(scores, detector.alert_thresholds(scores)[1])
+    return rounded(out, "precision", "recall", "f1_score", "false_positive_rate", "detection_rate")
+
+
+VIEWS["per_score"] = """
+SELECT anomaly_score AS s, count(*) FILTER (WHERE label = 'anomaly') AS pos, count(*) FILTER (WHERE label <> 'anomaly') AS neg FROM scored GROUP BY 1"""
+
+
+@query("m20_roc_auc", """
+SELECT round(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)), 6)::DOUBLE AS roc_auc
+FROM (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM per_score) q""")
+def m20(spark, sf_dir):
+    return rounded(evaluate.roc_auc(_scored(spark, sf_dir)), "roc_auc")
+
+
+@query("m21_pr_auc", """
+SELECT round(sum(pos * (tp / (tp + fp) + CASE WHEN tp - pos + fp - neg = 0 THEN 1.0 ELSE (tp - pos) / (tp - pos + fp - neg) END) / 2.0) / sum(pos), 6)::DOUBLE AS pr_auc
+FROM (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM per_score WINDOW w AS (ORDER BY s DESC)) q""")
+def m21(spark, sf_dir):
+    return rounded(evaluate.pr_auc(_scored(spark, sf_dir)), "pr_auc")
+
+
+@query("m22_top_budget", """
+SELECT count(*) AS alerts_triggered, round(count(*) FILTER (WHERE label = 'anomaly') / count(*), 6) AS top_precision,
+  round(count(*) FILTER (WHERE label = 'anomaly') / (SELECT count(*) FROM scored WHERE label = 'anomaly'), 6) AS top_recall
+FROM (SELECT label, row_number() OVER (ORDER BY anomaly_score DESC, event_id) AS k, count(*) OVER () AS n FROM scored) q
+WHERE k <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))""")
+def m22(spark, sf_dir):
+    return rounded(evaluate.top_budget(_scored(spark, sf_dir)), "top_precision", "top_recall")
+
+
+_PAIR = "SELECT attack_type AS t, predicted_attack AS p, count(*) AS n FROM scored WHERE label = 'anomaly' GROUP BY 1, 2"
+VIEWS["class_report"] = f"""
+SELECT class, coalesce(sum(n) FILTER (WHERE t = class AND p = class), 0) AS tp, coalesce(sum(n) FILTER (WHERE p = class), 0) AS predicted,
+  coalesce(sum(n) FILTER (WHERE t = class), 0) AS support
+FROM (SELECT t AS class FROM ({_PAIR}) x UNION SELECT p FROM ({_PAIR}) y) c, ({_PAIR}) q GROUP BY class"""
+VIEWS["class_rates"] = """
+SELECT class, CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+  CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall,
+  CASE WHEN tp = 0 THEN 0.0 ELSE 2.0 * tp / (predicted + support) END AS f1_score FROM class_report"""
+
+
+def _classified(spark, sf_dir):
+    return _scored(spark, sf_dir).where(F.col("label") == "anomaly")
+
+
+@query("m23_multiclass_metrics", """
+SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(sum(f1_score * support) / sum(support), 6)::DOUBLE AS weighted_f1,
+  round(avg(f1_score), 6)::DOUBLE AS macro_f1 FROM class_rates""")
+def m23(spark, sf_dir):
+    out = evaluate.multiclass_metrics(_classified(spark, sf_dir), "attack_type", "predicted_attack")
+    return rounded(out, "accuracy", "weighted_f1", "macro_f1").select("accuracy", "weighted_f1", "macro_f1")
+
+
+@query("m24_class_report", "SELECT class, support, round(precision, 6)::DOUBLE AS precision, round(recall, 6)::DOUBLE AS recall, round(f1_score, 6)::DOUBLE AS f1_score FROM class_rates")
+def m24(spark, sf_dir):
+    out = evaluate.per_class_report(_classified(spark, sf_dir), "attack_type", "predicted_attack")
+    return rounded(out, "precision", "recall", "f1_score").drop("tp")
+
+
+@query("m25_confusion_matrix", "SELECT attack_type AS y_true, " + ", ".join(
+    f"count(*) FILTER (WHERE predicted_attack = '{a}') AS {a}" for a in V.ATTACK_TYPES)
+    + " FROM scored WHERE label = 'anomaly' GROUP BY 1")
+def m25(spark, sf_dir):
+    return evaluate.confusion_matrix(_classified(spark, sf_dir), "attack_type", "predicted_attack", V.ATTACK_TYPES)
+
+
+# --- Trained models -----------------------------------------------------------------------------------
+
+
+def _train_frame(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    return log, event_level(log), event_level(train_of(log))
+
+
+@query("m2_forest_nodes")
+def m2(spark, sf_dir):
+    _, _, train = _train_frame(spark, sf_dir)
+    s = scaling.fit_scaler(train, EVENT_LEVEL)
+    return forest.fit_forest(train, s.vector()).nodes
+
+
+@query("m3_isolation_scores")
+def m3(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    s = scaling.fit_scaler(train, EVENT_LEVEL)
+    return forest.fit_forest(train, s.vector()).score(all_rows, s.vector()).select("event_id", r6("isolation_raw").alias("isolation_raw"))
+
+
+@query("m5_components")
+def m5(spark, sf_dir):
+    _, _, train = _train_frame(spark, sf_dir)
+    s = scaling.fit_scaler(train, EVENT_LEVEL)
+    return reconstruction.fit_reconstruction(train, s.vector(), len(EVENT_LEVEL)).table(train, EVENT_LEVEL)
+
+
+@query("m6_reconstruction_errors")
+def m6(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    s = scaling.fit_scaler(train, EVENT_LEVEL)
+    model = reconstruction.fit_reconstruction(train, s.vector(), len(EVENT_LEVEL))
+    return model.score(all_rows, s.vector()).select("event_id", r6("reconstruction_raw").alias("reconstruction_raw"))
+
+
+def _forest_classifier(train):
+    return classifier.fit_classifier(train, EVENT_LEVEL)
+
+
+@query("m11_random_forest")
+def m11(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    return _forest_classifier(train).predict(all_rows.where("label = 'anomaly'")).select("event_id", "attack_type", "predicted_attack")
+
+
+@query("m12_boosted_trees")
+def m12(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    fitted = classifier.fit_classifier(train, EVENT_LEVEL, classifier.boosted_trees(rounds=3))
+    return fitted.predict(all_rows.where("label = 'anomaly'")).select("event_id", "attack_type", "predicted_attack")
+
+
+@query("m13_confidence")
+def m13(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    return _forest_classifier(train).predict(all_rows).select("event_id", "predicted_attack", r6("classifier_confidence").alias("confidence"))
+
+
+@query("m14_importances")
+def m14(spark, sf_dir):
+    _, _, train = _train_frame(spark, sf_dir)
+    return _forest_classifier(train).top_features(spark)
+
+
+@query("m15_model_comparison")
+def m15(spark, sf_dir):
+    log, all_rows, train = _train_frame(spark, sf_dir)
+    test = all_rows.join(train.select("event_id"), "event_id", "left_anti")
+    table, _ = classifier.compare(train, test, EVENT_LEVEL, {
+        "Random Forest": classifier.random_forest(trees=100), "Boosted Trees": classifier.boosted_trees(rounds=3),
+    })
+    return table.select("model", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
+
+
+@query("m18_inference_records")
+def m18(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    fitted = _forest_classifier(train)
+    top = [r["feature"] for r in fitted.top_features(spark, 5).collect()]
+    return classifier.inference_records(fitted.predict(all_rows.where("label = 'anomaly'")), top).withColumn(
+        "top_features", F.array_join("top_features", " | "))
+
+
+def _engineered(spark, sf_dir):
+    """Engineered data as a written table: training reads it several times."""
+    log = log_of(spark, sf_dir)
+    fitted = plan.fit(log)
+    data = written(plan.engineered(log, fitted), "engineered")
+    names = clean.model_features(data)
+    return data, data.where(fitted.cut.is_train()), names
+
+
+def _alerts(spark, sf_dir, pick):
+    data, train, names = _engineered(spark, sf_dir)
+    found = detector.fit_detector(train, names)
+    fitted = classifier.fit_classifier(train, names)
+    rows = fitted.predict(found.score(pick(data)))
+    return data, train, explain.alerts(rows, names, fitted.importances())
+
+
+_ALERT = ["user", "event_id", "attack", "confidence", "risk_score", "risk_level", "recommended_action"]
+
+
+@query("e2_alerts")
+def e2(spark, sf_dir):
+    _, _, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'"))
+    return alerts.select(*_ALERT, F.array_join("top_features", " | ").alias("top_features"))
+
+
+@query("e6_combined_alerts")
+def e6(spark, sf_dir):
+    data, train, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'"))
+    combined = incident.combined_alerts(alerts, incident.assessed(data, train))
+    return combined.select(*_ALERT, "dynamic_risk_engine.composite_risk_score",
+                           "behavioral_identity_engine.deviation_percentage")
+
+
+@query("e7_sample_alerts")
+def e7(spark, sf_dir):
+    _, _, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'").orderBy("timestamp", "event_id").limit(5))
+    return alerts.select(*_ALERT)
+
+
+@query("snk4_saved_models")
+def snk4(spark, sf_dir):
+    _, all_rows, train = _train_frame(spark, sf_dir)
+    path = scratch_path(spark, "models")
+    detector.fit_detector(train, EVENT_LEVEL).save(spark, f"{path}/detector")
+    _forest_classifier(train).save(f"{path}/classifier")
+    scored = detector.load_detector(spark, f"{path}/detector").score(all_rows)
+    return classifier.load_classifier(f"{path}/classifier").predict(scored).select(
+        "event_id", r6("anomaly_score").alias("anomaly_score"), "alert_tier", "predicted_attack")

@@ -27,25 +27,29 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            ORACLES[name] = sql
         return fn
 
     return add
 
 
 def with_views(sql: str) -> str:
-    """Prefix a statement with the views it needs, in definition order."""
-    needed: set[str] = set()
-    todo = [sql]
-    while todo:
-        words = set(re.findall(r"[a-z_][a-z_0-9]*", todo.pop()))
-        for v in words & VIEWS.keys() - needed:
-            needed.add(v)
-            todo.append(VIEWS[v])
-    if not needed:
-        return sql
-    parts = [f"{v} AS ({VIEWS[v]})" for v in VIEWS if v in needed]
-    return "WITH " + ",\n".join(parts) + "\n" + sql
+    """Prefix a statement with the views it needs, each after those it refers to."""
+    ordered: dict[str, str] = {}
+
+    def need(text: str) -> None:
+        for v in re.findall(r"[a-z_][a-z_0-9]*", text):
+            if v in VIEWS and v not in ordered and VIEWS[v] is not text:
+                need(VIEWS[v])
+                ordered[v] = VIEWS[v]
+
+    need(sql)
+    parts = [f"{v} AS ({body})" for v, body in ordered.items()]
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+
+
+def oracles() -> dict[str, str]:
+    return {name: with_views(sql) for name, sql in ORACLES.items()}
 
 
 # --- Frames -----------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ...functions.timeline import find_hot_keys
 from ...operators import baseline, features, rules
 from ...sources import access_log as source
@@ -44,11 +46,11 @@ def _novel(spark, sf_dir):
 
 
 @query("r4_lateral_movement", """
-SELECT entity_id, CAST(timestamp AS DATE) AS day, count(*) AS novel_accesses, count(DISTINCT resource_category) AS categories,
+SELECT entity_id, CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS novel_accesses, count(DISTINCT resource_category) AS categories,
   CAST(sum(suspicious_cmd_flag) AS BIGINT) AS suspicious_sessions
 FROM featured WHERE resource_novelty = 1 AND category_novelty = 1 GROUP BY 1, 2""")
 def r4(spark, sf_dir):
-    return rules.lateral_movement(_novel(spark, sf_dir)[0])
+    return rules.lateral_movement(_novel(spark, sf_dir)[0]).withColumn("day", F.col("day").cast("string"))
 
 
 _FAMILY = """CASE WHEN starts_with(device_os, 'Windows') THEN 'windows' WHEN starts_with(device_os, 'macOS') THEN 'macos'
@@ -69,18 +71,17 @@ FROM (SELECT entity_id, CAST(timestamp AS DATE) AS day, sum(bytes_transferred) A
   GROUP BY 1, 2) d
 GROUP BY 1 HAVING count(*) >= 5 AND regr_slope(bytes, day - DATE '1970-01-01') > 0""")
 def r6_(spark, sf_dir):
-    from pyspark.sql import functions as F
-
     found = rules.low_and_slow(source.access_log(spark, sf_dir))
     return found.withColumn("bytes_per_day_slope", F.round("bytes_per_day_slope", 3))
 
 
 @query("r7_insider_drift", """
-SELECT entity_id, min(week) AS from_week, count(*) AS weeks, CAST(sum(new_resources) AS BIGINT) AS new_resources FROM (
+SELECT entity_id, CAST(min(week) AS VARCHAR) AS from_week, count(*) AS weeks, CAST(sum(new_resources) AS BIGINT) AS new_resources FROM (
   SELECT *, (week - DATE '1970-01-01') // 7 - row_number() OVER (PARTITION BY entity_id ORDER BY week) AS island FROM (
     SELECT entity_id, week, count(*) AS new_resources, min(week) OVER (PARTITION BY entity_id) AS start_week FROM (
       SELECT entity_id, resource_accessed, CAST(min(date_trunc('week', timestamp)) AS DATE) AS week FROM log GROUP BY 1, 2) f
     GROUP BY 1, 2) g WHERE week > start_week) h
 GROUP BY entity_id, island HAVING count(*) >= 2""")
 def r7(spark, sf_dir):
-    return rules.insider_drift(source.access_log(spark, sf_dir))
+    found = rules.insider_drift(source.access_log(spark, sf_dir))
+    return found.withColumn("from_week", F.col("from_week").cast("string"))

@@ -1 +1,121 @@
+"""Streams over the given events, drained to the end and returned as tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ...operators import detector, features
+from ...scratch import scratch_path
+from ...sources import access_log as source
+from ...sources import files
+from ...streaming import streams
+from .. import features as plan
+from .models import EVENT_LEVEL, event_level
+from . import cleaning  # noqa: F401  (its views are used here)
+from .registry import VIEWS, dirty_of, joined, log_of, query, r6, rounded, train_of
+
+VIEWS["typed_all"] = VIEWS["typed"].replace("FROM firsts", "FROM dirty")
+VIEWS["filled_all"] = VIEWS["filled"].replace("FROM typed", "FROM typed_all")
+VIEWS["valid_all"] = VIEWS["valid"].replace("FROM filled", "FROM filled_all")
+
+
+def _dirty_stream(spark, sf_dir):
+    path = scratch_path(spark, "stream-in")
+    dirty_of(spark, sf_dir).write.options(**files.CSV).csv(path)
+    return streams.read_event_stream(spark, path)
+
+
+def _log_stream(spark, sf_dir):
+    path = scratch_path(spark, "stream-in")
+    source.access_log(spark, sf_dir).write.parquet(path)
+    return streams.read_event_stream(spark, path, "parquet")
+
+
+def _drain(stream):
+    spark = stream.sparkSession
+    path = scratch_path(spark, "stream-out")
+    streams.run_to_table(stream, path, scratch_path(spark, "stream-state"))
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+@query("t1_clean_stream", "SELECT event_id, timestamp, geo_lat, bytes_transferred, is_vpn FROM valid_all")
+def t1(spark, sf_dir):
+    return _drain(streams.clean_stream(_dirty_stream(spark, sf_dir)).select(
+        "event_id", "timestamp", "geo_lat", "bytes_transferred", "is_vpn"))
+
+
+@query("t2_duplicates", "SELECT DISTINCT event_id, timestamp FROM valid_all")
+def t2(spark, sf_dir):
+    return _drain(streams.drop_duplicates_stream(streams.clean_stream(_dirty_stream(spark, sf_dir)).select("event_id", "timestamp")))
+
+
+_Z = ["hour_zscore", "session_duration_zscore", "bytes_zscore"]
+
+
+@query("t3_baseline_features", "SELECT event_id, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in features.NOVELTY_COLUMNS)
+       + ", " + ", ".join(f"round({z}, 6) AS {z}" for z in _Z) + " FROM featured")
+def t3(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    fitted = plan.fit(log)
+    out = scratch_path(spark, "stream-out")
+
+    def write(batch, batch_id):
+        rows = streams.baseline_features(batch, fitted.baselines, fitted.known)
+        rows.select("event_id", *features.NOVELTY_COLUMNS, *_Z).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    streams.for_each_batch(_log_stream(spark, sf_dir), write, scratch_path(spark, "stream-state"))
+    return rounded(spark.read.parquet(out).drop("batch"), *_Z)
+
+
+@query("t4_history_features", """
+SELECT event_id, round(minutes_since_last, 6) AS minutes_since_last, round(geo_velocity_kmh, 6) AS geo_velocity_kmh,
+  CAST(failed_auth_count_1h AS BIGINT) AS failed_auth_count_1h, CAST(off_hours_event_count_7d AS BIGINT) AS off_hours_event_count_7d,
+  CAST(bytes_total_24h AS DOUBLE) AS bytes_total_24h, unique_resources_24h, unique_geos_24h, unique_entities_per_ip_1h FROM windowed""")
+def t4(spark, sf_dir):
+    log = source.access_log(spark, sf_dir)
+    inbox, state = scratch_path(spark, "stream-in"), scratch_path(spark, "stream-state")
+    out, checkpoint = scratch_path(spark, "stream-out"), scratch_path(spark, "stream-checkpoint")
+    step = streams.HistoryFeatures(state, out)
+    # Ordered replay in three parts; each is drained before the next arrives.
+    days = [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"), ("2024-01-21", "2024-02-10")]
+    first, last = F.lit("1970-01-01"), F.lit("2100-01-01")
+    for i, (lo, hi) in enumerate(days):
+        since = first if i == 0 else F.lit(lo)
+        until = last if i == len(days) - 1 else F.lit(hi)
+        day = F.to_date("timestamp")
+        log.where((day >= since.cast("date")) & (day < until.cast("date"))).write.mode("append").parquet(inbox)
+        streams.for_each_batch(streams.read_event_stream(spark, inbox, "parquet"), step, checkpoint)
+    return rounded(spark.read.parquet(out), "minutes_since_last", "geo_velocity_kmh").select(
+        "event_id", "minutes_since_last", "geo_velocity_kmh", "failed_auth_count_1h", "off_hours_event_count_7d",
+        "bytes_total_24h", "unique_resources_24h", "unique_geos_24h", "unique_entities_per_ip_1h",
+    )
+
+
+@query("t5_hourly_trend", """
+SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS hour, count(*) AS incidents FROM log WHERE label = 'anomaly' GROUP BY 1
+HAVING CAST(date_trunc('hour', timestamp) AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM log WHERE label = 'anomaly')""")
+def t5_trend(spark, sf_dir):
+    return _drain(streams.hourly_trend(_log_stream(spark, sf_dir)))
+
+
+@query("t5_sliding_failures", """
+SELECT w AS window_start, entity_id, count(*) AS failures
+FROM (SELECT *, unnest(generate_series(0, 11)) AS i FROM log WHERE failed = 1) l,
+  LATERAL (SELECT time_bucket(INTERVAL 5 MINUTES, timestamp) - i * INTERVAL 5 MINUTES AS w) b
+WHERE w + INTERVAL 1 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM log WHERE failed = 1)
+GROUP BY 1, 2""")
+def t5_sliding(spark, sf_dir):
+    return _drain(streams.sliding_failures(_log_stream(spark, sf_dir)))
+
+
+@query("t6_stream_alerts")
+def t6(spark, sf_dir):
+    log = log_of(spark, sf_dir)
+    found = detector.fit_detector(event_level(train_of(log)), EVENT_LEVEL)
+    path = scratch_path(spark, "stream-out")
+
+    def prepare(batch):
+        return event_level(streams.clean.parse_commands(batch)).withColumn("risk_multiplier", F.col("is_off_hours"))
+
+    streams.for_each_batch(_log_stream(spark, sf_dir), streams.AlertWriter(found, prepare, path), scratch_path(spark, "stream-state"))
+    return rounded(spark.read.parquet(path).drop("batch"), "anomaly_score")

@@ -8,21 +8,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .. import fixed_values as V
 from .. import schema as S
 
+# Quotes inside quoted fields are doubled, as spreadsheet tools and most CSV writers do.
+CSV = {
+    "header": "true",
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+}
+
 
 def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
     """Raw access log. CSV fields stay text for the typing step; Parquet has the typed schema."""
     if file_format == "csv":
-        return spark.read.schema(S.RAW_EVENTS).option("header", True).csv(path)
+        return spark.read.schema(S.RAW_EVENTS).options(**CSV).csv(path)
     return spark.read.schema(S.EVENTS).format(file_format).load(path)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.EVENT_LABELS).option("header", True).csv(path)
+    return spark.read.schema(S.EVENT_LABELS).options(**CSV).csv(path)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
     """Entity profiles; list literals become arrays."""
-    raw = spark.read.schema(S.RAW_PROFILES).option("header", True).csv(path)
+    raw = spark.read.schema(S.RAW_PROFILES).options(**CSV).csv(path)
     strings, ints = T.ArrayType(T.StringType()), T.ArrayType(T.IntegerType())
     return raw.withColumns({
         "work_days": F.from_json("work_days", ints),
@@ -38,7 +47,7 @@ def read_engineered(spark: SparkSession, path: str) -> DataFrame:
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(S.AUDIT).option("header", True).csv(path)
+        return spark.read.schema(S.AUDIT).options(**CSV).csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], S.AUDIT)
@@ -61,26 +70,24 @@ def user_agents(spark: SparkSession) -> DataFrame:
 def write_engineered(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "overwrite") -> None:
     """Engineered data set by event date. CSV cannot hold arrays, so they are written as JSON text.
 
-    Rows of a day are spread over several tasks by the event id, so a busy day is not one file.
     """
     dated = df.withColumn("event_date", F.to_date("timestamp"))
     if file_format == "csv":
         arrays = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
-        dated.withColumns({c: F.to_json(c) for c in arrays}).write.mode(mode).partitionBy("event_date").option(
-            "header", True).csv(path)
+        dated.withColumns({c: F.to_json(c) for c in arrays}).write.mode(mode).partitionBy("event_date").options(**CSV).csv(path)
     else:
         dated.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    rows.select(S.AUDIT.names).write.mode("append").option("header", True).csv(path)
+    rows.select(S.AUDIT.names).write.mode("append").options(**CSV).csv(path)
 
 
 def export_csv(events: DataFrame, labels: DataFrame, profiles: DataFrame, path: str) -> None:
     """Events, labels and profiles as three CSV directories; list columns as JSON text."""
     for name, df in (("events", events), ("labels", labels), ("entity_profiles", profiles)):
         arrays = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
-        df.withColumns({c: F.to_json(c) for c in arrays}).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        df.withColumns({c: F.to_json(c) for c in arrays}).write.mode("overwrite").options(**CSV).csv(f"{path}/{name}")
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
