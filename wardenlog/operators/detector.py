@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.ranking import percentiles
-from .forest import NODES, Forest, fit_forest
+from .forest import NODES, Forest, fit_forest, sorted_nodes
 from .reconstruction import Reconstruction, fit_reconstruction
 from .scaling import MinMax, Scaler, fit_min_max, fit_scaler
 
@@ -52,7 +52,7 @@ class Detector:
         return tiers(out, self.high, self.medium)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        self.forest.nodes.write.mode("overwrite").parquet(f"{path}/forest")
+        self.forest.nodes(spark).write.mode("overwrite").parquet(f"{path}/forest")
         meta = {
             "features": self.scaler.features, "means": self.scaler.means, "scales": self.scaler.scales,
             "components": self.reconstruction.components.tolist(),
@@ -65,7 +65,7 @@ class Detector:
 
 def load_detector(spark: SparkSession, path: str) -> Detector:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    nodes = spark.read.schema(NODES).parquet(f"{path}/forest")
+    nodes = sorted_nodes(spark.read.schema(NODES).parquet(f"{path}/forest"))
     return Detector(
         Scaler(tuple(meta["features"]), tuple(meta["means"]), tuple(meta["scales"])),
         Forest(nodes, meta["trees"], meta["sample"]),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 SAMPLE = 256
 POOL = 65_536
@@ -70,12 +70,11 @@ def _grow(seed: int):
     return grow
 
 
-def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int) -> DataFrame:
+def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int, n: int) -> DataFrame:
     """Up to ``SAMPLE`` uniformly chosen rows per tree, by seeded hashes of the row id.
 
     Large inputs are first reduced to a uniform pool, so the log is hashed once per row, not once per row and tree.
     """
-    n = df.count()
     row_hash = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1_000_000_000)) / 1e9
     pool = df.select(F.col(id_column).alias("id"), vector.alias("x"), row_hash.alias("_h"))
     share = min(1.0, POOL / max(n, 1))
@@ -96,13 +95,18 @@ def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int) ->
 
 @dataclass(frozen=True)
 class Forest:
-    nodes: DataFrame
+    """The nodes of all trees: a bounded table, held locally so that every use sees the same forest."""
+
+    table: pd.DataFrame
     trees: int
     sample: int
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.table, NODES)
+
     def score(self, df: DataFrame, vector, name: str = "isolation_raw") -> DataFrame:
         """Adds the isolation score 2^(-E[path] / c(sample)); higher is more anomalous."""
-        table = self.nodes.orderBy("tree", "node").toPandas()
+        table = self.table
         start = table.groupby("tree").size().reindex(range(self.trees), fill_value=0).cumsum().shift(1, fill_value=0)
         offset = table["tree"].map(start).to_numpy()
         feature, cut = table["feature"].to_numpy(), table["threshold"].to_numpy()
@@ -132,8 +136,11 @@ class Forest:
 
 
 def fit_forest(df: DataFrame, vector, id_column: str = "event_id", trees: int = 150, seed: int = 42) -> Forest:
-    rows = sample_rows(df, id_column, vector, trees, seed)
+    n = df.count()
+    rows = sample_rows(df, id_column, vector, trees, seed, n)
     nodes = rows.groupBy("tree").applyInPandas(_grow(seed), NODES)
-    # Bounded table of nodes; kept as local rows so that every use sees the same forest.
-    local = df.sparkSession.createDataFrame(nodes.collect(), NODES)
-    return Forest(local, trees, min(SAMPLE, df.count()))
+    return Forest(sorted_nodes(nodes), trees, min(SAMPLE, n))
+
+
+def sorted_nodes(nodes: DataFrame) -> pd.DataFrame:
+    return nodes.toPandas().sort_values(["tree", "node"], ignore_index=True)

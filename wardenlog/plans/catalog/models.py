@@ -174,7 +174,7 @@ def _train_frame(spark, sf_dir):
 def m2(spark, sf_dir):
     _, _, train = _train_frame(spark, sf_dir)
     s = scaling.fit_scaler(train, EVENT_LEVEL)
-    return forest.fit_forest(train, s.vector()).nodes
+    return forest.fit_forest(train, s.vector()).nodes(spark)
 
 
 @query("m3_isolation_scores")
@@ -276,7 +276,8 @@ def e2(spark, sf_dir):
 @query("e6_combined_alerts")
 def e6(spark, sf_dir):
     data, train, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'"))
-    combined = incident.combined_alerts(alerts, incident.assessed(data, train))
+    # Both sides are results in their own right: written, so that the join plans over two tables.
+    combined = incident.combined_alerts(written(alerts, "alerts"), written(incident.assessed(data, train), "assessed"))
     return combined.select(*_ALERT, "dynamic_risk_engine.composite_risk_score",
                            "behavioral_identity_engine.deviation_percentage")
 
