@@ -8,7 +8,9 @@ more than a histogram or the few rows of the last bin.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -16,7 +18,15 @@ BINS = 512
 LAST_BIN_ROWS = 10_000
 
 
-def value_at_rank(df: DataFrame, value: Column, ranks: Sequence[int], lo=None, hi=None) -> dict[int, float | int]:
+class AtRank(NamedTuple):
+    """A value, the number of smaller values, and the number of values equal to it."""
+
+    value: float | int
+    below: int
+    equal: int
+
+
+def value_at_rank(df: DataFrame, value: Column, ranks: Sequence[int], lo=None, hi=None) -> dict[int, AtRank]:
     """The values at 0-based ``ranks`` of the non-null ``value`` in ascending order."""
     vals = df.select(value.alias("_x")).where(F.col("_x").isNotNull())
     if lo is None or hi is None:
@@ -26,11 +36,10 @@ def value_at_rank(df: DataFrame, value: Column, ranks: Sequence[int], lo=None, h
     return _refine(vals, lo, hi, sorted(set(ranks)), 0)
 
 
-def _refine(vals: DataFrame, lo, hi, ranks: list[int], below: int) -> dict:
+def _refine(vals: DataFrame, lo, hi, ranks: list[int], below: int) -> dict[int, AtRank]:
     """``below``: number of values smaller than ``lo``; all ranks fall into [lo, hi]."""
-    if lo == hi:
-        return {r: lo for r in ranks}
-    width = (hi - lo) / BINS
+    # One bin if all values are equal.
+    width = (hi - lo) / BINS or 1.0
     inside = vals.where(F.col("_x").between(lo, hi))
     bin_of = F.least(F.lit(BINS - 1), F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)).cast("int"))
     counts = (
@@ -41,13 +50,16 @@ def _refine(vals: DataFrame, lo, hi, ranks: list[int], below: int) -> dict:
     found, start = {}, below
     for b in sorted(counts, key=lambda c: c["_bin"]):
         here = [r for r in ranks if start <= r < start + b["n"]]
-        if here:
+        if here and b["lo"] == b["hi"]:
+            found.update({r: AtRank(b["lo"], start, b["n"]) for r in here})
+        elif here:
             part = inside.where(F.col("_x").between(b["lo"], b["hi"]))
-            if b["lo"] == b["hi"]:
-                found.update({r: b["lo"] for r in here})
-            elif b["n"] <= LAST_BIN_ROWS:
+            if b["n"] <= LAST_BIN_ROWS:
                 ordered = sorted(row["_x"] for row in part.collect())
-                found.update({r: ordered[r - start] for r in here})
+                for r in here:
+                    v = ordered[r - start]
+                    first = bisect_left(ordered, v)
+                    found[r] = AtRank(v, start + first, bisect_right(ordered, v) - first)
             else:
                 found.update(_refine(part, b["lo"], b["hi"], here, start))
         start += b["n"]
@@ -62,7 +74,8 @@ def percentiles(df: DataFrame, value: Column, fractions: Sequence[float]) -> lis
         return [math.nan for _ in fractions]
     at = [(n - 1) * f for f in fractions]
     wanted = {math.floor(a) for a in at} | {math.ceil(a) for a in at}
-    v = value_at_rank(vals, F.col("_x"), sorted(wanted), lo, hi)
+    found = value_at_rank(vals, F.col("_x"), sorted(wanted), lo, hi)
+    v = {r: at_rank.value for r, at_rank in found.items()}
     return [float(v[math.floor(a)] + (v[math.ceil(a)] - v[math.floor(a)]) * (a - math.floor(a))) for a in at]
 
 

@@ -156,10 +156,7 @@ def find_cut(df: DataFrame, ratio: float = 0.60) -> Cut:
     n_train = int(n * ratio)
     if n_train == 0:
         return Cut(None, None)
-    at = value_at_rank(us, F.col("_us"), [n_train - 1], lo, hi)[n_train - 1]
-    before, tied = us.where(F.col("_us") <= at).agg(
-        F.count_if(F.col("_us") < at), F.count_if(F.col("_us") == at)
-    ).first()
+    at, before, tied = value_at_rank(us, F.col("_us"), [n_train - 1], lo, hi)[n_train - 1]
     if before + tied == n_train:
         return Cut(int(at), None)
     last = string_at_rank(us.where(F.col("_us") == at), "event_id", n_train - 1 - before, tied)

@@ -80,9 +80,8 @@ def top_budget(df: DataFrame, share: float = 0.01, score: str = "anomaly_score")
     n, lo, hi = df.agg(F.count(score), F.min(score), F.max(score)).first()
     k = max(1, int(n * share))
     truth = _truth()
-    edge = value_at_rank(df, F.col(score), [n - k], lo, hi)[n - k]
-    above, tied = df.agg(F.count_if(F.col(score) > edge), F.count_if(F.col(score) == edge)).first()
-    left = k - above
+    edge, below, tied = value_at_rank(df, F.col(score), [n - k], lo, hi)[n - k]
+    left = k - (n - below - tied)
     chosen = F.col(score) > edge
     if left == tied:
         chosen = F.col(score) >= edge

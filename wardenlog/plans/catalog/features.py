@@ -65,9 +65,9 @@ def _traveled(spark, sf_dir):
     return features.travel(log, find_hot_keys(log, "entity_id"))
 
 
-@query("f2_minutes_since_last", "SELECT event_id, round(minutes_since_last, 6) AS minutes_since_last FROM traveled")
+@query("f2_minutes_since_last", "SELECT event_id, minutes_since_last FROM traveled")
 def f2(spark, sf_dir):
-    return rounded(_traveled(spark, sf_dir), "minutes_since_last").select("event_id", "minutes_since_last")
+    return _traveled(spark, sf_dir).select("event_id", "minutes_since_last")
 
 
 @query("f3_haversine_to_first_office", f"""
@@ -148,7 +148,8 @@ def f13(spark, sf_dir):
     return out.select("event_id", "auth_method_change", "is_cold_start")
 
 
-_FLOATS = ["minutes_since_last", "geo_distance_km", "geo_velocity_kmh", *_Z, "command_diversity", "bytes_per_second"]
+# Minutes are whole microseconds over 6e7: equal doubles everywhere, while rounding would meet exact halves.
+_FLOATS = ["geo_distance_km", "geo_velocity_kmh", *_Z, "command_diversity", "bytes_per_second"]
 _INTS = [*features.NOVELTY_COLUMNS, "suspicious_cmd_flag", "auth_failure_flag", "risk_multiplier", "auth_method_change", "is_cold_start"]
 
 
@@ -157,12 +158,12 @@ def _event_features_of(log):
     return features.event_features(log, fitted.baselines, fitted.known, find_hot_keys(log, "entity_id"))
 
 
-@query("f14_event_features", "SELECT event_id, hr AS hour_of_day, "
+@query("f14_event_features", "SELECT event_id, hr AS hour_of_day, minutes_since_last, "
        + ", ".join(f"round({c}, 6) AS {c}" for c in _FLOATS) + ", "
        + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in _INTS) + " FROM featured")
 def f14(spark, sf_dir):
     out = _event_features_of(log_of(spark, sf_dir))
-    return rounded(out, *_FLOATS).select("event_id", "hour_of_day", *_FLOATS, *_INTS)
+    return rounded(out, *_FLOATS).select("event_id", "hour_of_day", "minutes_since_last", *_FLOATS, *_INTS)
 
 
 def _windowed(spark, sf_dir, *names):

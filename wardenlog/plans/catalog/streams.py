@@ -68,7 +68,7 @@ def t3(spark, sf_dir):
 
 
 @query("t4_history_features", """
-SELECT event_id, round(minutes_since_last, 6) AS minutes_since_last, round(geo_velocity_kmh, 6) AS geo_velocity_kmh,
+SELECT event_id, minutes_since_last, round(geo_velocity_kmh, 6) AS geo_velocity_kmh,
   CAST(failed_auth_count_1h AS BIGINT) AS failed_auth_count_1h, CAST(off_hours_event_count_7d AS BIGINT) AS off_hours_event_count_7d,
   CAST(bytes_total_24h AS DOUBLE) AS bytes_total_24h, unique_resources_24h, unique_geos_24h, unique_entities_per_ip_1h FROM windowed""")
 def t4(spark, sf_dir):
@@ -85,7 +85,7 @@ def t4(spark, sf_dir):
         day = F.to_date("timestamp")
         log.where((day >= since.cast("date")) & (day < until.cast("date"))).write.mode("append").parquet(inbox)
         streams.for_each_batch(streams.read_event_stream(spark, inbox, "parquet"), step, checkpoint)
-    return rounded(spark.read.parquet(out), "minutes_since_last", "geo_velocity_kmh").select(
+    return rounded(spark.read.parquet(out), "geo_velocity_kmh").select(
         "event_id", "minutes_since_last", "geo_velocity_kmh", "failed_auth_count_1h", "off_hours_event_count_7d",
         "bytes_total_24h", "unique_resources_24h", "unique_geos_24h", "unique_entities_per_ip_1h",
     )

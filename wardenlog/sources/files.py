@@ -70,8 +70,9 @@ def user_agents(spark: SparkSession) -> DataFrame:
 def write_engineered(df: DataFrame, path: str, file_format: str = "parquet", mode: str = "overwrite") -> None:
     """Engineered data set by event date. CSV cannot hold arrays, so they are written as JSON text.
 
+    The rebalance hint gathers a day's rows into few files and splits a busy day over several tasks.
     """
-    dated = df.withColumn("event_date", F.to_date("timestamp"))
+    dated = df.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
     if file_format == "csv":
         arrays = [f.name for f in df.schema if isinstance(f.dataType, T.ArrayType)]
         dated.withColumns({c: F.to_json(c) for c in arrays}).write.mode(mode).partitionBy("event_date").options(**CSV).csv(path)

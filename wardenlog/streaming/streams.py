@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from .. import schema as S
 from ..functions.timeline import find_hot_keys
@@ -18,7 +19,7 @@ EVENT_TIME = "event_time"
 def read_event_stream(spark: SparkSession, path: str, file_format: str = "csv", files_per_trigger: int | None = None) -> DataFrame:
     """Stream of labelled raw events from a directory."""
     fields = S.RAW_EVENTS.fields + S.EVENT_LABELS.fields[1:] if file_format == "csv" else S.LABELLED_EVENTS.fields
-    reader = spark.readStream.schema(type(S.EVENTS)(fields)).format(file_format)
+    reader = spark.readStream.schema(StructType(fields)).format(file_format)
     if file_format == "csv":
         reader = reader.options(**CSV)
     if files_per_trigger:
@@ -101,16 +102,15 @@ class HistoryFeatures:
     def _earlier(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
         if batch_id == 0:
             return None
-        schema = [f for f in S.EVENTS.fields if f.name in self.HISTORY]
-        stored = spark.read.schema(type(S.EVENTS)(schema)).option("basePath", f"{self.state}/{table}").parquet(
-            *[f"{self.state}/{table}/batch={i}" for i in self._batches(table, batch_id)]
-        )
-        return stored.select(self.HISTORY)
+        fields = [f for f in S.EVENTS.fields if f.name in self.HISTORY]
+        fields += [StructField("batch", LongType()), StructField("event_date", DateType())]
+        stored = spark.read.schema(StructType(fields)).parquet(f"{self.state}/{table}")
+        # The latest-event table is complete in every batch; history is the sum of the batches before this one.
+        return stored.where(F.col("batch") == batch_id - 1 if table == "latest" else F.col("batch") < batch_id)
 
-    @staticmethod
-    def _batches(table: str, batch_id: int) -> range:
-        # The latest-event table is complete in every batch; history is the sum of the batches.
-        return range(batch_id - 1, batch_id) if table == "latest" else range(0, batch_id)
+    def _store(self, rows: DataFrame, table: str, batch_id: int) -> None:
+        dated = rows.withColumn("event_date", F.to_date("timestamp")).hint("rebalance", "event_date")
+        dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{self.state}/{table}/batch={batch_id}")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -120,24 +120,23 @@ class HistoryFeatures:
         together = rows.withColumn("_new", F.lit(True))
         if first is not None and history is not None:
             reach = F.lit(first) - F.expr(f"INTERVAL {self.REACH_DAYS} DAYS")
-            recent = history.where(F.col("timestamp") >= reach)
+            # The date is a partition column: older days are not read.
+            recent = history.where((F.col("event_date") >= F.to_date(reach)) & (F.col("timestamp") >= reach))
             # An entity that was silent longer is represented by its latest event only.
             silent = latest.where(F.col("timestamp") < reach)
-            together = together.unionByName(recent.unionByName(silent).withColumn("_new", F.lit(False)))
+            together = together.unionByName(recent.unionByName(silent).select(self.HISTORY).withColumn("_new", F.lit(False)))
         hot_entities, hot_ips = find_hot_keys(together, "entity_id"), find_hot_keys(together, "source_ip")
         out = windows.window_features(
             features.travel(together, hot_entities), hot_entities, hot_ips, source=together
         ).where("_new")
         out.select(self.COLUMNS).write.mode("overwrite").parquet(f"{self.output}/batch={batch_id}")
 
-        rows.write.mode("overwrite").parquet(f"{self.state}/history/batch={batch_id}")
-        known = rows if latest is None else rows.unionByName(latest)
+        self._store(rows, "history", batch_id)
+        known = rows if latest is None else rows.unionByName(latest.select(self.HISTORY))
         newest = known.groupBy("entity_id").agg(
             F.max(F.struct("timestamp", *[c for c in self.HISTORY if c not in ("timestamp", "entity_id")])).alias("_l")
         )
-        newest.select("entity_id", "_l.*").select(self.HISTORY).write.mode("overwrite").parquet(
-            f"{self.state}/latest/batch={batch_id}"
-        )
+        self._store(newest.select("entity_id", "_l.*").select(self.HISTORY), "latest", batch_id)
 
 
 class AlertWriter:
