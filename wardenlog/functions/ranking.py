@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 BINS = 512
 LAST_BIN_ROWS = 10_000
+RANGES = 64
 
 
 class AtRank(NamedTuple):
@@ -92,16 +93,17 @@ def string_at_rank(df: DataFrame, column: str, rank: int, n: int) -> str | None:
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Running totals over distinct values of ``value``: ``sums`` maps a counted column to the total's name.
 
-    ``df`` holds one row per distinct value. The order is cut into at most 4 * BINS value ranges; totals of the
-    ranges before are carried in, so the running sum is not one task over all values.
+    ``df`` holds one row per distinct value. The order is cut at approximate quantiles into at most ``RANGES`` even
+    ranges; totals of the ranges before are carried in, so the running sum is not one task over all values.
     """
-    lo, hi = df.agg(F.min(value), F.max(value)).first()
-    width = ((hi - lo) / (4 * BINS) or 1.0) if lo is not None else 1.0
-    ranges = df.withColumn("_range", F.floor((F.col(value) - F.lit(lo)) / F.lit(width)).cast("int"))
+    fractions = [i / RANGES for i in range(1, RANGES)]
+    edges = sorted(set(df.agg(F.percentile_approx(value, fractions, 10_000)).first()[0] or []))
+    below = [F.when(F.col(value) > F.lit(e), 1).otherwise(0) for e in edges]
+    ranges = df.withColumn("_range", F.aggregate(F.array(*below), F.lit(0), lambda a, x: a + x) if below else F.lit(0))
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     totals = ranges.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # At most 4 * BINS + 1 rows: one constant partition is enough.
+    # At most RANGES rows: one constant partition is enough.
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     earlier = W.partitionBy(F.lit(0)).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select("_range", *[F.sum(f"_t_{c}").over(earlier).alias(f"_c_{c}") for c in sums])

@@ -11,8 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from . import _access_log_sql as sql
 
 
+FEW_PARTITIONS = 8
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a small input that is read by fewer tasks than there are cores, e.g. one file with one row group.
+
+    An input of ``FEW_PARTITIONS`` read tasks or more, as any large one, is left as it is read.
+    """
+    wanted = min(FEW_PARTITIONS, df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
