@@ -16,11 +16,11 @@ Hot keys are found by one counting pass. Each of them holds more than ``max_rows
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .columns import flag, micros
+from .columns import micros
 
 MAX_ROWS_PER_TASK = 1_000_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as V
-from ..functions.columns import flag, haversine_km, pretty
+from ..functions.columns import haversine_km, pretty
 
 HIGH_ATTACKS = ["brute_force", "impossible_travel", "credential_stuffing"]
 CRITICAL_ATTACKS = ["lateral_movement", "low_slow_exfiltration"]

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from ... import fixed_values as V
 from ...functions.timeline import find_hot_keys
-from ...operators import classifier, explain, features, identity, incident, risk, windows
+from ...operators import classifier, explain, features, risk, windows
 from ...sources import access_log as source
 from .. import features as plan
-from .registry import VIEWS, joined, joined_sql, log_of, pretty, query, r6, rounded, train_of
+from .registry import VIEWS, joined, joined_sql, log_of, query, rounded
 
 
 def _case(key: str, table: dict, default) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...operators import clean, validate
 from ...schema import CATEGORICAL_COLUMNS, EVENT_COLUMNS, LABEL_COLUMNS
 from ...sources import access_log as source
-from .registry import VIEWS, dirty_of, joined, joined_sql, log_of, query, rounded
+from .registry import VIEWS, dirty_of, joined, joined_sql, log_of, query
 
 _ALL = ", ".join(EVENT_COLUMNS)
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...operators import clean, evaluate, windows
+from ...operators import clean, evaluate
 from ...operators.identity import build_profiles
 from ...schema import EVENT_COLUMNS, LABEL_COLUMNS
 from ...scratch import scratch_path
 from ...sources import access_log as source
 from ...sources import files
 from .. import features as plan
-from .registry import VIEWS, dirty_of, joined, log_of, query, r6, rounded
+from .registry import dirty_of, joined, log_of, query
 from . import cleaning, identity, triage  # noqa: F401  (their views are used here)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.timeline import find_hot_keys
 from ...operators import identity, storyline
 from ...sources import access_log as source
-from .registry import VIEWS, joined, joined_sql, log_of, pretty, query, r6, rounded, train_of
+from .registry import VIEWS, joined, joined_sql, pretty, query, rounded, train_of
 
 
 def _profile_view(rows: str) -> str:

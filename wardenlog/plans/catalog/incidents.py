@@ -10,7 +10,7 @@ from ...sources import access_log as source
 from .alerts import _case
 from ... import fixed_values as V
 from .identity import NARRATIVE
-from .registry import VIEWS, joined, joined_sql, pretty, query, r6, rounded, train_of
+from .registry import VIEWS, pretty, query, rounded, train_of
 
 _TID = _case("attack_type", {k: v[1] for k, v in V.TECHNIQUES.items()}, V.TECHNIQUE_DEFAULT[1])
 _TNAME = _case("attack_type", {k: v[2] for k, v in V.TECHNIQUES.items()}, V.TECHNIQUE_DEFAULT[2])

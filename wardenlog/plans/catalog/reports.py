@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ...operators import baseline, clean, reports, triage
 from ...sources import access_log as source
-from .registry import VIEWS, haversine, log_of, pretty, query, rounded, train_of
+from .registry import VIEWS, haversine, pretty, query, rounded, train_of
 
 VIEWS["anomalous"] = "SELECT * FROM log WHERE label = 'anomaly'"
 _COUNT = "count(*) FILTER (WHERE label = 'anomaly'{})"

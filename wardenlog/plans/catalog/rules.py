@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.timeline import find_hot_keys
 from ...operators import baseline, features, rules
 from ...sources import access_log as source
-from .registry import VIEWS, frame, log_of, query, rounded, train_of
+from .registry import frame, log_of, query, rounded, train_of
 
 
 @query("r1_brute_force", f"""

@@ -12,7 +12,7 @@ from ...streaming import streams
 from .. import features as plan
 from .models import EVENT_LEVEL, event_level
 from . import cleaning  # noqa: F401  (its views are used here)
-from .registry import VIEWS, dirty_of, joined, log_of, query, r6, rounded, train_of
+from .registry import VIEWS, dirty_of, log_of, query, rounded, train_of
 
 VIEWS["typed_all"] = VIEWS["typed"].replace("FROM firsts", "FROM dirty")
 VIEWS["filled_all"] = VIEWS["filled"].replace("FROM typed", "FROM typed_all")
