@@ -10,13 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the cluster names; only where none is named (tests) under a local one."""
+def scratch_root(spark: SparkSession) -> str:
+    """The folder that the cluster names. Only a local session, whose tasks all see this machine's disk, gets its own."""
     root = spark.conf.get(SETTING, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="wardenlog-")
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="wardenlog-")
         spark.conf.set(SETTING, root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
