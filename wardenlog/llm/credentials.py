@@ -113,7 +113,7 @@ def scanned(docs: DataFrame, **parameters) -> DataFrame:
     fixed = F.filter("spans", lambda s: s["kind"] < KINDS.index("account"))
     return found.select(
         "doc_id", "thash",
-        *[F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
+        *[F.size(F.expr(f"filter(spans, s -> s.kind = {i})")).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
         F.sha2(_listed(fixed).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
