@@ -2,7 +2,7 @@
 
 The standard library's streaming parser gives events; each block of a page is a line with its text, the tags in it and the
 element it stands in. The lines' ratios of text (in code points, links left out) to tags are smoothed by a Gaussian and split
-in two clusters; the lines of the upper one are content. The content region is the smallest section of the page that holds
+in two clusters; the lines of the upper one, but for those that are mostly links, are content. The content region is the smallest section of the page that holds
 nearly all the content's text, or the article or main element around it; its lines are the text, whatever their own ratio,
 without those of menus, notices, adverts, forms, comments and the like, which elements' names, roles and classes tell.
 
@@ -154,7 +154,8 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratio = np.array([max(len(text) - link, 0) / max(tags, 1) for text, link, tags, _, _ in lines])
-    content = clusters(np.log1p(smoothed(ratio)))
+    # A line that is mostly links is none, however long its neighbours.
+    content = clusters(np.log1p(smoothed(ratio))) & np.array([2 * link < len(text) for text, link, *_ in lines])
     # Text of the content in each section and all those around it.
     held: dict[int, int] = {}
     total = 0

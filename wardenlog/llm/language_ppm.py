@@ -55,6 +55,7 @@ class Model:
         for i in range(1, ORDER):
             context = context * a + coded[:, i]
         seen, inverse = np.unique(context, return_inverse=True)
+        inverse = inverse.ravel()
         often = np.bincount(inverse, number, len(seen)) >= MIN_CONTEXT
         deep = seen[often]
         # States: the frequent contexts of full length, and for the rest their longest suffix that some language knows.
@@ -76,7 +77,7 @@ class Model:
         for k in range(len(self.langs)):
             mine = lang == k
             self.bits[:, :, k] = self._lengths(tails, context[mine], coded[mine, ORDER], number[mine])
-        self.bits = self.bits.reshape(-1, len(self.langs))
+        self.bits = self.bits.reshape(self.bits.shape[0] * a, len(self.langs))
 
     def _lengths(self, tails: list[tuple[int, np.ndarray]], context: np.ndarray, symbol: np.ndarray, number: np.ndarray) -> np.ndarray:
         a, out = self.a, []

@@ -16,7 +16,6 @@ own; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,14 +29,20 @@ from .common import column, map_batches, pieces, text_hash
 
 #: CLASSES * CLASSES ids, of which HASHED are shared by tokens without an id of their own.
 CLASSES, HASHED, HIDDEN, SIDE = 32, 64, 16, 2
-TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 16, 2, 2048, 0.15, 11
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 16, 1, 2048, 0.15, 11
+_MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
 _SCALE = 1 << 20
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
 
 
-def tokens(text: str | None) -> list[str]:
-    return _TOKEN.findall(text.lower()) if text else []
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-case words between white space; each ASCII mark is a token of its own."""
+    if not text:
+        return []
+    data = text.lower().encode("utf-8", "surrogatepass")
+    for mark in _MARKS:
+        data = data.replace(mark, b" " + mark + b" ")
+    return data.split()
 
 
 def count_tokens(texts: DataFrame) -> DataFrame:
@@ -47,25 +52,29 @@ def count_tokens(texts: DataFrame) -> DataFrame:
             seen.update(tokens(t))
         return {"token": list(seen), "n": list(seen.values())}
 
-    return map_batches(texts.select("text"), run, "token string, n bigint", heavy="text").groupBy("token").agg(F.sum("n").alias("n"))
+    return map_batches(texts.select("text"), run, "token binary, n bigint", heavy="text").groupBy("token").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    def __init__(self, frequent: list[str], classes: int = CLASSES, hashed: int = HASHED):
+    """Id of each token: its own if it is frequent, else one that it shares with others of its checksum."""
+
+    def __init__(self, frequent: list[bytes], classes: int = CLASSES, hashed: int = HASHED):
         #: The last id stands for places before and after the text.
         self.size, self.pad, self.hashed = classes * classes, classes * classes, hashed
-        self.ids = {t: i for i, t in enumerate(frequent[:self.size - hashed])}
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        first, ids = self.size - self.hashed, self.ids
-        # New tokens are hashed once each.
-        rare = {w: first + zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.hashed for w in set(words) - ids.keys()}
-        return np.fromiter((ids[w] if w in ids else rare[w] for w in words), np.int64, len(words))
+        self.ids = {w: i for i, w in enumerate(frequent[:self.size - hashed])}
+
+    def encode(self, words: list[bytes]) -> np.ndarray:
+        get, crc = self.ids.get, zlib.crc32
+        out = np.array([get(w, -1) for w in words], np.int32)
+        rare = np.nonzero(out < 0)[0]
+        if len(rare):
+            out[rare] = self.size - self.hashed + np.array([crc(words[i]) for i in rare.tolist()], np.int64) % self.hashed
+        return out
 
 
 def vocabulary(texts: DataFrame, classes: int = CLASSES, hashed: int = HASHED) -> Vocabulary:
     top = count_tokens(texts).orderBy(F.desc("n"), "token").limit(classes * classes - hashed)
-    return Vocabulary([r.token for r in top.collect()], classes, hashed)
+    return Vocabulary([bytes(r.token) for r in top.collect()], classes, hashed)
 
 
 class Network:
@@ -93,23 +102,31 @@ class Network:
 
     def hidden_of(self, context: np.ndarray) -> np.ndarray:
         e, b = self.p[:2]
-        total = e[0][context[:, 0]]
+        total = e[0].take(context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            total = total + e[k][context[:, k]]
-        return np.tanh(total + b)
+            total += e[k].take(context[k], axis=0)
+        total += b
+        return np.tanh(total, out=total)
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Log probability (nats) of each target in its context."""
         _, _, wc, bc, ww, bw = self.p
-        h = self.hidden_of(context)
-        kind, place = target // self.classes, target % self.classes
-        out = _log_softmax(h @ wc + bc)[np.arange(len(h)), kind]
-        order = np.argsort(kind, kind="stable")
-        borders = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[borders[c]:borders[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax(h[rows] @ ww[c] + bw[c])[np.arange(len(rows)), place[rows]]
+        # In the order of targets each class is one slice.
+        order = np.argsort(target.astype(np.int16), kind="stable")
+        h, t = self.hidden_of(context)[order], target[order]
+        kind, place = np.divmod(t, self.classes)
+        one = np.ones(self.classes, np.float32)
+        z = h @ wc + bc
+        logs = z[np.arange(len(t)), kind]
+        total = np.log(np.exp(z, out=z) @ one)
+        borders = np.searchsorted(kind, np.arange(self.classes + 1))
+        for c in np.nonzero(np.diff(borders))[0]:
+            s, e = borders[c], borders[c + 1]
+            z = h[s:e] @ ww[c] + bw[c]
+            logs[s:e] += z[np.arange(e - s), place[s:e]]
+            total[s:e] += np.log(np.exp(z, out=z) @ one)
+        out = np.empty(len(t))
+        out[order] = logs - total
         return out
 
     def train(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
@@ -134,7 +151,7 @@ class Network:
         gz = gh * (1 - h * h)
         ge = np.zeros_like(e)
         for k in range(len(OFFSETS)):
-            np.add.at(ge[k], context[:, k], gz)
+            np.add.at(ge[k], context[k], gz)
         for p, g, q in zip(self.p, (ge, gz.sum(axis=0), h.T @ gc, gc.sum(axis=0), gww, gbw), squares):
             g /= n ** 0.5
             q += g * g
@@ -146,11 +163,18 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def contexts(ids: np.ndarray, pad: int, first: int = 0, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Context ids and target of each `step`-th place of a text."""
-    padded = np.concatenate([np.full(SIDE, pad), ids, np.full(SIDE, pad)])
-    at = np.arange(first, len(ids), step)
-    return np.stack([padded[at + SIDE + o] for o in OFFSETS], axis=1), ids[at]
+def laid_out(texts: list[list[bytes]], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one row with SIDE pads before, between and after them, and the place of each token in it."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    at = np.arange(sizes.sum()) + SIDE * (np.repeat(np.arange(len(texts)), sizes) + 1)
+    row = np.full(int(sizes.sum()) + SIDE * (len(texts) + 1), words.pad, np.int32)
+    row[at] = words.encode([w for t in texts for w in t])
+    return row, at
+
+
+def contexts(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids around each of the places, a line for each offset, and the ids at the places."""
+    return np.stack([row[at + o] for o in OFFSETS]), row[at]
 
 
 def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int = TRAIN_EVERY, batch: int = BATCH) -> np.ndarray:
@@ -164,15 +188,17 @@ def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int
         squares, seen, held = [np.zeros_like(p) for p in net.p], 0, []
         count = 0
         for part in chain.from_iterable(pieces(b, "text") for b in batches):
-            for text in part.column(0).to_pylist():
-                found = tokens(text)
-                if not found:
-                    continue
-                held.append(contexts(words.encode(found), words.pad, zlib.crc32(found[0].encode("utf-8", "surrogatepass")) % min(every, len(found)), every))
-                count += len(held[-1][1])
-                if count >= 64 * batch:
-                    seen += steps(net, held, squares)
-                    held, count = [], 0
+            texts = [t for t in map(tokens, part.column(0).to_pylist()) if t]
+            if not texts:
+                continue
+            row, at = laid_out(texts, words)
+            # Of each text every `every`-th place, from one that its first token tells.
+            ends = np.cumsum([len(t) for t in texts])
+            held.append(contexts(row, at[np.concatenate([np.arange(e - len(t) + zlib.crc32(t[0]) % min(every, len(t)), e, every) for e, t in zip(ends, texts)])]))
+            count += len(held[-1][1])
+            if count >= 64 * batch:
+                seen += steps(net, held, squares)
+                held, count = [], 0
         if held:
             seen += steps(net, held, squares)
         if seen:
@@ -182,11 +208,11 @@ def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([seen], pa.int64()), pa.array([part], pa.list_(pa.int64()))], ["first", "seen", "gain"])
 
     def steps(net: Network, held: list, squares: list[np.ndarray]) -> int:
-        context, target = np.concatenate([c for c, _ in held]), np.concatenate([t for _, t in held])
+        context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
         order = np.random.default_rng(SEED).permutation(len(target))
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
-            net.train(context[rows], target[rows], squares)
+            net.train(context[:, rows], target[rows], squares)
         return len(target)
 
     made = texts.select("text").mapInArrow(run, "first bigint, seen bigint, gain array<bigint>")
@@ -215,10 +241,11 @@ def score(docs: DataFrame, words: Vocabulary, net: Network, id_col: str = "doc_i
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         words, net = shared.value
-        made = [contexts(words.encode(tokens(t)), words.pad) for t in cols.pop("text")]
-        n = [len(t) for _, t in made]
-        context, target = np.concatenate([c for c, _ in made]), np.concatenate([t for _, t in made])
-        logs = np.concatenate([np.zeros(0)] + [net.log_probabilities(context[i:i + 32768], target[i:i + 32768]).astype(np.float64) for i in range(0, len(target), 32768)])
+        texts = [tokens(t) for t in cols.pop("text")]
+        n = [len(t) for t in texts]
+        row, at = laid_out(texts, words)
+        logs = [net.log_probabilities(*contexts(row, at[i:i + 8192])) for i in range(0, len(at), 8192)]
+        logs = np.concatenate([np.zeros(0), *logs])
         sums = [0.0 if not k else float(logs[e - k:e].sum()) for k, e in zip(n, np.cumsum(n))]
         return cols | {"n_tokens": n, "pll": sums, "pll_per_token": [s / k if k else 0.0 for s, k in zip(sums, n)]}
 

@@ -167,7 +167,8 @@ class Encoder:
     def forget(self) -> None:
         """Start without words: number of each word, and by that number best score, gap, and place of its ids in `flat`."""
         self.number: dict[str, int] = {}
-        self.value, self.gap, self.start, self.count = (np.zeros(0) for _ in range(4))
+        self.value, self.gap = np.zeros(0), np.zeros(0)
+        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
         self.options: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
 

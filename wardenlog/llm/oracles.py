@@ -1,5 +1,72 @@
-"""SQL counterparts of the queries."""
+"""SQL counterparts of the queries that SQL can express; the others are tested against brute force."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .line_frequency import MAX_DOCS, MAX_REMOVED, MAX_SHARE, MIN_WORDS
+from .positional import WINDOW
+from .warc_zip import MIN_BYTES
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+OP2 = f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS digest FROM p),
+f AS (SELECT digest, max(page_id) AS response FROM d WHERE n >= {MIN_BYTES} GROUP BY digest)
+SELECT d.page_id, d.n AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN d.page_id < f.response THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN d.page_id < f.response THEN f.response END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest
+"""
+
+OP4 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, regexp_extract_all(text, '{_WORD}') AS w FROM d),
+pos AS (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3),
+tri AS (SELECT r, i, [w[i], w[i + 1], w[i + 2]] AS t FROM pos),
+again AS (SELECT r, i FROM tri QUALIFY count(*) OVER (PARTITION BY r, t) > 1),
+covered AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j FROM again) GROUP BY r),
+raw AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
+  trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm
+  FROM raw WHERE regexp_matches(line, '{_WORD}')),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+held AS (SELECT l.r, d.source, d.doc_id, d.text, l.norm, sum(l.n) AS n FROM lines l JOIN d USING (r) WHERE norm <> '' GROUP BY ALL),
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+freq AS (SELECT h.source, h.norm, count(DISTINCT h.text) AS docs, min(h.doc_id) AS first_id FROM held h GROUP BY h.source, h.norm),
+gone AS (SELECT h.r, sum(h.n) AS n FROM held h JOIN freq f ON h.norm = f.norm AND h.source IS NOT DISTINCT FROM f.source
+  JOIN hosts s ON s.source IS NOT DISTINCT FROM h.source
+  WHERE f.docs > {MAX_DOCS} AND f.docs > {MAX_SHARE} * s.n AND h.doc_id IS DISTINCT FROM f.first_id GROUP BY h.r),
+base AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
+  FROM d JOIN w USING (r) LEFT JOIN dup USING (r) LEFT JOIN covered USING (r) LEFT JOIN gone USING (r))
+SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND n_removed_words <= {MAX_REMOVED}::DOUBLE * n_words AS kept FROM base
+"""
+
+_BENCH_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _bench_words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '{_BENCH_WORD}')"
+
+
+OP8 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_bench_words('text')} AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, {_bench_words('text')} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM
+  (SELECT item, w, least(len(w), {WINDOW}) AS k, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS win FROM
+  (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+m AS (SELECT dw.r, dw.i, dw.k, bw.item FROM dw JOIN bw ON dw.win = bw.win AND dw.k = bw.k),
+hit AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + k)) AS j FROM m) GROUP BY r),
+items AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM m GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(len(items.items), 0)::BIGINT AS n_items,
+  sha256(coalesce(array_to_string(items.items, ','), '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8}

@@ -115,14 +115,13 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     p, u = np.sort(net.scores(positive[1::2]))[::-1], np.sort(net.scores(unlabelled[1::2]))[::-1]
     if not len(p) or not len(u):
         return 0.5
-    margin = np.sqrt(np.log(20) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
-    ratios = []
+    margin = np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    bounds = []
     for q in np.linspace(0.05, 1.0, 96):
-        cut = p[min(len(p) - 1, int(q * len(p)))] if q < 1 else p[-1]
+        cut = p[min(len(p) - 1, int(q * len(p)))]
         tail_p, tail_u = (p >= cut).mean(), (u >= cut).mean()
-        if tail_p > 0:
-            ratios.append(((tail_u + margin * tail_u ** 0.5) / tail_p, tail_u / tail_p))
-    return float(np.clip(min(ratios)[1], 0.05, 0.98)) if ratios else 0.5
+        bounds.append(((tail_u + margin) / tail_p, tail_u / tail_p))
+    return float(np.clip(min(bounds)[1], 0.05, 0.98))
 
 
 def _drawn(texts: DataFrame, most: int, total: int) -> np.ndarray:
