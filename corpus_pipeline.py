@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wardenlog.llm import credentials, line_frequency, nbest, positional, simhash_golay
-from wardenlog.llm.common import table
+from wardenlog.llm.common import settled, table
 from wardenlog.scratch import scratch_path
-from wardenlog.session import apply_settings
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    apply_settings(spark)
+    settled(spark)
     return line_frequency.keep_good(docs)
 
 

@@ -9,8 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import apply_settings
+
 #: Texts that a task holds at once, in bytes; a longer text makes a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+#: Texts are long: small batches keep what the JVM and a Python worker hold of them small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def settled(spark: SparkSession) -> SparkSession:
+    apply_settings(spark)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

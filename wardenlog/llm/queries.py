@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import apply_settings
 from . import (
     credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, positional, pu_quality, simhash_golay, warc_zip)
-from .common import fold, table
+from .common import fold, settled, table
 from .oracles import ORACLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(apply_settings(spark), sf_dir)
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(settled(spark), sf_dir)
     return fn
 
 
