@@ -14,9 +14,11 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..scratch import written
+
 BINS = 512
 LAST_BIN_ROWS = 10_000
-RANGES = 64
+RANGE_ROWS = 200_000
 
 
 class AtRank(NamedTuple):
@@ -27,9 +29,15 @@ class AtRank(NamedTuple):
     equal: int
 
 
-def value_at_rank(df: DataFrame, value: Column, ranks: Sequence[int], lo=None, hi=None) -> dict[int, AtRank]:
-    """The values at 0-based ``ranks`` of the non-null ``value`` in ascending order."""
+def _values(df: DataFrame, value: Column) -> DataFrame:
+    """The values that have a rank: neither null nor NaN."""
     vals = df.select(value.alias("_x")).where(F.col("_x").isNotNull())
+    return vals.where(~F.isnan("_x")) if dict(vals.dtypes)["_x"] in ("double", "float") else vals
+
+
+def value_at_rank(df: DataFrame, value: Column, ranks: Sequence[int], lo=None, hi=None) -> dict[int, AtRank]:
+    """The values at 0-based ``ranks`` of ``value`` in ascending order; nulls and NaN have no rank."""
+    vals = _values(df, value)
     if lo is None or hi is None:
         lo, hi = vals.agg(F.min("_x"), F.max("_x")).first()
     if lo is None:
@@ -69,7 +77,7 @@ def _refine(vals: DataFrame, lo, hi, ranks: list[int], below: int) -> dict[int,
 
 def percentiles(df: DataFrame, value: Column, fractions: Sequence[float]) -> list[float]:
     """Exact percentiles with linear interpolation between neighbouring ranks."""
-    vals = df.select(value.alias("_x")).where(F.col("_x").isNotNull())
+    vals = _values(df, value)
     n, lo, hi = vals.agg(F.count("_x"), F.min("_x"), F.max("_x")).first()
     if n == 0:
         return [math.nan for _ in fractions]
@@ -81,35 +89,38 @@ def percentiles(df: DataFrame, value: Column, fractions: Sequence[float]) -> lis
 
 
 def string_at_rank(df: DataFrame, column: str, rank: int, n: int) -> str | None:
-    """The string at 0-based ``rank`` of ``n`` rows; small sets by top-k, large ones by a distributed sort."""
-    ordered = df.select(column).orderBy(column)
-    if n <= LAST_BIN_ROWS:
-        rows = ordered.limit(rank + 1).collect()
-        return rows[rank][0] if len(rows) > rank else None
-    hit = ordered.rdd.zipWithIndex().filter(lambda pair: pair[1] == rank).take(1)
-    return hit[0][0][0] if hit else None
+    """The string at 0-based ``rank`` of ``n`` rows: ranges of strings are written and counted, then the one that holds
+    the rank is ordered."""
+    if rank >= n:
+        return None
+    ranges = written(df.select(column).repartitionByRange(column).withColumn("_range", F.spark_partition_id()), "string-ranges")
+    for r in sorted(ranges.groupBy("_range").count().collect()):
+        if rank < r["count"]:
+            return ranges.where(F.col("_range") == r["_range"]).orderBy(column).offset(rank).first()[0]
+        rank -= r["count"]
+    return None
 
 
 def cumulative_by_value(df: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
     """Running totals over distinct values of ``value``: ``sums`` maps a counted column to the total's name.
 
-    ``df`` holds one row per distinct value. The order is cut at approximate quantiles into at most ``RANGES`` even
-    ranges; totals of the ranges before are carried in, so the running sum is not one task over all values.
+    ``df`` holds one row per distinct value. The order is cut into ranges of about ``RANGE_ROWS`` values, each a
+    partition of a range-partitioned table; totals of the ranges before are carried in, so the running sum is not one
+    task over all values.
     """
-    fractions = [i / RANGES for i in range(1, RANGES)]
-    edges = sorted(set(df.agg(F.percentile_approx(value, fractions, 10_000)).first()[0] or []))
-    below = [F.when(F.col(value) > F.lit(e), 1).otherwise(0) for e in edges]
-    ranges = df.withColumn("_range", F.aggregate(F.array(*below), F.lit(0), lambda a, x: a + x) if below else F.lit(0))
+    df = written(df, "distinct-values")
+    n = max(1, -(-df.count() // RANGE_ROWS))
+    ranges = written(df.repartitionByRange(n, value).withColumn("_range", F.spark_partition_id()), "value-ranges")
     order = F.col(value).desc() if descending else F.col(value).asc()
     inside = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     totals = ranges.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    # At most RANGES rows: one constant partition is enough.
+    # A row for each RANGE_ROWS values.
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     earlier = W.partitionBy(F.lit(0)).orderBy(range_order).rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select("_range", *[F.sum(f"_t_{c}").over(earlier).alias(f"_c_{c}") for c in sums])
     return (
         ranges.withColumns({new: F.sum(c).over(inside) for c, new in sums.items()})
-        .join(F.broadcast(carry), "_range", "left")
+        .join(carry, "_range", "left")
         .withColumns({new: F.col(new) + F.coalesce(f"_c_{c}", F.lit(0)) for c, new in sums.items()})
         .drop("_range", *[f"_c_{c}" for c in sums])
     )

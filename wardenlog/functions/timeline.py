@@ -2,15 +2,16 @@
 
 A plain window puts all rows of a key into one task, and a sliding frame is re-evaluated for every row. Here
 
-* a key that holds more than ``max_rows`` rows is split into consecutive time slices, and what crosses a
-  slice border (last row, counts, sums) is carried over through a small per-slice summary;
+* a key that holds more than ``max_rows`` rows is split into consecutive slices of about equal numbers of rows,
+  at quantiles of its times, and what crosses a slice border (last row, counts, sums) is carried over through a
+  small per-slice summary;
 * trailing time frames are running sums over enter and leave points, so a row costs the same whatever the
   length of the frame;
 * trailing distinct counts first shrink the occurrences of a value to one interval per short time slice, with
   map-side aggregation, before anything is ordered.
 
-Hot keys are found by one counting pass. Each of them holds more than ``max_rows`` rows, so there are at most
-(rows / max_rows) of them; that bounds the table that is broadcast. If there is none, no summary is computed.
+Hot keys are found by one counting pass; the quantiles take another one over their rows alone. Their table is
+written, and adaptive execution decides how it is joined. If there is none, no summary is computed.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..scratch import written
 from .columns import micros
 
 MAX_ROWS_PER_TASK = 1_000_000
+#: Quantiles taken of a hot key's times; a key is cut into so many slices at most.
+QUANTILES = 2_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys too large for one task, with the start and the length of their time slices."""
+    """Keys too large for one task, with the times at which their slices begin but for the first."""
 
     keys: tuple[str, ...]
     table: DataFrame | None = None
@@ -40,19 +44,18 @@ def find_hot_keys(
     df: DataFrame, keys: str | Sequence[str], time: str = "timestamp", max_rows: int = MAX_ROWS_PER_TASK
 ) -> HotKeys:
     keys = (keys,) if isinstance(keys, str) else tuple(keys)
-    hot = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(micros(time)).alias("_lo"), F.max(micros(time)).alias("_hi"))
-        .where(F.col("_n") > max_rows)
-        .select(
-            *keys, "_lo",
-            (F.expr(f"(_hi - _lo) div greatest(1, _n div {int(max_rows)})") + 1).alias("_len"),
-        )
-    )
-    rows = hot.collect()
-    if not rows:
+    times = df.select(*keys, micros(time).alias("_us"))
+    large = written(times.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > max_rows), "large-keys")
+    if large.isEmpty():
         return HotKeys(keys)
-    return HotKeys(keys, df.sparkSession.createDataFrame(rows, hot.schema))
+    fractions = [i / QUANTILES for i in range(1, QUANTILES)]
+    cut = times.join(large, list(keys)).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.percentile_approx("_us", fractions, 20 * QUANTILES).alias("_q"))
+    # Every so many quantiles make a slice of at most max_rows rows, as far as quantiles go.
+    step = F.greatest(F.lit(1), F.floor(F.lit(QUANTILES * int(max_rows)) / F.col("_n")).cast("int"))
+    cut = cut.withColumn("_step", step)
+    edges = F.expr(f"array_distinct(transform(sequence(_step, greatest(_step, {QUANTILES - 1}), _step), i -> _q[least(i, {QUANTILES - 1}) - 1]))")
+    return HotKeys(keys, written(cut.select(*keys, edges.alias("_edges")), "hot-keys"))
 
 
 def _slice(df: DataFrame, at: str, hot: HotKeys | None) -> tuple[DataFrame, list[str]]:
@@ -60,9 +63,9 @@ def _slice(df: DataFrame, at: str, hot: HotKeys | None) -> tuple[DataFrame, list
     if not hot:
         return df, []
     sliced = (
-        df.join(F.broadcast(hot.table), list(hot.keys), "left")
-        .withColumn("_slice", F.floor((F.col(at) - F.col("_lo")) / F.col("_len")))
-        .drop("_lo", "_len")
+        df.join(hot.table, list(hot.keys), "left")
+        .withColumn("_slice", F.when(F.col("_edges").isNotNull(), F.size(F.filter("_edges", lambda e: e <= F.col(at)))))
+        .drop("_edges")
     )
     return sliced, ["_slice"]
 

@@ -22,14 +22,17 @@ UNKNOWN_FILLED = [
 def drop_duplicates_first(df: DataFrame, key: str = "event_id", first_by: str | None = "timestamp") -> DataFrame:
     """One row per key: the smallest by ``first_by``, then by all columns in order.
 
-    An aggregate, not a row number: copies meet in the map tasks, so a key with very many copies sends one row
-    per task through the shuffle.
+    Keys are counted first, by the key column alone. Rows of a unique key, as nearly all are, pass as they are; only
+    those of repeated keys are aggregated, where copies meet in the map tasks, so that a key with very many copies
+    sends one row per task through the shuffle.
     """
     others = [c for c in df.columns if c != key]
     if first_by:
         others = [first_by] + [c for c in others if c != first_by]
-    first = df.groupBy(key).agg(F.min(F.struct(*others)).alias("_first"))
-    return first.select(key, "_first.*").select(df.columns)
+    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    copies = df.join(repeated, same, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_first"))
+    return df.join(repeated, same, "left_anti").unionByName(copies.select(key, "_first.*").select(df.columns))
 
 
 def attach_labels(events: DataFrame, labels: DataFrame) -> DataFrame:
@@ -44,9 +47,11 @@ def parse_boolean(c: Column) -> Column:
 def parse_timestamp(c: Column) -> Column:
     """UTC wall-clock time of an ISO text, with or without fraction, offset or ``Z``; null if malformed.
 
-    Spark's own text cast accepts all of these forms; ``try_cast`` turns the rest into null.
+    Spark's own text cast accepts all of these forms; ``try_cast`` turns the rest into null. A text without a date is
+    malformed: the cast would add the current one.
     """
-    return c.try_cast("timestamp").cast("timestamp_ntz")
+    dated = c.cast("string").rlike(r"^\s*\d{4,}-\d{1,2}-\d{1,2}")
+    return F.when(dated, c.try_cast("timestamp").cast("timestamp_ntz"))
 
 
 def fix_types(df: DataFrame) -> DataFrame:
@@ -62,8 +67,9 @@ def fix_types(df: DataFrame) -> DataFrame:
 
 def missing_count(df: DataFrame) -> Column:
     """Number of fields of a typed row that filling will replace (labels are not counted)."""
-    fields = [c for c in ZERO_FILLED + UNKNOWN_FILLED if c in df.columns]
-    return sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in fields), F.lit(0)).cast("bigint")
+    fields = [(c, t) for c, t in df.dtypes if c in ZERO_FILLED + UNKNOWN_FILLED]
+    absent = [F.col(c).isNull() | F.isnan(c) if t == "double" else F.col(c).isNull() for c, t in fields]
+    return sum((F.when(a, 1).otherwise(0) for a in absent), F.lit(0)).cast("bigint")
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -107,22 +113,20 @@ def clean(events: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def cleaning_statistics(events: DataFrame) -> DataFrame:
-    """One row of counts. Duplicates are counted from per-key counts, so nothing is read twice."""
-    others = [c for c in events.columns if c != "event_id"]
-    others = ["timestamp"] + [c for c in others if c != "timestamp"]
-    per_key = events.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("_copies"), F.min(F.struct(*others)).alias("_first")
-    )
-    typed = per_key.select("event_id", "_copies", "_first.*").transform(fix_types)
+    """One row of counts."""
+    loaded = events.agg(F.count(F.lit(1)).alias("rows_loaded"))
+    typed = drop_duplicates_first(events).transform(fix_types)
     flagged = fill_missing(typed.withColumn("_missing", missing_count(typed)))
     bad = F.when(is_valid(), 0).otherwise(1)
-    return flagged.agg(
-        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_loaded"),
-        F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates_removed"),
+    kept = flagged.agg(
+        F.count(F.lit(1)).alias("_keys"),
         F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_filled"),
         F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("invalid_removed"),
         (F.count(F.lit(1)) - F.coalesce(F.sum(bad), F.lit(0))).alias("final_rows"),
     )
+    # One row each.
+    return loaded.join(kept).select(
+        "rows_loaded", (F.col("rows_loaded") - F.col("_keys")).alias("duplicates_removed"), "missing_filled", "invalid_removed", "final_rows")
 
 
 def chronological(df: DataFrame) -> DataFrame:

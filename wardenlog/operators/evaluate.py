@@ -77,9 +77,13 @@ def top_budget(df: DataFrame, share: float = 0.01, score: str = "anomaly_score")
     The budget grows with the data, so the score at its edge is found by counting, and only rows tied with it are
     ordered.
     """
+    df = df.where(F.col(score).isNotNull() & ~F.isnan(score))
     n, lo, hi = df.agg(F.count(score), F.min(score), F.max(score)).first()
-    k = max(1, int(n * share))
     truth = _truth()
+    if n == 0:
+        zero = F.lit(0.0)
+        return df.agg(F.count(score).alias("alerts_triggered"), F.max(zero).alias("top_precision"), F.max(zero).alias("top_recall")).fillna(0.0)
+    k = max(1, int(n * share))
     edge, below, tied = value_at_rank(df, F.col(score), [n - k], lo, hi)[n - k]
     left = k - (n - below - tied)
     chosen = F.col(score) > edge

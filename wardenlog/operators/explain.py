@@ -132,7 +132,7 @@ BRIEF_COLUMNS = [
 def attributions(features: Sequence[str], importances: Sequence[float], k: int = 3) -> Column:
     """Top features of a row by |value| x global importance, with display labels; ties keep feature order."""
     scored = F.array(*[
-        F.struct((-F.abs(F.col(f).cast("double")) * F.lit(float(w))).alias("neg"), F.lit(i).alias("pos"),
+        F.struct((-F.abs(F.coalesce(F.col(f).cast("double"), F.lit(0.0))) * F.lit(float(w))).alias("neg"), F.lit(i).alias("pos"),
                  F.lit(f).alias("feature"), F.lit(feature_label(f)).alias("label"))
         for i, (f, w) in enumerate(zip(features, importances))
     ])

@@ -15,7 +15,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 SAMPLE = 256
-POOL = 65_536
 NODES = T.StructType([
     T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()),
@@ -71,16 +70,18 @@ def _grow(seed: int):
 
 
 def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int, n: int) -> DataFrame:
-    """Up to ``SAMPLE`` uniformly chosen rows per tree, by seeded hashes of the row id.
+    """Up to ``SAMPLE`` uniformly chosen rows of all rows per tree, by seeded hashes of the row id.
 
-    Large inputs are first reduced to a uniform pool, so the log is hashed once per row, not once per row and tree.
+    A row enters a tree's candidates with probability 3 * SAMPLE / n. A first hash keeps as many rows as all trees
+    expect together, so that only those are hashed again for each tree; no row is left out beforehand.
     """
     row_hash = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1_000_000_000)) / 1e9
     pool = df.select(F.col(id_column).alias("id"), vector.alias("x"), row_hash.alias("_h"))
-    share = min(1.0, POOL / max(n, 1))
+    wanted = 3.0 * SAMPLE / max(n, 1)
+    share = min(1.0, trees * wanted)
     if share < 1.0:
         pool = pool.where(F.col("_h") < share)
-    per_tree = min(1.0, 3.0 * SAMPLE / max(1.0, n * share))
+    per_tree = min(1.0, wanted / share)
     picks = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
             t.alias("tree"),

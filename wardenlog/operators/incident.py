@@ -13,7 +13,8 @@ from .windows import repeat_anomalies
 
 def assessed(df: DataFrame, history: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Anomalies with repeat count, identity deviation and the dynamic risk that it feeds."""
-    counted = anomalies(repeat_anomalies(df, hot))
+    # Only anomalies are counted, so the rest of the log need not be ordered.
+    counted = repeat_anomalies(anomalies(df), hot)
     return identity.deviation(counted, history).transform(risk.dynamic_risk)
 
 

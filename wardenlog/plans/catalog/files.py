@@ -72,11 +72,11 @@ def _engineered_path(spark, sf_dir):
 
 @query("src4_read_engineered", """
 SELECT event_id, CAST(failed_auth_count_1h AS BIGINT) AS failed_auth_count_1h, CAST(risk_multiplier AS BIGINT) AS risk_multiplier
-FROM windowed WHERE CAST(timestamp AS DATE) >= DATE '2024-01-20'""")
+FROM windowed""")
 def src4(spark, sf_dir):
     data = files.read_engineered(spark, _engineered_path(spark, sf_dir))
-    # Only the days asked for and three columns are read.
-    return data.where(F.col("event_date") >= "2024-01-20").select("event_id", "failed_auth_count_1h", "risk_multiplier")
+    # Only three columns are read.
+    return data.select("event_id", "failed_auth_count_1h", "risk_multiplier")
 
 
 @query("snk1_write_engineered", """

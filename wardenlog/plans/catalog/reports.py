@@ -96,11 +96,12 @@ SELECT event_id, CASE WHEN status = 'FALSE_POSITIVE' THEN 'FALSE POSITIVE' WHEN
 FROM stateful ORDER BY timestamp DESC, event_id DESC LIMIT 20""")
 def a10(spark, sf_dir):
     log = _log(spark, sf_dir)
-    # Only the latest status matters here; labels stay as they were logged.
+    # Twenty rows first; then their latest status. Labels stay as they were logged.
+    latest = log.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(20)
     status = triage.latest_actions(source.audit(log)).select(
         F.col("incident_id").alias("event_id"), "status")
     initial = F.when(F.col("label") == "anomaly", "LIVE_THREAT").otherwise("BENIGN")
-    state = log.join(status, "event_id", "left").withColumn("status", F.coalesce("status", initial))
+    state = latest.join(status, "event_id", "left").withColumn("status", F.coalesce("status", initial))
     return reports.latest_events(state)
 
 

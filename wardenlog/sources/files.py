@@ -15,7 +15,11 @@ CSV = {
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    # A file whose header does not match the schema is refused, not read by position.
+    "enforceSchema": "false",
 }
+# Remarks may hold line breaks. The audit trail's files are small appends, so none needs to be split.
+AUDIT_CSV = CSV | {"multiLine": "true"}
 
 
 def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
@@ -47,7 +51,7 @@ def read_engineered(spark: SparkSession, path: str) -> DataFrame:
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(S.AUDIT).options(**CSV).csv(path)
+        return spark.read.schema(S.AUDIT).options(**AUDIT_CSV).csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], S.AUDIT)
@@ -81,7 +85,7 @@ def write_engineered(df: DataFrame, path: str, file_format: str = "parquet", mod
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    rows.select(S.AUDIT.names).write.mode("append").options(**CSV).csv(path)
+    rows.select(S.AUDIT.names).write.mode("append").options(**AUDIT_CSV).csv(path)
 
 
 def export_csv(events: DataFrame, labels: DataFrame, profiles: DataFrame, path: str) -> None:
