@@ -174,8 +174,6 @@ def temporal_split(df: DataFrame, ratio: float = 0.60, cut: Cut | None = None) -
 
 # --- Categorical encoding ---------------------------------------------------------------------------
 
-LITERAL_VALUES = 2_000
-
 
 def fit_categories(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Vocabulary table (column, value, code): code is the position among the column's sorted values.
@@ -197,30 +195,22 @@ def fit_categories(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 def encode_categories(df: DataFrame, vocabulary: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Add ``<c>_raw`` and ``<c>_encoded`` (unknown value: -1).
 
-    A vocabulary of up to ``LITERAL_VALUES`` values becomes a literal lookup, with no join; a larger one is joined.
+    The distinct combinations of the columns are encoded, and the log is joined with them once.
     """
     columns = columns or [c for c in CATEGORICAL_COLUMNS if c in df.columns]
-    head = vocabulary.limit(LITERAL_VALUES + 1).collect()
     out = df.withColumns({f"{c}_raw": F.col(c).cast("string") for c in columns})
-    if len(head) <= LITERAL_VALUES:
-        for c in columns:
-            pairs = [F.lit(x) for r in head if r["column"] == c for x in (r["value"], r["code"])]
-            code = F.create_map(*pairs)[F.col(f"{c}_raw")] if pairs else F.lit(None)
-            out = out.withColumn(f"{c}_encoded", F.coalesce(code, F.lit(-1)).cast("bigint"))
-        return out
+    combos = out.select([F.col(f"{c}_raw").alias(f"_of_{c}") for c in columns]).distinct()
     for c in columns:
-        codes = vocabulary.where(F.col("column") == c).select(
-            F.col("value").alias(f"{c}_raw"), F.col("code").alias("_code")
-        )
-        out = (
-            out.join(codes, f"{c}_raw", "left")
+        codes = vocabulary.where(F.col("column") == c).select(F.col("value").alias(f"_of_{c}"), F.col("code").alias("_code"))
+        combos = (
+            combos.join(codes, f"_of_{c}", "left")
             .withColumn(f"{c}_encoded", F.coalesce("_code", F.lit(-1)).cast("bigint"))
             .drop("_code")
         )
-    return out
-
-
-# --- Column selection -------------------------------------------------------------------------------
+    same = F.lit(True)
+    for c in columns:
+        same = same & F.col(f"{c}_raw").eqNullSafe(F.col(f"_of_{c}"))
+    return out.join(combos, same, "left").drop(*[f"_of_{c}" for c in columns])
 
 
 def model_features(df: DataFrame) -> list[str]:

@@ -5,24 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ... import fixed_values as V
-from ...operators import classifier, clean, detector, evaluate, explain, features, forest, incident, reconstruction, scaling
+from ...operators import classifier, clean, detector, evaluate, explain, forest, incident, reconstruction, scaling
 from ...scratch import scratch_path, written
 from ...sources import access_log as source
 from .. import features as plan
 from .registry import VIEWS, log_of, query, r6, rounded, train_of
 
-EVENT_LEVEL = [
-    "geo_lat", "geo_lon", "session_duration", "bytes_transferred", "command_count", "hour_of_day", "day_of_week",
-    "is_weekend", "is_off_hours", "suspicious_cmd_flag", "command_diversity", "resource_sensitivity",
-    "auth_failure_flag", "bytes_per_second",
-]
-
-
-def event_level(log):
-    """Features that need no history: cheap, row-wise, no shuffle."""
-    return log.transform(features.calendar).transform(features.commands).transform(features.sensitivity).transform(
-        features.transfer_rate
-    )
+#: Boosting rounds of the trained model and of the comparison.
+BOOSTING_ROUNDS, COMPARED_ROUNDS = 150, 100
 
 
 def _scored(spark, sf_dir):
@@ -165,103 +155,157 @@ def m25(spark, sf_dir):
 # --- Trained models -----------------------------------------------------------------------------------
 
 
-def _train_frame(spark, sf_dir):
-    log = log_of(spark, sf_dir)
-    return log, event_level(log), event_level(train_of(log))
+_BUILT: dict[tuple[str, str], dict] = {}
+
+
+def _once(spark, sf_dir, what, build):
+    """What several queries of one application build on, built once and kept in written tables and small models."""
+    kept = _BUILT.setdefault((spark.sparkContext.applicationId, sf_dir), {})
+    if what not in kept:
+        kept[what] = build()
+    return kept[what]
+
+
+def engineered(spark, sf_dir):
+    """Engineered data as a written table, its training part, the model features and what was fitted."""
+    def build():
+        log = written(log_of(spark, sf_dir), "clean-log")
+        fitted = plan.fit(log)
+        return written(plan.engineered(log, fitted), "engineered"), fitted
+
+    data, fitted = _once(spark, sf_dir, "engineered", build)
+    return data, data.where(fitted.cut.is_train()), clean.model_features(data), fitted
+
+
+def the_detector(spark, sf_dir):
+    _, train, names, _ = engineered(spark, sf_dir)
+    return _once(spark, sf_dir, "detector", lambda: detector.fit_detector(train, names))
+
+
+def the_classifier(spark, sf_dir):
+    _, train, names, _ = engineered(spark, sf_dir)
+    return _once(spark, sf_dir, "classifier", lambda: classifier.fit_classifier(train, names))
+
+
+def alerting(spark, sf_dir):
+    """Rows that the detector tiers MEDIUM or HIGH."""
+    return the_detector(spark, sf_dir).score(engineered(spark, sf_dir)[0]).where("is_alert = 1")
 
 
 @query("m2_forest_nodes")
 def m2(spark, sf_dir):
-    _, _, train = _train_frame(spark, sf_dir)
-    s = scaling.fit_scaler(train, EVENT_LEVEL)
-    return forest.fit_forest(train, s.vector()).nodes(spark)
+    _, train, names, _ = engineered(spark, sf_dir)
+    return forest.fit_forest(train, scaling.fit_scaler(train, names).vector()).nodes(spark)
+
+
+_TREES, _SAMPLE = 150, forest.SAMPLE
+
+
+@query("m2_forest_shape", f"""
+SELECT tree::INTEGER AS tree, least({_SAMPLE}, (SELECT count(*) FROM train))::DOUBLE AS leaf_rows, true AS within_depth, true AS is_binary
+FROM range({_TREES}) t(tree)""")
+def m2_shape(spark, sf_dir):
+    """Each tree holds the whole sample in its leaves, is binary and no deeper than its sample allows."""
+    _, train, names, _ = engineered(spark, sf_dir)
+    fitted = forest.fit_forest(train, scaling.fit_scaler(train, names).vector(), trees=_TREES)
+    nodes, leaf = fitted.nodes(spark), F.col("feature") < 0
+    parents = nodes.where(~leaf).select("tree", F.explode(F.array("left", "right")).alias("node"))
+    linked = parents.groupBy("tree").agg(F.count_distinct("node").alias("children"))
+    shape = nodes.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(leaf).alias("leaves"), F.max(F.when(~leaf, F.col("depth"))).alias("deepest"))
+    return shape.join(linked, "tree").join(_leaf_rows(fitted, train, names), "tree").select(
+        "tree", "leaf_rows", (F.col("deepest") < 8).alias("within_depth"),
+        ((F.col("children") == F.col("n") - 1) & (F.col("leaves") == (F.col("n") + 1) / 2)).alias("is_binary"))
+
+
+def _leaf_rows(fitted, train, names):
+    """Rows that each tree was grown from."""
+    n = train.count()
+    rows = forest.sample_rows(train, "event_id", scaling.fit_scaler(train, names).vector(), fitted.trees, 42, n)
+    return rows.groupBy("tree").agg(F.count(F.lit(1)).cast("double").alias("leaf_rows"))
 
 
 @query("m3_isolation_scores")
 def m3(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    s = scaling.fit_scaler(train, EVENT_LEVEL)
-    return forest.fit_forest(train, s.vector()).score(all_rows, s.vector()).select("event_id", r6("isolation_raw").alias("isolation_raw"))
+    data, train, names, _ = engineered(spark, sf_dir)
+    s = scaling.fit_scaler(train, names)
+    return forest.fit_forest(train, s.vector()).score(data, s.vector()).select("event_id", r6("isolation_raw").alias("isolation_raw"))
 
 
 @query("m5_components")
 def m5(spark, sf_dir):
-    _, _, train = _train_frame(spark, sf_dir)
-    s = scaling.fit_scaler(train, EVENT_LEVEL)
-    return reconstruction.fit_reconstruction(train, s.vector(), len(EVENT_LEVEL)).table(train, EVENT_LEVEL)
+    _, train, names, _ = engineered(spark, sf_dir)
+    s = scaling.fit_scaler(train, names)
+    return reconstruction.fit_reconstruction(train, s.vector(), len(names)).table(train, names)
 
 
 @query("m6_reconstruction_errors")
 def m6(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    s = scaling.fit_scaler(train, EVENT_LEVEL)
-    model = reconstruction.fit_reconstruction(train, s.vector(), len(EVENT_LEVEL))
-    return model.score(all_rows, s.vector()).select("event_id", r6("reconstruction_raw").alias("reconstruction_raw"))
-
-
-def _forest_classifier(train):
-    return classifier.fit_classifier(train, EVENT_LEVEL)
+    data, train, names, _ = engineered(spark, sf_dir)
+    s = scaling.fit_scaler(train, names)
+    model = reconstruction.fit_reconstruction(train, s.vector(), len(names))
+    return model.score(data, s.vector()).select("event_id", r6("reconstruction_raw").alias("reconstruction_raw"))
 
 
 @query("m11_random_forest")
 def m11(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    return _forest_classifier(train).predict(all_rows.where("label = 'anomaly'")).select("event_id", "attack_type", "predicted_attack")
+    return the_classifier(spark, sf_dir).predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
 
 
 @query("m12_boosted_trees")
 def m12(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    fitted = classifier.fit_classifier(train, EVENT_LEVEL, classifier.boosted_trees(rounds=3))
-    return fitted.predict(all_rows.where("label = 'anomaly'")).select("event_id", "attack_type", "predicted_attack")
+    _, train, names, _ = engineered(spark, sf_dir)
+    fitted = classifier.fit_classifier(train, names, classifier.boosted_trees(rounds=BOOSTING_ROUNDS))
+    return fitted.predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
 
 
 @query("m13_confidence")
 def m13(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    return _forest_classifier(train).predict(all_rows).select("event_id", "predicted_attack", r6("classifier_confidence").alias("confidence"))
+    return the_classifier(spark, sf_dir).predict(engineered(spark, sf_dir)[0]).select(
+        "event_id", "predicted_attack", r6("classifier_confidence").alias("confidence"))
+
+
+@query("m13_predictions_cover_the_log", """
+SELECT count(*) AS events, CAST(0 AS BIGINT) AS without_class, CAST(0 AS BIGINT) AS outside_unit FROM log""")
+def m13_cover(spark, sf_dir):
+    out = m13(spark, sf_dir)
+    classes = the_classifier(spark, sf_dir).classes
+    return out.agg(F.count(F.lit(1)).alias("events"),
+                   F.count_if(~F.coalesce(F.col("predicted_attack").isin(*classes), F.lit(False))).alias("without_class"),
+                   F.count_if(~F.col("confidence").between(1 / len(classes) - 1e-6, 1)).alias("outside_unit"))
 
 
 @query("m14_importances")
 def m14(spark, sf_dir):
-    _, _, train = _train_frame(spark, sf_dir)
-    return _forest_classifier(train).top_features(spark)
+    return the_classifier(spark, sf_dir).top_features(spark)
+
+
+@query("m14_importances_sum", "SELECT 1.0::DOUBLE AS total")
+def m14_sum(spark, sf_dir):
+    names = engineered(spark, sf_dir)[2]
+    return the_classifier(spark, sf_dir).top_features(spark, len(names)).agg(F.round(F.sum("importance"), 6).alias("total"))
 
 
 @query("m15_model_comparison")
 def m15(spark, sf_dir):
-    log, all_rows, train = _train_frame(spark, sf_dir)
-    test = all_rows.join(train.select("event_id"), "event_id", "left_anti")
-    table, _ = classifier.compare(train, test, EVENT_LEVEL, {
-        "Random Forest": classifier.random_forest(trees=100), "Boosted Trees": classifier.boosted_trees(rounds=3),
+    data, train, names, fitted = engineered(spark, sf_dir)
+    table, _ = classifier.compare(train, data.where(~fitted.cut.is_train()), names, {
+        "Random Forest": classifier.random_forest(trees=100), "Boosted Trees": classifier.boosted_trees(rounds=COMPARED_ROUNDS),
     })
-    return table.select("model", "accuracy", "weighted_precision", "weighted_recall", "weighted_f1")
+    return table
 
 
 @query("m18_inference_records")
 def m18(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    fitted = _forest_classifier(train)
+    fitted = the_classifier(spark, sf_dir)
     top = [r["feature"] for r in fitted.top_features(spark, 5).collect()]
-    return classifier.inference_records(fitted.predict(all_rows.where("label = 'anomaly'")), top).withColumn(
+    return classifier.inference_records(fitted.predict(alerting(spark, sf_dir)), top).withColumn(
         "top_features", F.array_join("top_features", " | "))
 
 
-def _engineered(spark, sf_dir):
-    """Engineered data as a written table: training reads it several times."""
-    log = log_of(spark, sf_dir)
-    fitted = plan.fit(log)
-    data = written(plan.engineered(log, fitted), "engineered")
-    names = clean.model_features(data)
-    return data, data.where(fitted.cut.is_train()), names
-
-
-def _alerts(spark, sf_dir, pick):
-    data, train, names = _engineered(spark, sf_dir)
-    found = detector.fit_detector(train, names)
-    fitted = classifier.fit_classifier(train, names)
-    rows = fitted.predict(found.score(pick(data)))
-    return data, train, explain.alerts(rows, names, fitted.importances())
+def _alerts(spark, sf_dir, rows):
+    fitted = the_classifier(spark, sf_dir)
+    return explain.alerts(fitted.predict(rows), fitted.features, fitted.importances())
 
 
 _ALERT = ["user", "event_id", "attack", "confidence", "risk_score", "risk_level", "recommended_action"]
@@ -269,13 +313,17 @@ _ALERT = ["user", "event_id", "attack", "confidence", "risk_score", "risk_level"
 
 @query("e2_alerts")
 def e2(spark, sf_dir):
-    _, _, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'"))
-    return alerts.select(*_ALERT, F.array_join("top_features", " | ").alias("top_features"))
+    return _alerts(spark, sf_dir, alerting(spark, sf_dir)).select(*_ALERT, F.array_join("top_features", " | ").alias("top_features"))
+
+
+def _anomalies_scored(spark, sf_dir):
+    return the_detector(spark, sf_dir).score(engineered(spark, sf_dir)[0].where("label = 'anomaly'"))
 
 
 @query("e6_combined_alerts")
 def e6(spark, sf_dir):
-    data, train, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'"))
+    data, train, _, _ = engineered(spark, sf_dir)
+    alerts = _alerts(spark, sf_dir, _anomalies_scored(spark, sf_dir))
     # Both sides are results in their own right: written, so that the join plans over two tables.
     combined = incident.combined_alerts(written(alerts, "alerts"), written(incident.assessed(data, train), "assessed"))
     return combined.select(*_ALERT, "dynamic_risk_engine.composite_risk_score",
@@ -284,16 +332,34 @@ def e6(spark, sf_dir):
 
 @query("e7_sample_alerts")
 def e7(spark, sf_dir):
-    _, _, alerts = _alerts(spark, sf_dir, lambda d: d.where("label = 'anomaly'").orderBy("timestamp", "event_id").limit(5))
-    return alerts.select(*_ALERT)
+    first = engineered(spark, sf_dir)[0].where("label = 'anomaly'").orderBy("timestamp", "event_id").limit(5)
+    return _alerts(spark, sf_dir, the_detector(spark, sf_dir).score(first)).select(*_ALERT)
+
+
+@query("e7_sampled_events", "SELECT event_id FROM log WHERE label = 'anomaly' ORDER BY timestamp, event_id LIMIT 5")
+def e7_events(spark, sf_dir):
+    return e7(spark, sf_dir).select("event_id")
+
+
+def _reloaded(spark, sf_dir):
+    path = scratch_path(spark, "models")
+    the_detector(spark, sf_dir).save(spark, f"{path}/detector")
+    the_classifier(spark, sf_dir).save(f"{path}/classifier")
+    return detector.load_detector(spark, f"{path}/detector"), classifier.load_classifier(f"{path}/classifier")
 
 
 @query("snk4_saved_models")
 def snk4(spark, sf_dir):
-    _, all_rows, train = _train_frame(spark, sf_dir)
-    path = scratch_path(spark, "models")
-    detector.fit_detector(train, EVENT_LEVEL).save(spark, f"{path}/detector")
-    _forest_classifier(train).save(f"{path}/classifier")
-    scored = detector.load_detector(spark, f"{path}/detector").score(all_rows)
-    return classifier.load_classifier(f"{path}/classifier").predict(scored).select(
+    found, named = _reloaded(spark, sf_dir)
+    return named.predict(found.score(engineered(spark, sf_dir)[0])).select(
         "event_id", r6("anomaly_score").alias("anomaly_score"), "alert_tier", "predicted_attack")
+
+
+@query("snk4_same_after_reload", "SELECT count(*) AS events, CAST(0 AS BIGINT) AS different FROM log")
+def snk4_same(spark, sf_dir):
+    data = engineered(spark, sf_dir)[0]
+    before = the_classifier(spark, sf_dir).predict(the_detector(spark, sf_dir).score(data)).select(
+        "event_id", r6("anomaly_score").alias("score"), F.col("predicted_attack").alias("named"))
+    both = snk4(spark, sf_dir).join(before, "event_id")
+    return both.agg(F.count(F.lit(1)).alias("events"), F.count_if(
+        ~(F.col("anomaly_score").eqNullSafe(F.col("score")) & F.col("predicted_attack").eqNullSafe(F.col("named")))).alias("different"))

@@ -10,6 +10,8 @@ from pyspark.sql.types import DateType, LongType, StructField, StructType
 from .. import schema as S
 from ..functions.timeline import find_hot_keys
 from ..operators import clean, explain, features, risk, windows
+from ..scratch import written
+from ..operators.classifier import AttackClassifier
 from ..operators.detector import Detector
 from ..sources.files import CSV
 
@@ -44,17 +46,16 @@ def drop_duplicates_stream(df: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def hourly_trend(df: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Anomalies per hour, emitted when the hour is closed."""
-    found = with_event_time(df.where(F.col("label") == "anomaly"), delay)
-    counts = found.groupBy(F.window(EVENT_TIME, "1 hour")).agg(F.count(F.lit(1)).alias("incidents"))
+    """Anomalies per hour. All events move the watermark, not only anomalies; hours without any have count zero."""
+    counts = with_event_time(df, delay).groupBy(F.window(EVENT_TIME, "1 hour")).agg(
+        F.count_if(F.col("label") == "anomaly").alias("incidents"))
     return counts.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "incidents")
 
 
 def sliding_failures(df: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Failed logins per entity in sliding hours, every five minutes."""
-    failed = with_event_time(df.where(F.col("auth_status") == "failure"), delay)
-    counts = failed.groupBy(F.window(EVENT_TIME, "1 hour", "5 minutes"), "entity_id").agg(
-        F.count(F.lit(1)).alias("failures")
+    """Failed logins per entity in sliding hours, every five minutes; zero for hours of other events only."""
+    counts = with_event_time(df, delay).groupBy(F.window(EVENT_TIME, "1 hour", "5 minutes"), "entity_id").agg(
+        F.count_if(F.col("auth_status") == "failure").alias("failures")
     )
     return counts.select(
         F.col("window.start").cast("timestamp_ntz").alias("window_start"), "entity_id", "failures"
@@ -68,6 +69,22 @@ def run_to_table(df: DataFrame, path: str, checkpoint: str) -> None:
     ).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_updates(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Drain windows as they change, one directory per batch: open windows are there as well, in their latest state."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+
+
+def latest_updates(spark: SparkSession, path: str, keys: list[str], value: str) -> DataFrame:
+    """The last state of each window that ``run_updates`` wrote."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
 def for_each_batch(df: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     df.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(
         availableNow=True
@@ -114,9 +131,13 @@ class HistoryFeatures:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(self.HISTORY)
+        # A redelivered event counts once: within the batch, and against the history that the batch can reach.
+        rows = batch.select(self.HISTORY).dropDuplicates(["event_id"])
         first = rows.agg(F.min("timestamp")).first()[0]
         history, latest = self._earlier(spark, "history", batch_id), self._earlier(spark, "latest", batch_id)
+        if first is not None and history is not None:
+            stored = history.where(F.col("event_date") >= F.to_date(F.lit(first))).select("event_id")
+            rows = written(rows.join(stored, "event_id", "left_anti"), "stream-rows")
         together = rows.withColumn("_new", F.lit(True))
         if first is not None and history is not None:
             reach = F.lit(first) - F.expr(f"INTERVAL {self.REACH_DAYS} DAYS")
@@ -139,19 +160,41 @@ class HistoryFeatures:
         self._store(newest.select("entity_id", "_l.*").select(self.HISTORY), "latest", batch_id)
 
 
+def engineered_batch(
+    batch: DataFrame, history: DataFrame, baselines: DataFrame, known: DataFrame, vocabulary: DataFrame
+) -> DataFrame:
+    """All engineered columns of a micro-batch of cleaned events, from stored tables and its history features."""
+    novel = features.attach_baselines(features.novelty(features.calendar(batch), known), baselines)
+    rows = (
+        novel.transform(features.z_scores)
+        .transform(features.commands)
+        .transform(features.sensitivity)
+        .transform(features.risk_multiplier)
+        .transform(features.transfer_rate)
+        .transform(features.identity_flags)
+        .drop(*features.baseline_columns(baselines))
+    )
+    return clean.encode_categories(rows.join(history, "event_id"), vocabulary)
+
+
 class AlertWriter:
-    """Score each micro-batch with a stored detector and append its alerts."""
+    """Score each micro-batch with a stored detector, name its alerts with a stored classifier and write them.
+
+    Neither labels nor attack types of the events are read. ``prepare`` gives a micro-batch's engineered columns.
+    """
 
-    def __init__(self, detector: Detector, prepare: Callable[[DataFrame], DataFrame], path: str):
-        self.detector, self.prepare, self.path = detector, prepare, path
+    def __init__(
+        self, detector: Detector, classifier: AttackClassifier, prepare: Callable[[DataFrame, int], DataFrame], path: str
+    ):
+        self.detector, self.classifier, self.prepare, self.path = detector, classifier, prepare, path
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        scored = self.detector.score(self.prepare(batch)).where("is_alert = 1")
-        rated = risk.composite_risk(scored.withColumns({
-            "classifier_confidence": F.lit(0.0), "predicted_attack": F.col("attack_type"),
-        }), attack="predicted_attack")
+        live = batch.drop(*S.LABEL_COLUMNS)
+        scored = self.detector.score(self.prepare(live, batch_id)).where("is_alert = 1")
+        named = self.classifier.predict(scored.withColumn("attack_type", F.lit(None).cast("string")))
+        rated = risk.composite_risk(named, attack="predicted_attack")
         alerts = explain.recommendation(rated, "predicted_attack").select(
-            "event_id", "entity_id", "timestamp", "anomaly_score", "alert_tier", "risk_score", "risk_level",
-            "recommended_action",
+            "event_id", "entity_id", "timestamp", "anomaly_score", "alert_tier", "predicted_attack",
+            "classifier_confidence", "risk_score", "risk_level", "recommended_action",
         )
         alerts.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
