@@ -10,8 +10,8 @@ from ...schema import EVENT_COLUMNS, LABEL_COLUMNS
 from ...scratch import scratch_path
 from ...sources import access_log as source
 from ...sources import files
-from .. import features as plan
-from .registry import dirty_of, joined, log_of, query
+from .models import engineered
+from .registry import dirty_of, joined, query
 from . import cleaning, identity, triage  # noqa: F401  (their views are used here)
 
 
@@ -66,7 +66,7 @@ def src3(spark, sf_dir):
 
 def _engineered_path(spark, sf_dir):
     path = scratch_path(spark, "engineered")
-    files.write_engineered(plan.engineered(log_of(spark, sf_dir)), path)
+    files.write_engineered(engineered(spark, sf_dir)[0], path)
     return path
 
 
@@ -141,17 +141,31 @@ def snk3(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("snk6_evaluation_report", """
-SELECT metric, format('{:<24} {:.4f}', metric, value) AS line FROM (
-  SELECT unnest(['total_samples', 'actual_anomalies', 'predicted_anomalies', 'tp', 'fp', 'tn', 'fn']) AS metric,
-    unnest([CAST(n AS DOUBLE), tp + fn, tp + fp, tp, fp, tn, fn]) AS value
-  FROM (SELECT count(*) AS n, count(*) FILTER (WHERE h AND t) AS tp, count(*) FILTER (WHERE h AND NOT t) AS fp,
-    count(*) FILTER (WHERE NOT h AND NOT t) AS tn, count(*) FILTER (WHERE NOT h AND t) AS fn
-    FROM (SELECT anomaly_score >= 0.7 AS h, label = 'anomaly' AS t FROM scored) q) c) m""")
+_REPORT = ["total_samples", "actual_anomalies", "predicted_anomalies", "tp", "fp", "tn", "fn", "precision", "recall", "f1_score",
+           "false_positive_rate", "detection_rate", "roc_auc", "pr_auc", "alerts_triggered", "top_precision", "top_recall"]
+
+
+@query("snk6_evaluation_report", f"""
+SELECT metric, format('{{:<24}} {{:.4f}}', metric, value) AS line FROM (
+  SELECT unnest({_REPORT}) AS metric, unnest([CAST(n AS DOUBLE), tp + fn, tp + fp, tp, fp, tn, fn,
+    CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END,
+    CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, CASE WHEN fp + tn = 0 THEN 0 ELSE fp / (fp + tn) END,
+    CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END, roc_auc, pr_auc, k, top_precision, top_recall]) AS value
+  FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE h AND t) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE h AND NOT t) AS DOUBLE) AS fp,
+    CAST(count(*) FILTER (WHERE NOT h AND NOT t) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE NOT h AND t) AS DOUBLE) AS fn
+    FROM (SELECT anomaly_score >= 0.7 AS h, label = 'anomaly' AS t FROM scored) q) c,
+  (SELECT CAST(sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) AS DOUBLE) AS roc_auc
+    FROM (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM per_score) q) r,
+  (SELECT CAST(sum(pos * (tp / (tp + fp) + CASE WHEN tp - pos + fp - neg = 0 THEN 1.0 ELSE (tp - pos) / (tp - pos + fp - neg) END) / 2.0) / sum(pos) AS DOUBLE) AS pr_auc
+    FROM (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp FROM per_score WINDOW w AS (ORDER BY s DESC)) q) p,
+  (SELECT CAST(count(*) AS DOUBLE) AS k, count(*) FILTER (WHERE label = 'anomaly') / count(*) AS top_precision,
+    count(*) FILTER (WHERE label = 'anomaly') / (SELECT count(*) FROM scored WHERE label = 'anomaly') AS top_recall
+    FROM (SELECT label, row_number() OVER (ORDER BY anomaly_score DESC, event_id) AS k, count(*) OVER () AS n FROM scored) q
+    WHERE k <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))) b) m""")
 def snk6(spark, sf_dir):
     path = scratch_path(spark, "metrics")
-    metrics = evaluate.long_metrics(evaluate.binary_metrics(source.scored(source.access_log(spark, sf_dir)), 0.7))
-    files.write_metrics(metrics, path)
-    back = spark.read.schema("metric string, value double").json(path)
-    counts = ["total_samples", "actual_anomalies", "predicted_anomalies", "tp", "fp", "tn", "fn"]
-    return evaluate.report_text(back.where(F.col("metric").isin(counts)))
+    scores = source.scored(source.access_log(spark, sf_dir))
+    parts = [evaluate.binary_metrics(scores, 0.7), evaluate.roc_auc(scores), evaluate.pr_auc(scores), evaluate.top_budget(scores)]
+    metrics = [evaluate.long_metrics(p) for p in parts]
+    files.write_metrics(metrics[0].unionByName(metrics[1]).unionByName(metrics[2]).unionByName(metrics[3]), path)
+    return evaluate.report_text(spark.read.schema("metric string, value double").json(path))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ...functions.timeline import find_hot_keys
 from ...operators import explain, incident, storyline
+from ...scratch import scratch_path
 from ...sources import access_log as source
+from ...sources import files
 from .alerts import _case
 from ... import fixed_values as V
 from .identity import NARRATIVE
@@ -105,8 +107,9 @@ SELECT event_id, entity_id, attack_type AS threat_category, 'Confirmed Threat' A
 FROM (SELECT event_id, entity_id, attack_type, {_BRIEF} FROM (SELECT *, '88.5' AS risk, 'CRITICAL' AS tier FROM log WHERE label = 'anomaly') q) r""")
 def snk5(spark, sf_dir):
     log = source.access_log(spark, sf_dir).where(F.col("label") == "anomaly")
-    documents = incident.reports(log, "Confirmed Threat", "checked")
+    path = scratch_path(spark, "reports")
+    files.write_reports(incident.reports(log, "Confirmed Threat", "checked"), path)
     fields = "event_id string, entity_id string, threat_category string, assessment string, investigation_brief struct<executive_summary string>"
-    return documents.select(F.from_json("report", fields).alias("r")).select(
+    return spark.read.text(path).select(F.from_json("value", fields).alias("r")).select(
         "r.event_id", "r.entity_id", "r.threat_category", "r.assessment", "r.investigation_brief.executive_summary"
     )
