@@ -9,10 +9,6 @@ from __future__ import annotations
 # --- Vocabularies -----------------------------------------------------------------------------------
 ENTITY_TYPES = ["user", "service_account", "edge_device"]
 ENTITY_ROLES = ["employee", "developer", "hr", "finance", "admin", "service", "device"]
-DEPARTMENTS = [
-    "Operations", "Engineering", "Human Resources", "Finance",
-    "IT Infrastructure", "Security", "Automated Services", "IoT Operations",
-]
 RESOURCE_CATEGORIES = [
     "code_repo", "email", "hr_data", "finance_data", "admin_panel", "infra_config", "general",
 ]

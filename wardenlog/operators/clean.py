@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import micros
 from ..functions.ranking import string_at_rank, value_at_rank
 from ..schema import CATEGORICAL_COLUMNS, LABEL_COLUMNS, META_COLUMNS
+from ..scratch import written
 
 NUMERIC_COLUMNS = ["session_duration", "bytes_transferred", "geo_lat", "geo_lon"]
 ZERO_FILLED = ["session_duration", "bytes_transferred", "geo_lat", "geo_lon"]
@@ -178,18 +179,20 @@ def temporal_split(df: DataFrame, ratio: float = 0.60, cut: Cut | None = None) -
 def fit_categories(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Vocabulary table (column, value, code): code is the position among the column's sorted values.
 
-    Only distinct values reach the window, one partition per column.
+    Distinct values are written in ranges; each is numbered by itself and carries on from the ranges before it.
     """
-    from pyspark.sql import Window as W
-
     columns = columns or [c for c in CATEGORICAL_COLUMNS if c in df.columns]
     # Distinct combinations first: they combine in the map tasks and are few before they are unpivoted.
     combos = df.select(*columns).distinct()
     long = combos.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns
     ])).alias("_v")).select("_v.*").where(F.col("value").isNotNull()).distinct()
-    code = F.row_number().over(W.partitionBy("column").orderBy("value")) - 1
-    return long.withColumn("code", code.cast("bigint"))
+    ranges = written(long.repartitionByRange("column", "value").withColumn("_range", F.spark_partition_id()), "values")
+    before = W.partitionBy("column").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    carry = ranges.groupBy("column", "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    here = F.row_number().over(W.partitionBy("column", "_range").orderBy("value"))
+    return ranges.withColumn("_k", here).join(carry, ["column", "_range"]).select(
+        "column", "value", (F.col("_k") + F.col("_c") - 1).cast("bigint").alias("code"))
 
 
 def encode_categories(df: DataFrame, vocabulary: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ... import fixed_values as V
 from ...operators import clean, validate
 from ...schema import CATEGORICAL_COLUMNS, EVENT_COLUMNS, LABEL_COLUMNS
 from ...sources import access_log as source
@@ -157,16 +158,10 @@ def c13(spark, sf_dir):
 
 
 _ENUMS = {
-    "entity_type": ["user", "service_account", "edge_device"],
-    "entity_role": ["employee", "developer", "hr", "finance", "admin", "service", "device"],
-    "resource_category": ["code_repo", "email", "hr_data", "finance_data", "admin_panel", "infra_config", "general"],
-    "auth_method": ["password", "token", "certificate", "biometric", "sso"],
-    "auth_status": ["success", "failure"],
-    "action_type": ["login", "read", "write", "download", "upload", "config_change", "privilege_escalation"],
-    "protocol": ["HTTPS", "SSH", "RDP", "VPN", "MQTT", "OPC-UA"],
+    "entity_type": V.ENTITY_TYPES, "entity_role": V.ENTITY_ROLES, "resource_category": V.RESOURCE_CATEGORIES,
+    "auth_method": V.AUTH_METHODS, "auth_status": V.AUTH_STATUSES, "action_type": V.ACTION_TYPES, "protocol": V.PROTOCOLS,
 }
-_ATTACKS = ["normal", "brute_force", "impossible_travel", "credential_stuffing", "lateral_movement",
-            "device_spoofing", "low_slow_exfiltration", "insider_drift"]
+_ATTACKS = V.ATTACK_TYPES
 
 
 def _enum_error(c, allowed):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ... import fixed_values as V
 from ...operators import baseline, clean
 from ...session import apply_settings
 from ...sources import _access_log_sql as fixture
@@ -174,11 +175,7 @@ def _z(expr: str, name: str) -> str:
     return f"coalesce(greatest(-10.0, least(10.0, ({expr} - mean_{name}) / std_{name})), 0.0)"
 
 
-KEYWORDS = [
-    "mimikatz", "nmap", "whoami", "/etc/shadow", "/etc/passwd", "net user", "net localgroup",
-    "powershell -enc", "certutil", "wget http", "chmod +x", "id_rsa", ".pem", "reg query", "payload", "whoami /priv",
-]
-SUSPICIOUS = "(" + " OR ".join(f"contains(lower(array_to_string(command_list, ' ')), '{k}')" for k in KEYWORDS) + ")"
+SUSPICIOUS = "(" + " OR ".join(f"contains(lower(array_to_string(command_list, ' ')), '{k}')" for k in V.SUSPICIOUS_KEYWORDS) + ")"
 VIEWS["featured"] = f"""
 SELECT t.*, {_z("hr", "hour")} AS hour_zscore,
   {_z("session_duration", "session_duration")} AS session_duration_zscore,
