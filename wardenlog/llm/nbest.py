@@ -34,6 +34,8 @@ N_BEST = 4
 SPACE = "▁"
 #: Words whose results a task keeps between batches.
 KEPT_WORDS = 400_000
+#: Pairs of positions, over all words of a batch, whose scores are held at once.
+CELLS = 2_000_000
 #: Cost that each piece has besides its own, so that ties go to fewer pieces; far below any difference of scores.
 _PIECE_COST = 1e-9
 
@@ -182,8 +184,9 @@ class Encoder:
             if length > 48:  # rare: long runs without a space
                 found += [self.one(w) for w in same]
                 continue
-            for i in range(0, len(same), 8192):
-                found.append(self.batch(length, same[i:i + 8192]))
+            step = max(1, min(8192, CELLS // (length * (length + 1))))
+            for i in range(0, len(same), step):
+                found.append(self.batch(length, same[i:i + step]))
         if not found:
             return
         names = [w for f in found for w in f[0]]
