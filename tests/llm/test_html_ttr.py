@@ -21,6 +21,12 @@ def test_page_without_an_article():
     assert H.main_text(f"<body>{links}{body}{links}</body>") == f"{PARAGRAPH} {PARAGRAPH} Brief."
 
 
+def test_title_before_the_region():
+    body = f"<div class=post-header><h1>Head</h1></div><div class=text><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>"
+    page = f"<div class=logo><h1>Site</h1></div><div id=wrap>{body}<div class=comments><p>{PARAGRAPH}</p></div></div><div class=sidebar>{PARAGRAPH}</div>"
+    assert H.main_text(f"<body>{page}</body>") == f"Head {PARAGRAPH} {PARAGRAPH}"
+
+
 def test_broken_and_empty_pages():
     assert H.main_text(None) == H.main_text("") == H.main_text("<nav>menu</nav>") == H.main_text("<script>x") == ""
     assert H.main_text("<article><p>open <b>bold<p>next &lt;") == "open bold next <"

@@ -34,19 +34,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert|newsletter|subscri\w+|"
     r"side-?bar\w*|menu\w*|nav|navbar|navigation|breadcrumb\w*|footer|header|masthead|comment\w*|disqus|respond|replies|related|recommend\w*|share|sharing|"
-    r"social|popup|modal|overlay|widget\w*|login|signup|search|pagination|pager|toolbar|copyright|disclaimer|skip)(?=$|[\s_-])", re.I)
+    r"logo|social|popup|modal|overlay|widget\w*|login|signup|search|pagination|pager|toolbar|copyright|disclaimer|skip)(?=$|[\s_-])", re.I)
+#: Headers of an article, not of the site.
+OWN_HEADER = re.compile(r"(?:entry|post|article|content|story|title)[-_]*header|header[-_]*(?:title|text)", re.I)
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, link characters, tags, path of sections, whether it is dropped."""
+    """Collects lines: text, link characters, tags, section, whether it is dropped, whether it is a title."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int | None, bool]] = []  # name, section, dropped
         self.sections: list[tuple[str, int]] = []  # name and parent of each section
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
         self.text: list[str] = []
         self.tags, self.link, self.links = 0, 0, 0
 
@@ -56,7 +58,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.link, self.tags, self.section(), bool(self.open and self.open[-1][2])))
+            title = any(t == "h1" for t, _, _ in self.open)
+            self.lines.append((text, self.link, self.tags, self.section(), bool(self.open and self.open[-1][2]), title))
         self.text, self.tags, self.link = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -87,7 +90,7 @@ class Lines(HTMLParser):
             return False
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and MARKS.search(value):
+            if name in ("class", "id") and MARKS.search(OWN_HEADER.sub("", value)):
                 return True
             if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return True
@@ -153,13 +156,13 @@ def main_text(html: str | None) -> str:
     lines = [x for x in page.lines if not x[4]]
     if not lines:
         return ""
-    ratio = np.array([max(len(text) - link, 0) / max(tags, 1) for text, link, tags, _, _ in lines])
+    ratio = np.array([max(len(text) - link, 0) / max(tags, 1) for text, link, tags, *_ in lines])
     # A line that is mostly links is none, however long its neighbours.
     content = clusters(np.log1p(smoothed(ratio))) & np.array([2 * link < len(text) for text, link, *_ in lines])
     # Text of the content in each section and all those around it.
     held: dict[int, int] = {}
     total = 0
-    for (text, _, _, section, _), is_content in zip(lines, content):
+    for (text, _, _, section, *_), is_content in zip(lines, content):
         if is_content:
             total += len(text)
             while section >= 0:
@@ -173,12 +176,14 @@ def main_text(html: str | None) -> str:
             around = up
             break
         up = page.sections[up][1]
-    kept = []
-    for text, _, _, section, _ in lines:
+    kept, inside = [], False
+    for text, _, _, section, _, title in lines:
         at = section
         while at >= 0 and at != around:
             at = page.sections[at][1]
-        if at == around or around < 0:
+        inside |= at == around
+        # The page's title may stand before the region.
+        if at == around or around < 0 or title and not inside:
             kept.append(text)
     return " ".join(kept)
 
