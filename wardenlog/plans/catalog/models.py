@@ -9,7 +9,7 @@ from ...operators import classifier, clean, detector, evaluate, explain, forest,
 from ...scratch import scratch_path, written
 from ...sources import access_log as source
 from .. import features as plan
-from .registry import VIEWS, log_of, query, r6, rounded, train_of
+from .registry import VIEWS, log_of, query, r6, rounded
 
 #: Boosting rounds of the trained model and of the comparison.
 BOOSTING_ROUNDS, COMPARED_ROUNDS = 150, 100
