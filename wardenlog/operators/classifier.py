@@ -19,6 +19,10 @@ from ..functions.columns import lookup, pretty_attack
 from .evaluate import multiclass_metrics
 
 
+#: Rows of a training task.
+ROWS_PER_TASK = 50_000
+
+
 def random_forest(trees: int = 150, depth: int = 15, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="x", labelCol="y", numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=512
@@ -30,7 +34,7 @@ def boosted_trees(rounds: int = 150, depth: int = 6, seed: int = 42) -> OneVsRes
     binary = GBTClassifier(
         maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
     )
-    return OneVsRest(classifier=binary, featuresCol="x", labelCol="y", parallelism=4)
+    return OneVsRest(classifier=binary, featuresCol="x", labelCol="y", parallelism=8)
 
 
 def label_indexer(column: str = "attack_type") -> StringIndexer:
@@ -92,10 +96,13 @@ def load_classifier(path: str) -> AttackClassifier:
 
 def fit_classifier(train: DataFrame, features: Sequence[str], estimator=None, target: str = "attack_type") -> AttackClassifier:
     """Train on the anomalies of ``train``; the classifier never predicts ``normal`` unless it is among them."""
-    rows = filled(train.where(F.col("label") == "anomaly").select(target, *features), features)
+    rows = filled(train.where(F.col("label") == "anomaly").select(target, *features), features).persist()
+    # Anomalies are few among many rows; training runs many short jobs over them, so their tasks should not be smaller than need be.
+    dealt = rows.repartition(-(-max(rows.count(), 1) // ROWS_PER_TASK))
     assembler = VectorAssembler(inputCols=list(features), outputCol="x")
     pipeline = Pipeline(stages=[label_indexer(target).setHandleInvalid("skip"), assembler, estimator or random_forest()])
-    model = pipeline.fit(rows)
+    model = pipeline.fit(dealt)
+    rows.unpersist()
     # At prediction time the true class may be unknown; it is not needed.
     model.stages[0].setHandleInvalid("keep")
     return AttackClassifier(model, list(features), list(model.stages[0].labels))
