@@ -98,7 +98,9 @@ def starts(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     moved = index.join(F.broadcast(anchors), "term").select("win", "doc_id", "thash", (F.col("pos") - F.col("offset")).alias("start"), "rank", "size")
     lone = moved.filter("size = 1").select("win", "doc_id", "thash", "start")
     many = moved.filter("size > 1")
-    both = many.groupBy("win", "doc_id", "thash", "start").agg(F.countDistinct("rank").alias("ranks")).filter(F.col("ranks") == ANCHORS)
+    # Ranks one and two are one bit each: a single step with partial results, whatever rows repeat.
+    both = many.groupBy("win", "doc_id", "thash", "start").agg(F.bit_or(F.col("rank")).alias("ranks")).filter(
+        F.col("ranks") == 3)
     return lone.unionByName(both.drop("ranks")).filter("start >= 0").distinct()
 
 
@@ -110,8 +112,11 @@ def _blocks(spread: DataFrame) -> list[DataFrame]:
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """For each document n_words, n_hit, items (sorted ids, as strings) and contaminated."""
-    of_items = windows(items, item_col, item_text_col, size)
-    distinct = written(of_items.groupBy("win").agg(F.first("terms").alias("terms")), "distinct-windows")
+    hashed = windows(items, item_col, item_text_col, size)
+    # Numbers are shorter than hashes in all that follows.
+    numbered = written(hashed.groupBy("win").agg(F.first("terms").alias("terms")).withColumn("number", F.monotonically_increasing_id()), "distinct-windows")
+    distinct = numbered.select(F.col("number").alias("win"), "terms")
+    of_items = hashed.select("win", "item").distinct().join(numbered, "win").select(F.col("number").alias("win"), "item")
     texts = docs.select(column(id_col).alias("doc_id"), text_hash(column(text_col)).alias("thash"), utf8(column(text_col)).alias("text"))
     found = [starts(texts, block) for block in _blocks(distinct)]
     places = found[0]
@@ -142,10 +147,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         return {"doc_id": cols["doc_id"], "thash": cols["thash"], "n_words": n_words, "n_hit": n_hit, "wins": wins}
 
     kind = dict(texts.dtypes)["doc_id"]
-    checked = written(map_batches(tried, check, f"doc_id {kind}, thash bigint, n_words bigint, n_hit bigint, wins array<binary>", heavy="text")
+    checked = written(map_batches(tried, check, f"doc_id {kind}, thash bigint, n_words bigint, n_hit bigint, wins array<bigint>", heavy="text")
                       .withColumn("row", F.monotonically_increasing_id()), "checked")
     ids = (
-        checked.select("row", F.explode("wins").alias("win")).join(of_items.select("win", "item").distinct(), "win")
+        checked.select("row", F.explode("wins").alias("win")).join(of_items, "win")
         .groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
     out = checked.drop("wins").join(ids, "row", "left")
