@@ -43,3 +43,44 @@ def test_odd_rows(spark):
     assert len(got) == 9 and [(r.n_tokens, r.pll) for r in got if r.doc_id in (1, 2)] == [(0, 0.0)] * 2
     assert M.score(no_documents(spark), words, net).count() == 0
     M.fit(no_documents(spark), classes=4, hashed=4)
+
+
+def test_vocabulary_grows_with_the_text(spark):
+    def ids(n):
+        rows = [(i, f"word{j % n} ") for i in range(3) for j in range(3 * n)]
+        return len(M.vocabulary(spark.createDataFrame(rows, "doc_id int, text string")).ids)
+
+    # All tokens occur equally often: there is room for all of them or for none.
+    assert ids(30) == 30
+    rows = [(i, " ".join(f"t{j}" for j in range(2000) for _ in range(2000 // (j + 1)))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    small, large = M.vocabulary(docs.filter("doc_id = 0")), M.vocabulary(docs)
+    assert 2.5 * len(small.ids) < len(large.ids) and large.classes > small.classes and len(large.ids) > 960
+
+
+def test_rare_tokens_are_told_apart(spark):
+    stems, ends = ("walk", "talk", "jump", "climb", "play"), ("ing", "ed", "er", "ers", "s")
+    rows = [(i, "the and of it " * 40 + f"{s}{e} x{s}{e}") for i, (s, e) in enumerate((s, e) for s in stems for e in ends)]
+    words, net = M.fit(spark.createDataFrame(rows, "doc_id int, text string"), classes=3, hashed=4)
+    tokens = [b"walking", b"waxqzjk"]
+    ids = words.encode(tokens)
+    # The network cannot tell these, as they begin alike; their spelling does.
+    assert ids[0] == ids[1] >= words.size - words.hashed
+    good, junk = words.spelled(tokens, ids)
+    assert good > junk + 5
+    got = M.score(spark.createDataFrame([(1, "walking"), (2, "waxqzjk")], "doc_id int, text string"), words, net).collect()
+    assert abs(sum(r.pll * (3 - 2 * r.doc_id) for r in got) - (good - junk)) < 1e-4
+
+
+def test_spelling_shares_out_each_id():
+    grams = [(M.START << 18 | 97 << 9 | 98, 3), (97 << 18 | 98 << 9 | 99, 2), (97 << 18 | 98 << 9 | M.END, 1), (98 << 18 | 99 << 9 | M.END, 2)]
+    model = M.Spelling(grams, 5)
+    assert abs(np.exp(model.pair).sum() - 5) < 1e-9
+    known = model.next.shape[1] - 1
+    sums = np.exp(model.next[:, :known]).sum(axis=1) + (M.END + 1 - known) * np.exp(model.next[:, known])
+    assert np.allclose(sums, 1, atol=1e-5)
+    p = 1 / 257
+    for n, total in ((2, 5), (2, 3), (2, 3)):
+        p = (n + 2 * p) / (total + 2)
+    end = model.next[model.code[98] * (known + 1) + model.code[99], model.code[M.END]]
+    assert abs(model.log_probabilities([b"z", b"abc"])[1] - (model.pair[97, 98] + np.log(p) + end)) < 1e-5

@@ -4,11 +4,16 @@ A small network reads the SIDE tokens before and after a place (an embedding for
 gives the token's probability in two steps, its class and its place in the class. A document's score is the sum of the log
 probabilities of all its tokens, each masked in turn.
 
-Vocabulary: exact counts of all tokens of all documents; the most frequent tokens have ids of their own, the rest share
-hashed ids. Training: every document takes part with every TRAIN_EVERY-th of its places; each task trains a copy of the
-network on its documents by numpy, and the copies are averaged by their number of places, in Spark, in fixed-point numbers
-so that the order of addition does not matter. ROUNDS such rounds. How documents fall into tasks does matter: scores depend on
-the layout of the input, not on chance.
+Vocabulary: exact counts of all tokens of all documents; all tokens above a count have ids of their own. The count is the
+lowest that leaves at most GROWTH times the square root of the number of all tokens, so the vocabulary grows with the text
+and the network stays small beside it. The rest share HASHED ids by their first two bytes, and their probability is that of
+the shared id times that of their spelling, a model of bytes (context of two, Witten-Bell) of the rest's full counts, so that
+what the network gives for an id is shared out over all strings of it. (Strings that have ids of their own get a little of it.)
+
+Training: every place of every document, or every `every`-th one; each task trains a copy of the network on its documents by
+numpy, and the copies are averaged in Spark, each row of parameters by the number of places that it took part in, in
+fixed-point numbers so that the order of addition does not matter. ROUNDS such rounds. How documents fall into tasks does
+matter: scores depend on the layout of the input, not on chance.
 
 Defined cases: a null text, or one without tokens, has no tokens and score 0; repeated rows and null ids are rows of their
 own; an empty table gives an empty result; other columns are ignored.
@@ -18,20 +23,25 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..scratch import written
 from .common import column, map_batches, pieces, text_hash
 
-#: CLASSES * CLASSES ids, of which HASHED are shared by tokens without an id of their own.
-CLASSES, HASHED, HIDDEN, SIDE = 32, 64, 16, 2
+#: There are classes * classes ids, of which HASHED are shared by tokens without an id of their own.
+GROWTH, HASHED, HIDDEN, SIDE = 2, 64, 16, 2
 TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 16, 1, 2048, 0.15, 11
+#: Numbers of a row of the averaging.
+BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
 _SCALE = 1 << 20
+#: Symbols beside the 256 bytes.
+END, START = 256, 257
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
 
 
@@ -55,12 +65,78 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("text"), run, "token binary, n bigint", heavy="text").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+def _bucket(first: int, second: int, hashed: int) -> int:
+    """The shared id of tokens that begin with two bytes; END for the second of a single byte."""
+    return zlib.crc32(bytes((first,)) if second == END else bytes((first, second))) % hashed
+
+
+class Spelling:
+    """Log probability of a token's bytes, given its shared id."""
+
+    def __init__(self, grams: Iterable[tuple[int, int]] = (), hashed: int = HASHED):
+        """Counts of grams: START, a token's first two symbols; or three symbols in a row. END ends a token."""
+        grams = list(grams)
+        gram, n = np.array([g for g, _ in grams], np.int64), np.array([k for _, k in grams], np.float64)
+        first = gram >> 18 == START
+        pair = np.ones((256, END + 1)) * 0.01
+        np.add.at(pair, (gram[first] >> 9 & 511, gram[first] & 511), n[first])
+        bucket = np.array([[_bucket(x, y, hashed) for y in range(END + 1)] for x in range(256)])
+        self.pair = np.log(pair / np.bincount(bucket.ravel(), pair.ravel(), hashed)[bucket])
+        # Bytes are numbered as far as they occur; all others share the last number.
+        a, b, c, n = gram[~first] >> 18, gram[~first] >> 9 & 511, gram[~first] & 511, n[~first]
+        used = np.unique(np.concatenate([a, b, c, np.array([END])]))
+        self.code = np.full(END + 1, len(used))
+        self.code[used] = np.arange(len(used))
+        k = len(used) + 1
+        # Of each order the shorter context's probabilities, repeated for every symbol before it, and the counts.
+        p = np.full((1, k), 1.0 / (END + 1))
+        for order, context in enumerate((np.zeros(len(a), np.int64), self.code[b], self.code[a] * k + self.code[b])):
+            p = np.tile(p, (k if order else 1, 1))
+            counts = np.zeros((k ** order, k))
+            np.add.at(counts, (context, self.code[c]), n)
+            kinds = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1)
+            p = (counts + kinds * p) / (counts.sum(axis=1, keepdims=True) + kinds)
+        self.next = np.log(p).astype(np.float32)
+
+    def log_probabilities(self, words: list[bytes]) -> np.ndarray:
+        if not words:
+            return np.zeros(0)
+        size = np.array([len(w) + 1 for w in words])
+        row = np.zeros(int(size.sum()), np.int64)
+        ends = np.cumsum(size) - 1
+        inside = np.ones(len(row), bool)
+        inside[ends] = False
+        row[inside], row[ends] = np.frombuffer(b"".join(words), np.uint8), END
+        starts = ends - size + 1
+        coded = self.code[row]
+        logs = np.zeros(len(row))
+        logs[2:] = self.next[coded[:-2] * self.next.shape[1] + coded[1:-1], coded[2:]]
+        logs[starts + 1] = self.pair[row[starts], row[starts + 1]]
+        logs[starts] = 0
+        return np.add.reduceat(logs, starts)
+
+
+def spelling_counts(counts: DataFrame) -> DataFrame:
+    """Counts of the grams of all tokens of a table of counts."""
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        seen: Counter = Counter()
+        for w, n in zip(cols["token"], cols["n"]):
+            w = [*w, END]
+            seen[START << 18 | w[0] << 9 | w[1]] += n
+            for i in range(2, len(w)):
+                seen[w[i - 2] << 18 | w[i - 1] << 9 | w[i]] += n
+        return {"gram": list(seen), "n": list(seen.values())}
+
+    return map_batches(counts, run, "gram bigint, n bigint", heavy="token").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 class Vocabulary:
-    """Id of each token: its own if it is frequent, else one that it shares with others of its checksum."""
+    """Id of each token: its own if it is frequent, else one that it shares with others of its first two bytes."""
 
-    def __init__(self, frequent: list[bytes], classes: int = CLASSES, hashed: int = HASHED):
+    def __init__(self, frequent: list[bytes], classes: int, hashed: int = HASHED, spelling: Spelling | None = None):
         #: The last id stands for places before and after the text.
         self.size, self.pad, self.hashed = classes * classes, classes * classes, hashed
+        self.classes, self.spelling = classes, spelling or Spelling(hashed=hashed)
         self.ids = {w: i for i, w in enumerate(frequent[:self.size - hashed])}
 
     def encode(self, words: list[bytes]) -> np.ndarray:
@@ -68,19 +144,38 @@ class Vocabulary:
         out = np.array([get(w, -1) for w in words], np.int32)
         rare = np.nonzero(out < 0)[0]
         if len(rare):
-            out[rare] = self.size - self.hashed + np.array([crc(words[i]) for i in rare.tolist()], np.int64) % self.hashed
+            out[rare] = self.size - self.hashed + np.array([crc(words[i][:2]) for i in rare.tolist()], np.int64) % self.hashed
+        return out
+
+    def spelled(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
+        """Log probability of each token given its id: 0 if the id is its own."""
+        out = np.zeros(len(words))
+        rare = np.nonzero(ids >= self.size - self.hashed)[0]
+        out[rare] = self.spelling.log_probabilities([words[i] for i in rare.tolist()])
         return out
 
 
-def vocabulary(texts: DataFrame, classes: int = CLASSES, hashed: int = HASHED) -> Vocabulary:
-    top = count_tokens(texts).orderBy(F.desc("n"), "token").limit(classes * classes - hashed)
-    return Vocabulary([bytes(r.token) for r in top.collect()], classes, hashed)
+def vocabulary(texts: DataFrame, classes: int | None = None, hashed: int = HASHED) -> Vocabulary:
+    """`classes`: None, and their number follows from that of all tokens."""
+    counts = written(count_tokens(texts), "token-counts")
+    # How many tokens occur how often: few rows, however many tokens there are.
+    often = sorted(((r.n, r.tokens) for r in counts.groupBy("n").agg(F.count("*").alias("tokens")).collect()), reverse=True)
+    room = classes * classes - hashed if classes else int(GROWTH * sum(n * k for n, k in often) ** 0.5)
+    least, held = often[0][0] + 1 if often else 1, 0
+    for n, k in often:
+        if held + k > room:
+            break
+        least, held = n, held + k
+    top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.token))
+    grams = [tuple(r) for r in spelling_counts(counts.filter(F.col("n") < least)).collect()]
+    classes = classes or max(2, int(np.ceil((held + hashed) ** 0.5)))
+    return Vocabulary([bytes(r.token) for r in top], classes, hashed, Spelling(grams, hashed))
 
 
 class Network:
     """Parameters: embeddings (offset, id, hidden), bias, class weights and biases, word weights and biases."""
 
-    def __init__(self, classes: int = CLASSES, hidden: int = HIDDEN, seed: int = SEED):
+    def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         v = classes * classes
         self.classes, self.hidden = classes, hidden
@@ -112,7 +207,7 @@ class Network:
         """Log probability (nats) of each target in its context."""
         _, _, wc, bc, ww, bw = self.p
         # In the order of targets each class is one slice.
-        order = np.argsort(target.astype(np.int16), kind="stable")
+        order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
         h, t = self.hidden_of(context)[order], target[order]
         kind, place = np.divmod(t, self.classes)
         one = np.ones(self.classes, np.float32)
@@ -133,34 +228,56 @@ class Network:
         """One step of Adagrad on a batch; `squares` are the sums of squared gradients so far."""
         e, b, wc, bc, ww, bw = self.p
         n = len(target)
+        # In the order of targets each class is one slice.
+        order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
+        context, target = context[:, order], target[order]
         h = self.hidden_of(context)
-        kind, place = target // self.classes, target % self.classes
-        gc = np.exp(_log_softmax(h @ wc + bc))
+        kind, place = np.divmod(target, self.classes)
+        gc = _softmax(h @ wc + bc)
         gc[np.arange(n), kind] -= 1
         gh = gc @ wc.T
-        gww, gbw = np.zeros_like(ww), np.zeros_like(bw)
-        order = np.argsort(kind, kind="stable")
-        borders = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[borders[c]:borders[c + 1]]
-            if len(rows):
-                g = np.exp(_log_softmax(h[rows] @ ww[c] + bw[c]))
-                g[np.arange(len(rows)), place[rows]] -= 1
-                gh[rows] += g @ ww[c].T
-                gww[c], gbw[c] = h[rows].T @ g, g.sum(axis=0)
+        borders = np.searchsorted(kind, np.arange(self.classes + 1))
+        for c in np.nonzero(np.diff(borders))[0]:
+            rows = slice(borders[c], borders[c + 1])
+            g = _softmax(h[rows] @ ww[c] + bw[c])
+            g[np.arange(len(g)), place[rows]] -= 1
+            gh[rows] += g @ ww[c].T
+            _step(ww, squares[4], c, h[rows].T @ g, n)
+            _step(bw, squares[5], c, g.sum(axis=0), n)
         gz = gh * (1 - h * h)
-        ge = np.zeros_like(e)
         for k in range(len(OFFSETS)):
-            np.add.at(ge[k], context[k], gz)
-        for p, g, q in zip(self.p, (ge, gz.sum(axis=0), h.T @ gc, gc.sum(axis=0), gww, gbw), squares):
-            g /= n ** 0.5
-            q += g * g
-            p -= RATE * g / (np.sqrt(q) + 1e-3)
+            # Only the ids that occur have a gradient.
+            at = np.argsort(context[k], kind="stable")
+            ids = context[k][at]
+            starts = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
+            _step(e[k], squares[0][k], ids[starts], np.add.reduceat(gz[at], starts, axis=0), n)
+        for p, q, g in zip((b, wc, bc), squares[1:4], (gz.sum(axis=0), h.T @ gc, gc.sum(axis=0))):
+            _step(p, q, slice(None), g, n)
+
+    def taken(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """How many places each embedding, the shared parameters and each class took part in, as whole numbers."""
+        seen = [np.bincount(c, minlength=self.classes ** 2 + 1) for c in context]
+        return np.concatenate([*seen, [len(target)], np.bincount(target // self.classes, minlength=self.classes)])
 
+    def spread(self, taken: np.ndarray) -> np.ndarray:
+        """The numbers of `taken` for each number of the vector."""
+        v, sizes = len(OFFSETS) * (self.classes ** 2 + 1), [int(np.prod(s)) for s in self.shapes]
+        each = taken[v + 1:]
+        return np.concatenate([np.repeat(taken[:v], self.hidden), np.full(sum(sizes[1:4]), taken[v]),
+                               np.repeat(each, self.hidden * self.classes), np.repeat(each, self.classes)])
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray | slice | int, g: np.ndarray, n: int) -> None:
+    g = g / n ** 0.5
+    q = squares[at] + g * g
+    squares[at] = q
+    p[at] -= RATE * g / (np.sqrt(q) + 1e-3)
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    np.exp(z, out=z)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
 
 
 def laid_out(texts: list[list[bytes]], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -177,15 +294,18 @@ def contexts(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([row[at + o] for o in OFFSETS]), row[at]
 
 
-def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int = TRAIN_EVERY, batch: int = BATCH) -> np.ndarray:
-    """Average of the networks that the tasks make from `start`, weighted by their places."""
+def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int = TRAIN_EVERY, batch: int | None = None) -> np.ndarray:
+    """Average of the networks that the tasks make from `start`, each row weighted by the places it took part in."""
     classes, hidden, vector = start.classes, start.hidden, start.vector()
-    shared = texts.sparkSession.sparkContext.broadcast((words, vector))
+    # A class should have some places in each step.
+    batch = batch or max(BATCH, 64 * classes)
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast((words, vector))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, vector = shared.value
         net = Network(classes, hidden).with_vector(vector)
-        squares, seen, held = [np.zeros_like(p) for p in net.p], 0, []
+        squares, taken, held = [np.zeros_like(p) for p in net.p], 0, []
         count = 0
         for part in chain.from_iterable(pieces(b, "text") for b in batches):
             texts = [t for t in map(tokens, part.column(0).to_pylist()) if t]
@@ -197,38 +317,45 @@ def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int
             held.append(contexts(row, at[np.concatenate([np.arange(e - len(t) + zlib.crc32(t[0]) % min(every, len(t)), e, every) for e, t in zip(ends, texts)])]))
             count += len(held[-1][1])
             if count >= 64 * batch:
-                seen += steps(net, held, squares)
+                taken = taken + steps(net, held, squares)
                 held, count = [], 0
         if held:
-            seen += steps(net, held, squares)
-        if seen:
+            taken = taken + steps(net, held, squares)
+        if np.any(taken):
             gain = np.round((net.vector().astype(np.float64) - vector) * _SCALE).astype(np.int64)
-            for at in range(0, len(gain), 8192):
-                part = gain[at:at + 8192]
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([seen], pa.int64()), pa.array([part], pa.list_(pa.int64()))], ["first", "seen", "gain"])
+            gain *= net.spread(taken)
+            for first, numbers in ((0, gain), (len(gain), taken)):
+                for at in range(0, len(numbers), BLOCK):
+                    if (part := numbers[at:at + BLOCK]).any():
+                        yield pa.RecordBatch.from_arrays([pa.array([first + at], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["first", "numbers"])
 
-    def steps(net: Network, held: list, squares: list[np.ndarray]) -> int:
+    def steps(net: Network, held: list, squares: list[np.ndarray]) -> np.ndarray:
         context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
         order = np.random.default_rng(SEED).permutation(len(target))
         for i in range(0, len(order), batch):
             rows = order[i:i + batch]
             net.train(context[:, rows], target[rows], squares)
-        return len(target)
+        return net.taken(context, target)
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in group.column("numbers").to_pylist())
+        return pa.table({"first": group.column("first").slice(0, 1), "numbers": pa.array([total.tobytes()], pa.binary())})
 
-    made = texts.select("text").mapInArrow(run, "first bigint, seen bigint, gain array<bigint>")
-    # Summed by position in decimal numbers, with partial sums in the map tasks; the result has as many rows as the network numbers.
-    each = made.select("first", "seen", F.posexplode("gain").alias("i", "g")).select((F.col("first") + F.col("i")).alias("at"), "seen", "g")
-    summed = each.groupBy("at").agg(F.sum(F.col("g").cast("decimal(18,0)") * F.col("seen").cast("decimal(18,0)")).alias("g"), F.sum("seen").alias("seen"))
-    rows = summed.select("at", (F.col("g").cast("double") / F.col("seen")).alias("g")).toPandas()
-    out = vector.astype(np.float64)
-    out[rows["at"].to_numpy(np.int64)] += rows["g"].to_numpy(np.float64) / _SCALE
-    return out
+    # A task's copy of the network is as large as the whole: no more copies than the cluster's cores can use.
+    dealt = texts.select("text").coalesce(2 * max(context.defaultParallelism, 2))
+    made = dealt.mapInArrow(run, "first bigint, numbers binary").groupBy("first").applyInArrow(added, "first bigint, numbers binary")
+    total = np.zeros(len(vector) + len(OFFSETS) * (classes ** 2 + 1) + 1 + classes, np.int64)
+    for r in made.toLocalIterator():
+        part = np.frombuffer(r.numbers, np.int64)
+        total[r["first"]:r["first"] + len(part)] = part
+    return vector + total[:len(vector)] / np.maximum(start.spread(total[len(vector):]), 1) / _SCALE
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, every: int = TRAIN_EVERY, classes: int = CLASSES, hashed: int = HASHED,
-        hidden: int = HIDDEN, batch: int = BATCH) -> tuple[Vocabulary, Network]:
+def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, every: int = TRAIN_EVERY, classes: int | None = None,
+        hashed: int = HASHED, hidden: int = HIDDEN, batch: int | None = None) -> tuple[Vocabulary, Network]:
     texts = docs.select(column(text_col).alias("text"))
-    words, net = vocabulary(texts, classes, hashed), Network(classes, hidden)
+    words = vocabulary(texts, classes, hashed)
+    net = Network(words.classes, hidden)
     for _ in range(rounds):
         net = net.with_vector(train_round(texts, words, net, every, batch))
     return words, net
@@ -245,7 +372,7 @@ def score(docs: DataFrame, words: Vocabulary, net: Network, id_col: str = "doc_i
         n = [len(t) for t in texts]
         row, at = laid_out(texts, words)
         logs = [net.log_probabilities(*contexts(row, at[i:i + 8192])) for i in range(0, len(at), 8192)]
-        logs = np.concatenate([np.zeros(0), *logs])
+        logs = np.concatenate([np.zeros(0), *logs]) + words.spelled([w for t in texts for w in t], row[at])
         sums = [0.0 if not k else float(logs[e - k:e].sum()) for k, e in zip(n, np.cumsum(n))]
         return cols | {"n_tokens": n, "pll": sums, "pll_per_token": [s / k if k else 0.0 for s, k in zip(sums, n)]}
 
