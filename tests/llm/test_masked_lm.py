@@ -84,3 +84,12 @@ def test_spelling_shares_out_each_id():
         p = (n + 2 * p) / (total + 2)
     end = model.next[model.code[98] * (known + 1) + model.code[99], model.code[M.END]]
     assert abs(model.log_probabilities([b"z", b"abc"])[1] - (model.pair[97, 98] + np.log(p) + end)) < 1e-5
+
+
+def test_defaults_train_on_every_place(spark):
+    text = " ".join(f"{chr(97 + i)}word" for i in range(16))
+    docs = spark.createDataFrame([(i, text) for i in range(4000)], "doc_id int, text string")
+    words, net = M.fit(docs, classes=5, hashed=4)
+    row, at = M.laid_out([M.tokens(text)], words)
+    gain = net.log_probabilities(*M.contexts(row, at)) - M.Network(5).log_probabilities(*M.contexts(row, at))
+    assert (gain > 1).all()

@@ -10,10 +10,9 @@ and the network stays small beside it. The rest share HASHED ids by their first
 the shared id times that of their spelling, a model of bytes (context of two, Witten-Bell) of the rest's full counts, so that
 what the network gives for an id is shared out over all strings of it. (Strings that have ids of their own get a little of it.)
 
-Training: every place of every document, or every `every`-th one; each task trains a copy of the network on its documents by
+Training: every place of every document is a target in each of ROUNDS rounds; each task trains a copy of the network on its documents by
 numpy, and the copies are averaged in Spark, each row of parameters by the number of places that it took part in, in
-fixed-point numbers so that the order of addition does not matter. ROUNDS such rounds. How documents fall into tasks does
-matter: scores depend on the layout of the input, not on chance.
+fixed-point numbers so that the order of addition does not matter. How documents fall into tasks does matter: scores depend on the layout of the input, not on chance.
 
 Defined cases: a null text, or one without tokens, has no tokens and score 0; repeated rows and null ids are rows of their
 own; an empty table gives an empty result; other columns are ignored.
@@ -35,7 +34,7 @@ from .common import column, map_batches, pieces, text_hash
 
 #: There are classes * classes ids, of which HASHED are shared by tokens without an id of their own.
 GROWTH, HASHED, HIDDEN, SIDE = 2, 64, 16, 2
-TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 16, 1, 2048, 0.15, 11
+TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 1, 2, 2048, 0.15, 11
 #: Numbers of a row of the averaging.
 BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
