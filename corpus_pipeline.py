@@ -10,7 +10,7 @@ from wardenlog.scratch import scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, and frequent lines of the others."""
     settled(spark)
     return line_frequency.keep_good(docs)
 

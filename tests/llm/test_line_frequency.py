@@ -56,3 +56,12 @@ def test_stage_keeps_columns_and_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 30 + 1 + 25
     odd = odd_documents(spark)
     assert L.keep_good(odd).columns == odd.columns
+
+
+def test_frequent_lines_are_cut_from_the_text(spark):
+    docs = corpus(spark).selectExpr("*", "CAST(length(text) AS bigint) AS n_chars")
+    got = {r.doc_id: r for r in L.keep_good(docs).collect()}
+    assert got[0].text.startswith("Shared words of a host, number 7.\n")  # the first bearer
+    assert all(got[i].text == long_line(i) for i in range(1, 30))
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert got[100].text.startswith("notice") and all(got[200 + i].text.endswith("\nother tail") for i in range(25))

@@ -1,7 +1,7 @@
 """Quality rules: lines that many documents of a host share.
 
 Lines are normalised and hashed; per host the distinct documents of each line are counted, and lines above the limits
-are removed. A document that is left depleted is rejected. Exact copies of a text count as one document, and a removed
+are removed from the texts of the documents that are kept. A document that is left depleted is rejected. Exact copies of a text count as one document, and a removed
 line stays in its first document of the host, so that of repeated content one bearer is kept.
 
 Defined cases: a null text has no words; a null host is a host of its own; a null or repeated id changes nothing, each
@@ -15,7 +15,9 @@ import hashlib
 import re
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from ..scratch import written
 from .common import carried, column, map_batches, same_document, text_hash, utf8
@@ -79,9 +81,8 @@ def line_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-            max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """One row for each document: base figures, words in removed lines, base_failed, kept."""
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, max_share: float, max_removed: float) -> DataFrame:
+    """Base figures of each row, hashes of the lines to remove (`cut`, null if none) and their words, base_failed, kept."""
     base = docs.select(
         column(id_col).alias("doc_id"), column(host_col).cast("string").alias("host"), text_hash(column(text_col)).alias("thash"),
         utf8(column(text_col)).alias("text"))
@@ -101,19 +102,52 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     removed = (
         held.alias("l").join(frequent.alias("f"), F.expr("l.h = f.h AND l.host <=> f.host"))
         .filter(~F.col("l.doc_id").eqNullSafe(F.col("f.first_id")))
-        .groupBy("l.row").agg(F.sum("n").alias("removed"))
+        .groupBy("l.row").agg(F.sum("n").alias("removed"), F.collect_list("l.h").alias("cut"))
     )
     out = rows.drop("lines").join(removed, "row", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     failed = (F.col("words") < MIN_WORDS) | (100 * F.col("repeats") > MAX_REPEAT_PERCENT * F.col("words"))
-    return out.select(
+    return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("removed") <= F.lit(max_removed) * F.col("words"))})
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
+            max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """One row for each document: base figures, words in removed lines, base_failed, kept."""
+    return _judged(docs, id_col, text_col, host_col, max_docs, max_share, max_removed).select(
         "doc_id", "thash", F.col("words").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"),
         F.col("dup_lines").alias("n_dup_lines"), F.col("repeats").alias("n_repeat_words"), F.col("removed").alias("n_removed_words"),
-        failed.alias("base_failed"), (~failed & (F.col("removed") <= F.lit(max_removed) * F.col("words"))).alias("kept"),
+        "base_failed", "kept",
     )
 
 
-def keep_good(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    bad = quality(docs, **parameters).filter(~F.col("kept")).select("doc_id", "thash").distinct()
-    rows = carried(docs, parameters.get("id_col", "doc_id"), parameters.get("text_col", "text"))
-    return rows.join(bad, same_document(rows, bad), "left_anti").select("row.*")
+def without_lines(text: bytes, cut: list[bytes]) -> bytes:
+    """The text's lines, but for those of the hashes."""
+    gone = set(cut)
+    return b"\n".join(x for x in text.split(b"\n") if hashlib.blake2b(normalised(x), digest_size=16).digest() not in gone)
+
+
+@F.pandas_udf(BinaryType())
+def _without_lines(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or c is None else without_lines(t, list(c)) for t, c in zip(texts, cuts)], dtype=object)
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
+              max_share: float = MAX_SHARE, max_removed: float = MAX_REMOVED) -> DataFrame:
+    """The documents that the rules keep, with all their columns: frequent lines are cut from the text, and n_chars counts what is left."""
+    judged = _judged(docs, id_col, text_col, host_col, max_docs, max_share, max_removed)
+    # Rows of the same host, id and text have the same verdict.
+    found = judged.filter(~F.col("kept") | F.col("cut").isNotNull()).groupBy("host", "doc_id", "thash").agg(
+        F.first("kept").alias("kept"), F.first("cut").alias("cut"))
+    rows = carried(docs, id_col, text_col).withColumn("host", F.col("row").getField(host_col).cast("string"))
+    both = rows.join(found, same_document(rows, found) & rows.host.eqNullSafe(found.host), "left").filter(F.coalesce("kept", F.lit(True)))
+    text = F.col("row").getField(text_col)
+    # Only texts to change go to Python.
+    both = both.select("row", "cut", _without_lines(F.when(F.col("cut").isNotNull(), utf8(text)), "cut").cast("string").alias("left_text"))
+    out = []
+    for name in docs.columns:
+        value = F.col("row").getField(name)
+        if name == text_col:
+            value = F.when(F.col("cut").isNotNull(), F.col("left_text")).otherwise(value)
+        elif name == "n_chars":
+            value = F.when(F.col("cut").isNotNull(), F.char_length("left_text")).otherwise(value).cast(docs.schema[name].dataType)
+        out.append(value.alias(name))
+    return both.select(*out)
