@@ -65,3 +65,16 @@ def test_frequent_lines_are_cut_from_the_text(spark):
     assert all(got[i].text == long_line(i) for i in range(1, 30))
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert got[100].text.startswith("notice") and all(got[200 + i].text.endswith("\nother tail") for i in range(25))
+
+
+def test_limits_do_not_rise_with_the_host(spark):
+    shared = "A line of fifty documents.\n"
+    small = [(i, shared + long_line(i), "h") for i in range(50)]
+    others = [(100 + i, f"Filler {letters(i)} of a large host", "h") for i in range(30_000)]
+    copies = [(100_000 + i, "The very same filler", "h") for i in range(5000)]
+    for rows in (small, small + others, small + copies):
+        got = L.quality(spark.createDataFrame(rows, "doc_id int, text string, source string"))
+        assert got.filter("doc_id < 50 AND n_removed_words = 5").count() == 49
+    # A share, if one is asked for, is of distinct texts: 50 of 51.
+    got = L.quality(spark.createDataFrame(small + copies, "doc_id int, text string, source string"), max_share=0.9)
+    assert got.filter("n_removed_words = 5").count() == 49
