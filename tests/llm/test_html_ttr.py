@@ -46,3 +46,12 @@ def test_pages_table(spark):
     assert len(got) == 5 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.n_chars for r in got}[3] == 10 * 50_000 - 1
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_short_section_beside_a_long_one():
+    long, short = "".join(f"<p>{PARAGRAPH}</p>" for _ in range(30)), f"<p>{PARAGRAPH} Twice.</p>"
+    links = "<div>" + "".join(f"<a href={i}>l{i}</a> " for i in range(9)) + "</div>"
+    words = " ".join([PARAGRAPH] * 30)
+    for a, b in (("div", "div"), ("article", "article"), ("article", "div"), ("div", "section")):
+        assert H.main_text(f"<body>{links}<{a}>{long}</{a}><{b}>{short}</{b}>{links}</body>") == f"{words} {PARAGRAPH} Twice."
+        assert H.main_text(f"<body>{links}<{b}>{short}</{b}><{a}>{long}</{a}>{links}</body>") == f"{PARAGRAPH} Twice. {words}"

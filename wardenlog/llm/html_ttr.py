@@ -4,7 +4,7 @@ The standard library's streaming parser gives events; each block of a page is a
 element it stands in. The lines' ratios of text (in code points, links left out) to tags are smoothed by a Gaussian and split
 in two clusters; the lines of the upper one, but for those that are mostly links, are content. The content region is the smallest section of the page that holds
 nearly all the content's text, or the article or main element around it; its lines are the text, whatever their own ratio,
-without those of menus, notices, adverts, forms, comments and the like, which elements' names, roles and classes tell.
+with those of sections beside it that hold content, but for lines that are mostly links, and without those of menus, notices, adverts, forms, comments and the like, which elements' names, roles and classes tell.
 
 Defined cases: a null or empty page has an empty text, as has one without a line; a broken or unclosed page is read as far as
 it goes; repeated rows and null ids are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -176,14 +176,26 @@ def main_text(html: str | None) -> str:
             around = up
             break
         up = page.sections[up][1]
+    above = {-1}  # the region and all sections around it
+    up = around
+    while up >= 0:
+        above.add(up)
+        up = page.sections[up][1]
+
+    def branch(section: int) -> int:
+        """The outermost section around a line that does not hold the region, or else the region or what holds it."""
+        last = section
+        while section not in above:
+            last, section = section, page.sections[section][1]
+        return around if section == around else last
+
+    branches = [branch(section) for _, _, _, section, *_ in lines]
+    beside = {b for b, is_content in zip(branches, content) if is_content and b not in above}
     kept, inside = [], False
-    for text, _, _, section, _, title in lines:
-        at = section
-        while at >= 0 and at != around:
-            at = page.sections[at][1]
-        inside |= at == around
+    for (text, link, _, _, _, title), b, is_content in zip(lines, branches, content):
+        inside |= b == around
         # The page's title may stand before the region.
-        if at == around or around < 0 or title and not inside:
+        if b == around or around < 0 or is_content or b in beside and 2 * link < len(text) or title and not inside:
             kept.append(text)
     return " ".join(kept)
 
