@@ -55,3 +55,15 @@ def test_short_section_beside_a_long_one():
     for a, b in (("div", "div"), ("article", "article"), ("article", "div"), ("div", "section")):
         assert H.main_text(f"<body>{links}<{a}>{long}</{a}><{b}>{short}</{b}>{links}</body>") == f"{words} {PARAGRAPH} Twice."
         assert H.main_text(f"<body>{links}<{b}>{short}</{b}><{a}>{long}</{a}>{links}</body>") == f"{PARAGRAPH} Twice. {words}"
+
+
+def test_marks_of_wrappers_and_articles():
+    body = f"<p>{PARAGRAPH}</p><p>{PARAGRAPH}</p>"
+    note = f"<div class=cookie-notice><p>{PARAGRAPH}</p></div><div class='box sidebar'><p>{PARAGRAPH}</p></div>"
+    for tag, name in (("div", "content no-sidebar"), ("div", "layout with-sidebar"), ("article", "post category-notice"), ("div", "entry tag-social"),
+                      ("section", "has-banner"), ("article", "post notice")):
+        assert H.main_text(f"<body><{tag} class='{name}'>{body}</{tag}>{note}</body>") == f"{PARAGRAPH} {PARAGRAPH}"
+    # A wrapper around the title and most of the text.
+    assert H.main_text(f"<body><div class=sidebar-layout><h1>Head</h1>{body}{body}{body}</div>{note}</body>") == "Head " + " ".join([PARAGRAPH] * 6)
+    comments = f"<div class=comments>{body * 9}</div>"
+    assert H.main_text(f"<body><div class=text><h1>Head</h1>{body}</div>{comments}</body>") == f"Head {PARAGRAPH} {PARAGRAPH}"

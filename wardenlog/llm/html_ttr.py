@@ -4,7 +4,8 @@ The standard library's streaming parser gives events; each block of a page is a
 element it stands in. The lines' ratios of text (in code points, links left out) to tags are smoothed by a Gaussian and split
 in two clusters; the lines of the upper one, but for those that are mostly links, are content. The content region is the smallest section of the page that holds
 nearly all the content's text, or the article or main element around it; its lines are the text, whatever their own ratio,
-with those of sections beside it that hold content, but for lines that are mostly links, and without those of menus, notices, adverts, forms, comments and the like, which elements' names, roles and classes tell.
+with those of sections beside it that hold content, but for lines that are mostly links, and without those of menus, notices, adverts, forms, comments and the like, which elements' names, roles and classes tell. Classes
+do not tell of articles, nor of an element around most of the page's text with its title or main part.
 
 Defined cases: a null or empty page has an empty text, as has one without a line; a broken or unclosed page is read as far as
 it goes; repeated rows and null ids are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -37,6 +38,10 @@ MARKS = re.compile(
     r"logo|social|popup|modal|overlay|widget\w*|login|signup|search|pagination|pager|toolbar|copyright|disclaimer|skip)(?=$|[\s_-])", re.I)
 #: Headers of an article, not of the site.
 OWN_HEADER = re.compile(r"(?:entry|post|article|content|story|title)[-_]*header|header[-_]*(?:title|text)", re.I)
+#: Classes that say what a page or post is like, not what an element is.
+ABOUT = re.compile(r"(?:^|(?<=\s))(?:has|no|not|with|without|tag|category|cat|hide|show)[-_]+\S*", re.I)
+#: A marked element that holds more than this share of the page's text, and its title or main part or nearly all text, is no boilerplate.
+MOST, NEARLY_ALL = 0.5, 0.9
 #: A start tag of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
@@ -46,9 +51,10 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int | None, bool]] = []  # name, section, dropped
+        self.open: list[tuple[str, int | None, int]] = []  # name, section, dropped: 0 no, -1 yes, else the number of the marked element
+        self.marked: list[tuple[int, list[bool]]] = [(0, [False])]  # the marked element around it, and whether it has a title or main part
         self.sections: list[tuple[str, int]] = []  # name and parent of each section
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags, self.link, self.links = 0, 0, 0
 
@@ -59,7 +65,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             title = any(t == "h1" for t, _, _ in self.open)
-            self.lines.append((text, self.link, self.tags, self.section(), bool(self.open and self.open[-1][2]), title))
+            self.lines.append((text, self.link, self.tags, self.section(), self.open[-1][2] if self.open else 0, title))
         self.text, self.tags, self.link = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -74,7 +80,16 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        dropped = bool(self.open and self.open[-1][2]) or self.drops(tag, attrs)
+        dropped = self.open[-1][2] if self.open else 0
+        if dropped >= 0 and self.drops(tag, attrs):
+            dropped = -1
+        elif dropped >= 0:
+            is_marked = self.marks(tag, attrs)
+            if tag in ("main", "h1") or tag == "article" and not is_marked:
+                self.has_main(dropped)
+            if is_marked and tag != "article":
+                self.marked.append((dropped, [False]))
+                dropped = len(self.marked) - 1
         number = None
         if tag in SECTIONS:
             number = len(self.sections)
@@ -90,14 +105,38 @@ class Lines(HTMLParser):
             return False
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and MARKS.search(OWN_HEADER.sub("", value)):
-                return True
             if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
                 return True
             if name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 
+    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        return tag not in ("html", "body", "main", "header") and any(
+            name in ("class", "id") and MARKS.search(OWN_HEADER.sub("", ABOUT.sub("", value or ""))) for name, value in attrs)
+
+    def has_main(self, number: int) -> None:
+        while number > 0:
+            number, has = self.marked[number]
+            has[0] = True
+
+    def unmarked(self) -> set[int]:
+        """Marked elements that are no boilerplate."""
+        held, total = [0] * len(self.marked), 0
+        for text, link, _, _, number, _ in self.lines:
+            if number >= 0:
+                size = max(len(text) - link, 0)
+                total += size
+                while number > 0:
+                    held[number] += size
+                    number = self.marked[number][0]
+        found = {0}
+        for k in range(1, len(held)):
+            around, has = self.marked[k]
+            if around in found and held[k] > (MOST if has[0] else NEARLY_ALL) * total:
+                found.add(k)
+        return found
+
     def close_to(self, tag: str) -> None:
         self.flush()
         while self.open:
@@ -153,7 +192,8 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = [x for x in page.lines if not x[4]]
+    unmarked = page.unmarked()
+    lines = [x for x in page.lines if x[4] in unmarked]
     if not lines:
         return ""
     ratio = np.array([max(len(text) - link, 0) / max(tags, 1) for text, link, tags, *_ in lines])
