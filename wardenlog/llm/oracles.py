@@ -69,4 +69,37 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8}
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string; needs the table `crc`."""
+    step = "xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+  lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v FROM range(256) r(i)))"""
+
+OP11 = f"""
+WITH {_CRC},
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+  {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, max(i) AS own FROM t GROUP BY c),
+h AS (SELECT k.c, k.own, {_crc32("k.c::VARCHAR")} % 9 AS h, b.own AS there FROM k CROSS JOIN crc LEFT JOIN k b ON b.c = k.c - k.c % 5),
+z AS (SELECT c, h, least(h, coalesce(there, 0)) AS taken FROM h),
+re AS (SELECT z.c, t.i AS i, t.x FROM z JOIN t ON t.c = z.c - z.c % 5 AND t.i <= z.taken
+  UNION ALL SELECT z.c, t.i - z.h + z.taken, t.x FROM z JOIN t ON t.c = z.c AND t.i > z.h),
+l AS (SELECT z.c, coalesce(list(re.x ORDER BY re.i) FILTER (re.x IS NOT NULL), []) AS l FROM z LEFT JOIN re ON re.c = z.c GROUP BY z.c),
+pre AS (SELECT c, d, l[1:d] AS p, d = len(l) AS last FROM (SELECT c, l, unnest(range(0, len(l) + 1)) AS d FROM l)),
+node AS (SELECT p, any_value(d) AS depth, min(c) AS conv, count(*) AS n, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (last), '') AS ends,
+  CASE WHEN any_value(d) = 0 THEN 0 ELSE octet_length(encode(p[-1].t)) END AS bytes FROM pre GROUP BY p),
+kid AS (SELECT p[1:depth - 1] AS p, count(*) AS kids FROM node WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT node.*, coalesce(kids, 0) AS kids FROM node LEFT JOIN kid USING (p)),
+up AS (SELECT p[1:e] AS p, kids, n, bytes FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM w)),
+sub AS (SELECT p, count(*) FILTER (kids = 0) AS leaves, sum((n - 1) * bytes) AS saved FROM up GROUP BY p)
+SELECT w.conv AS conv_id, w.depth::BIGINT AS depth, q.conv AS parent_conv_id, w.n AS n_convs, w.kids AS n_children, sub.leaves AS n_leaves,
+  sub.saved::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256
+FROM w JOIN sub USING (p) LEFT JOIN node q ON w.depth > 0 AND q.p = w.p[1:w.depth - 1]
+"""
+
+ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8, "op11_prefix_trie": OP11}

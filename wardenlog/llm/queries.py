@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, positional, pu_quality, simhash_golay, warc_zip)
+    credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, positional, prefix_trie, pu_quality, simhash_golay, warc_zip)
 from .common import fold, settled, table
 from .oracles import ORACLES
 
@@ -82,5 +82,12 @@ def op10_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.score(docs, net).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    heads = F.crc32(F.col("conv").cast("string").cast("binary")) % 9
+    return prefix_trie.trie(*prefix_trie.branched(turns, heads, F.col("conv") - F.col("conv") % 5, 8))
+
+
 def oracles() -> dict[str, str]:
     return dict(ORACLES)
