@@ -102,4 +102,14 @@ SELECT w.conv AS conv_id, w.depth::BIGINT AS depth, q.conv AS parent_conv_id, w.
 FROM w JOIN sub USING (p) LEFT JOIN node q ON w.depth > 0 AND q.p = w.p[1:w.depth - 1]
 """
 
-ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8, "op11_prefix_trie": OP11}
+OP12 = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, q.r AS r, v.vec_id AS vec_id, list_inner_product(q.x, v.x)::BIGINT AS score
+  FROM v q JOIN v ON v.r <> q.r AND len(v.x) = len(q.x) WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank, vec_id, score FROM p
+QUALIFY rank <= 5
+"""
+
+ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8, "op11_prefix_trie": OP11,
+    "op12_norm_topk": OP12}

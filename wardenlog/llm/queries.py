@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
-    credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, positional, prefix_trie, pu_quality, simhash_golay, warc_zip)
+    credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, norm_topk, positional,
+    prefix_trie, pu_quality, simhash_golay, warc_zip)
 from .common import fold, settled, table
 from .oracles import ORACLES
 
@@ -89,5 +90,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(*prefix_trie.branched(turns, heads, F.col("conv") - F.col("conv") % 5, 8))
 
 
+@query
+def op12_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = norm_topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 def oracles() -> dict[str, str]:
     return dict(ORACLES)
