@@ -111,5 +111,54 @@ SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id N
 QUALIFY rank <= 5
 """
 
+
+
+def _op13() -> str:
+    """Costs and letters so far are one string for each state, so that the least of them is the cheapest and then the least."""
+    def add(e: str, cost: str, letter: str, when: str = "true") -> str:
+        return f"CASE WHEN {e} = '~' OR NOT ({when}) THEN '~' ELSE printf('%09d', left({e}, 9)::INTEGER + {cost}) || substr({e}, 10) || '{letter}' END"
+
+    def kept(state: str, initial: str) -> str:
+        return add(state, "extra", "K", f"NOT gone AND initial = '{initial}'")
+
+    def reroled(state: str) -> str:
+        return add(state, "3 + extra", "R", "NOT gone")
+
+    before_u = ("e0", "e1", "e3")
+    return f"""
+WITH RECURSIVE {_CRC},
+o AS (SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+k AS (SELECT o.*, {_crc32("name")} % 20 AS kind FROM o, crc),
+d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k.role, k.text, copy) AS i
+  FROM k, (SELECT unnest([0, 1]) AS copy) x WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS broken, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM d),
+r AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND broken THEN 3 ELSE 0 END AS extra FROM f),
+s AS (SELECT c, max(i) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (extra > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+dp AS (SELECT c, 0::BIGINT AS i, '000000000' AS e0, '~' AS e1, '000000003I' AS e2, '000000006II' AS e3 FROM s UNION ALL
+  SELECT c, i, n0, n1, m2, least(n3, {add("m2", "3", "I")}) FROM (
+    SELECT c, i, n0, n1, least(n2, {", ".join(add(e, "3", "I") for e in ("n0", "n1", "n3"))}) AS m2, n3 FROM (
+      SELECT dp.c, r.i, {add("e0", "4", "D")} AS n0, least({add("e1", "4", "D")}, {kept("e0", "s")}) AS n1,
+        least({add("e2", "4", "D")}, {", ".join(kept(e, "u") for e in before_u)}, {", ".join(map(reroled, before_u))}) AS n2,
+        least({add("e3", "4", "D")}, {kept("e2", "a")}, {reroled("e2")}) AS n3
+      FROM dp JOIN r ON r.c IS NOT DISTINCT FROM dp.c AND r.i = dp.i + 1) x) y),
+best AS (SELECT s.*, left(least(e0, e3), 9)::BIGINT AS cost, substr(least(e0, e3), 10) AS audit FROM dp JOIN s ON s.c IS NOT DISTINCT FROM dp.c AND s.size = dp.i),
+l AS (SELECT c, n, audit[n] AS letter FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS n FROM best)),
+p AS (SELECT *, count(*) FILTER (letter <> 'I') OVER w AS i, count(*) FILTER (letter <> 'D') OVER w AS o FROM l WINDOW w AS (PARTITION BY c ORDER BY n)),
+q AS (SELECT p.*, r.role, r.text, max(CASE WHEN p.o = 1 AND letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.c) AS led
+  FROM p LEFT JOIN r ON letter <> 'I' AND r.c IS NOT DISTINCT FROM p.c AND r.i = p.i WHERE letter <> 'D'),
+t AS (SELECT c, string_agg(CASE WHEN letter = 'K' THEN role WHEN (o - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END,
+  chr(10) ORDER BY n) AS text FROM q GROUP BY c)
+SELECT v.conv_id, {", ".join(f"coalesce({x}, 0)::BIGINT AS {x}" for x in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost"))},
+  coalesce(audit, '') AS audit, sha256(coalesce(t.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN best b ON b.c IS NOT DISTINCT FROM v.conv_id LEFT JOIN t ON t.c IS NOT DISTINCT FROM v.conv_id
+"""
+
+
+OP13 = _op13()
+
 ORACLES: dict[str, str] = {"op2_warc_zip": OP2, "op4_line_frequency": OP4, "op8_positional_index": OP8, "op11_prefix_trie": OP11,
-    "op12_norm_topk": OP12}
+    "op12_norm_topk": OP12, "op13_structure_repair": OP13}

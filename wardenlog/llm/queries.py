@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import (
     credentials, html_ttr, language_ppm, line_frequency, masked_lm, nbest, norm_topk, positional,
-    prefix_trie, pu_quality, simhash_golay, warc_zip)
+    prefix_trie, pu_quality, simhash_golay, structure_repair, warc_zip)
 from .common import fold, settled, table
 from .oracles import ORACLES
 
@@ -96,5 +96,26 @@ def op12_norm_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults, by a hash of conversation and turn."""
+    name = F.concat(*(F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c else F.lit(":") for c in ("conv", "", "turn")))
+    kind = F.crc32(name.cast("binary")) % 20
+    turns = turns.withColumn("kind", kind).filter("kind <> 0")
+    turns = turns.withColumn("o_copy", F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return turns.withColumns({
+        "text": F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")),
+        "role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))}).drop("kind")
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    made = structure_repair.repair(structure_repair.in_order(rows, change=damaged))
+    every = rows.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    empty = {"audit": "", "repaired_sha256": structure_repair.EMPTY_SHA}
+    return every.join(made, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *(F.coalesce(F.col(c), F.lit(empty.get(c, 0))).alias(c) for c in made.columns if c != "conv"))
+
+
 def oracles() -> dict[str, str]:
     return dict(ORACLES)
