@@ -7,41 +7,81 @@ from .edge import no_documents, odd_documents
 
 def test_probabilities_sum_to_one_and_gradients_match():
     rng = np.random.default_rng(0)
-    net = M.Network(classes=4, hidden=3)
+    net = M.Network(classes=3, hidden=3)
     net.p = [p.astype(np.float64) for p in net.p]
-    context = rng.integers(0, 17, (len(M.OFFSETS), 5))
-    total = sum(np.exp(net.log_probabilities(context, np.full(5, t))) for t in range(16))
+    row, at = M.laid_out([rng.integers(0, 27, 9), rng.integers(0, 27, 3)], net.size)
+    total = np.zeros(3)
+    for t in range(27):
+        for j, i in enumerate(at[[0, 4, 10]]):
+            other = row.copy()
+            other[i] = t
+            total[j] += np.exp(net.log_probabilities(other, at[at == i]))[0]
     assert np.allclose(total, 1, atol=1e-5)
-    target = rng.integers(0, 16, 5)
     before, squares = [p.copy() for p in net.p], [np.zeros_like(p) for p in net.p]
-    net.train(context, target, squares)
+    taken = net.train(row, at, squares)
+    assert taken[len(M.OFFSETS) * 28] == 12 and len(taken) == net.lines() and len(net.spread(taken)) == len(net.vector())
     for i, (p, q) in enumerate(zip(before, squares)):
-        at = np.unravel_index(q.argmax(), q.shape)
+        where = np.unravel_index(q.argmax(), q.shape)
         net.p = [x.copy() for x in before]
-        net.p[i][at] += 1e-4
-        up = net.log_probabilities(context, target).sum()
-        net.p[i][at] -= 2e-4
-        slope = -(up - net.log_probabilities(context, target).sum()) / 2e-4
-        assert abs(abs(slope) / 5 ** 0.5 - q[at] ** 0.5) < 2e-3
+        net.p[i][where] += 1e-4
+        up = net.log_probabilities(row, at).sum()
+        net.p[i][where] -= 2e-4
+        slope = -(up - net.log_probabilities(row, at).sum()) / 2e-4
+        assert abs(abs(slope) / 12 ** 0.5 - q[where] ** 0.5) < 2e-3
 
 
 def test_training_helps_and_scores_follow_the_definition(spark):
     docs = spark.createDataFrame([(i, "one two three four five six seven. " * 30) for i in range(8)], "doc_id int, text string")
-    words, net = M.fit(docs, rounds=3, every=2, classes=6, hashed=4, hidden=8, batch=64)
-    got = M.score(docs, words, net).collect()
-    blank = M.score(docs, words, M.Network(6, 8)).first()
+    words, net, coded = M.fit(docs, rounds=3, classes=3, hashed=4, hidden=8, batch=64)
+    got = M.score(coded, net).collect()
+    blank = M.score(coded, M.Network(3, 8)).first()
     assert all(r.pll_per_token > blank.pll_per_token + 1 for r in got)
-    row, at = M.laid_out([M.tokens("one two three")], words)
-    by_hand = sum(net.log_probabilities(*M.contexts(row, at[i:i + 1]))[0] for i in range(3))
-    short = M.score(spark.createDataFrame([(1, "One TWO three")], "doc_id int, text string"), words, net).first()
+    row, at = M.laid_out([words.encode(M.tokens("one two three"))], words.pad)
+    by_hand = sum(net.log_probabilities(row, at[i:i + 1])[0] for i in range(3))
+    short = M.score(M.encode(spark.createDataFrame([(1, "One TWO three")], "doc_id int, text string"), words), net).first()
     assert short.n_tokens == 3 and abs(short.pll - by_hand) < 1e-4
 
 
+def test_runs_of_a_long_text_see_their_neighbours():
+    net = M.Network(3)
+    row, at = M.laid_out([np.arange(50) % 27, np.arange(7)], net.size)
+    whole = net.log_probabilities(row, at)
+    parts = np.concatenate([net.log_probabilities(*p) for p in M.runs(row, at, 8)])
+    assert np.allclose(whole, parts, atol=1e-6)
+    assert M.laid_out([], net.size)[1].size == 0 and list(M.runs(*M.laid_out([], net.size), 8)) == []
+
+
+def test_layout_of_the_input_does_not_matter(spark):
+    rows = [(i, f"the {i % 5} words of document {i % 3} are here. " * 5) for i in range(40)]
+    got = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows, "doc_id int, text string").repartition(parts)
+        _, net, coded = M.fit(docs, classes=3, hashed=4, batch=256)
+        got.append(sorted((r.doc_id, r.pll) for r in M.score(coded, net).collect()))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-4 for a, b in zip(*got))
+
+
+def test_defaults_tell_text_from_junk(spark):
+    import random
+
+    rnd = random.Random(1)
+    subjects, verbs, things = ["the dog", "a child", "my friend", "the old man"], ["sees", "likes", "finds", "takes"], ["a ball", "the red house", "some bread", "two keys"]
+    said = lambda: f"{rnd.choice(subjects)} {rnd.choice(verbs)} {rnd.choice(things)} . "
+    docs = spark.createDataFrame([(i, "".join(said() for _ in range(40))) for i in range(300)], "doc_id int, text string")
+    words, net, _ = M.fit(docs)
+    good = "".join(said() for _ in range(20))
+    mixed = good.split()
+    rnd.shuffle(mixed)
+    pair = spark.createDataFrame([(1, good), (2, " ".join(mixed))], "doc_id int, text string")
+    a, b = (r.pll_per_token for r in M.score(M.encode(pair, words), net).orderBy("doc_id").collect())
+    assert a > b + 1
+
+
 def test_odd_rows(spark):
-    words, net = M.fit(odd_documents(spark), classes=4, hashed=4)
-    got = M.score(odd_documents(spark), words, net).collect()
+    words, net, coded = M.fit(odd_documents(spark), classes=4, hashed=4)
+    got = M.score(coded, net).collect()
     assert len(got) == 9 and [(r.n_tokens, r.pll) for r in got if r.doc_id in (1, 2)] == [(0, 0.0)] * 2
-    assert M.score(no_documents(spark), words, net).count() == 0
+    assert M.score(M.encode(no_documents(spark), words), net).count() == 0
     M.fit(no_documents(spark), classes=4, hashed=4)
 
 
@@ -61,14 +101,14 @@ def test_vocabulary_grows_with_the_text(spark):
 def test_rare_tokens_are_told_apart(spark):
     stems, ends = ("walk", "talk", "jump", "climb", "play"), ("ing", "ed", "er", "ers", "s")
     rows = [(i, "the and of it " * 40 + f"{s}{e} x{s}{e}") for i, (s, e) in enumerate((s, e) for s in stems for e in ends)]
-    words, net = M.fit(spark.createDataFrame(rows, "doc_id int, text string"), classes=3, hashed=4)
+    words, net, _ = M.fit(spark.createDataFrame(rows, "doc_id int, text string"), classes=2, hashed=4)
     tokens = [b"walking", b"waxqzjk"]
     ids = words.encode(tokens)
     # The network cannot tell these, as they begin alike; their spelling does.
     assert ids[0] == ids[1] >= words.size - words.hashed
     good, junk = words.spelled(tokens, ids)
     assert good > junk + 5
-    got = M.score(spark.createDataFrame([(1, "walking"), (2, "waxqzjk")], "doc_id int, text string"), words, net).collect()
+    got = M.score(M.encode(spark.createDataFrame([(1, "walking"), (2, "waxqzjk")], "doc_id int, text string"), words), net).collect()
     assert abs(sum(r.pll * (3 - 2 * r.doc_id) for r in got) - (good - junk)) < 1e-4
 
 
@@ -89,7 +129,7 @@ def test_spelling_shares_out_each_id():
 def test_defaults_train_on_every_place(spark):
     text = " ".join(f"{chr(97 + i)}word" for i in range(16))
     docs = spark.createDataFrame([(i, text) for i in range(4000)], "doc_id int, text string")
-    words, net = M.fit(docs, classes=5, hashed=4)
-    row, at = M.laid_out([M.tokens(text)], words)
-    gain = net.log_probabilities(*M.contexts(row, at)) - M.Network(5).log_probabilities(*M.contexts(row, at))
+    words, net, _ = M.fit(docs, classes=3, hashed=4)
+    row, at = M.laid_out([words.encode(M.tokens(text))], words.pad)
+    gain = net.log_probabilities(row, at) - M.Network(3).log_probabilities(row, at)
     assert (gain > 1).all()

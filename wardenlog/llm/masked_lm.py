@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood: each token of a text predicted from the tokens on both sides of it.
 
 A small network reads the SIDE tokens before and after a place (an embedding for each token and offset, summed, tanh) and
-gives the token's probability in two steps, its class and its place in the class. A document's score is the sum of the log
-probabilities of all its tokens, each masked in turn.
+gives the token's probability in STEPS steps, each a choice among the classes of the one before; the last are the tokens. A
+document's score is the sum of the log probabilities of all its tokens, each masked in turn.
 
 Vocabulary: exact counts of all tokens of all documents; all tokens above a count have ids of their own. The count is the
 lowest that leaves at most GROWTH times the square root of the number of all tokens, so the vocabulary grows with the text
@@ -10,12 +10,15 @@ and the network stays small beside it. The rest share HASHED ids by their first
 the shared id times that of their spelling, a model of bytes (context of two, Witten-Bell) of the rest's full counts, so that
 what the network gives for an id is shared out over all strings of it. (Strings that have ids of their own get a little of it.)
 
-Training: every place of every document is a target in each of ROUNDS rounds; each task trains a copy of the network on its documents by
-numpy, and the copies are averaged in Spark, each row of parameters by the number of places that it took part in, in
-fixed-point numbers so that the order of addition does not matter. How documents fall into tasks does matter: scores depend on the layout of the input, not on chance.
+Each text is cut into tokens twice: to count them, and to write its ids, which training and scoring read.
+
+Training: every place of every document is a target in each of ROUNDS rounds. Documents are dealt by a hash of the row into
+shares of about equal numbers of places; the number of shares follows from the corpus and the network, not from the cluster or the
+layout of the input. A share trains a copy of the network by numpy; copies are averaged in Spark, each row of parameters by the
+number of places that it took part in, in fixed-point numbers so that the order of addition does not matter.
 
 Defined cases: a null text, or one without tokens, has no tokens and score 0; repeated rows and null ids are rows of their
-own; an empty table gives an empty result; other columns are ignored.
+own; an empty table gives an empty result; other columns are ignored. A very long text is read in runs of BATCH places.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..scratch import written
-from .common import column, map_batches, pieces, text_hash
-
-#: There are classes * classes ids, of which HASHED are shared by tokens without an id of their own.
-GROWTH, HASHED, HIDDEN, SIDE = 2, 64, 16, 2
-TRAIN_EVERY, ROUNDS, BATCH, RATE, SEED = 1, 2, 2048, 0.15, 11
+from .common import column, map_batches, text_hash
+from .ordered import map_rows
+
+#: There are classes ** STEPS ids, of which HASHED are shared by tokens without an id of their own.
+GROWTH, HASHED, HIDDEN, SIDE, STEPS = 2, 64, 16, 2, 3
+ROUNDS, BATCH, RATE, SEED = 2, 16384, 0.25, 11
+#: A share of the training has about so many places for each number of the network, whose gains it sends on.
+PLACES_A_NUMBER = 4
 #: Numbers of a row of the averaging.
 BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
@@ -134,7 +139,7 @@ class Vocabulary:
 
     def __init__(self, frequent: list[bytes], classes: int, hashed: int = HASHED, spelling: Spelling | None = None):
         #: The last id stands for places before and after the text.
-        self.size, self.pad, self.hashed = classes * classes, classes * classes, hashed
+        self.size, self.pad, self.hashed = classes ** STEPS, classes ** STEPS, hashed
         self.classes, self.spelling = classes, spelling or Spelling(hashed=hashed)
         self.ids = {w: i for i, w in enumerate(frequent[:self.size - hashed])}
 
@@ -159,7 +164,7 @@ def vocabulary(texts: DataFrame, classes: int | None = None, hashed: int = HASHE
     counts = written(count_tokens(texts), "token-counts")
     # How many tokens occur how often: few rows, however many tokens there are.
     often = sorted(((r.n, r.tokens) for r in counts.groupBy("n").agg(F.count("*").alias("tokens")).collect()), reverse=True)
-    room = classes * classes - hashed if classes else int(GROWTH * sum(n * k for n, k in often) ** 0.5)
+    room = classes ** STEPS - hashed if classes else int(GROWTH * sum(n * k for n, k in often) ** 0.5)
     least, held = often[0][0] + 1 if often else 1, 0
     for n, k in often:
         if held + k > room:
@@ -167,20 +172,20 @@ def vocabulary(texts: DataFrame, classes: int | None = None, hashed: int = HASHE
         least, held = n, held + k
     top = sorted(counts.filter(F.col("n") >= least).collect(), key=lambda r: (-r.n, r.token))
     grams = [tuple(r) for r in spelling_counts(counts.filter(F.col("n") < least)).collect()]
-    classes = classes or max(2, int(np.ceil((held + hashed) ** 0.5)))
+    classes = classes or next(c for c in range(2, held + hashed + 3) if c ** STEPS >= held + hashed)
     return Vocabulary([bytes(r.token) for r in top], classes, hashed, Spelling(grams, hashed))
 
 
 class Network:
-    """Parameters: embeddings (offset, id, hidden), bias, class weights and biases, word weights and biases."""
+    """Parameters: embeddings (offset, id, hidden), bias, and for each step weights and biases of its choices, by class so far."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        v = classes * classes
-        self.classes, self.hidden = classes, hidden
-        self.shapes = [(len(OFFSETS), v + 1, hidden), (hidden,), (hidden, classes), (classes,), (classes, hidden, classes), (classes, classes)]
-        scale = (0.1, 0, 0.1, 0, 0.1, 0)
-        self.p = [(rng.normal(0, s, shape) if s else np.zeros(shape)).astype(np.float32) for s, shape in zip(scale, self.shapes)]
+        self.classes, self.hidden, self.size = classes, hidden, classes ** STEPS
+        self.shapes = [(len(OFFSETS), self.size + 1, hidden), (hidden,)]
+        for step in range(STEPS):
+            self.shapes += [(classes ** step, hidden, classes), (classes ** step, classes)]
+        self.p = [(rng.normal(0, 0.1, s) if len(s) == 3 else np.zeros(s)).astype(np.float32) for s in self.shapes]
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.p])
@@ -194,185 +199,236 @@ class Network:
         self.p = out
         return self
 
-    def hidden_of(self, context: np.ndarray) -> np.ndarray:
+    def by_id(self, row: np.ndarray) -> np.ndarray:
+        """Places of a row in the order of their ids."""
+        order = np.argsort((row & 0xFFFF).astype(np.uint16), kind="stable")
+        if self.size > 0xFFFF:
+            order = order[np.argsort((row >> 16)[order].astype(np.uint16), kind="stable")]
+        return order
+
+    def hidden_of(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         e, b = self.p[:2]
-        total = e[0].take(context[0], axis=0)
+        total = e[0].take(row[at + OFFSETS[0]], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += e[k].take(context[k], axis=0)
+            total += e[k].take(row[at + OFFSETS[k]], axis=0)
         total += b
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log probability (nats) of each target in its context."""
-        _, _, wc, bc, ww, bw = self.p
-        # In the order of targets each class is one slice.
-        order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
-        h, t = self.hidden_of(context)[order], target[order]
-        kind, place = np.divmod(t, self.classes)
-        one = np.ones(self.classes, np.float32)
-        z = h @ wc + bc
-        logs = z[np.arange(len(t)), kind]
-        total = np.log(np.exp(z, out=z) @ one)
-        borders = np.searchsorted(kind, np.arange(self.classes + 1))
-        for c in np.nonzero(np.diff(borders))[0]:
-            s, e = borders[c], borders[c + 1]
-            z = h[s:e] @ ww[c] + bw[c]
-            logs[s:e] += z[np.arange(e - s), place[s:e]]
-            total[s:e] += np.log(np.exp(z, out=z) @ one)
-        out = np.empty(len(t))
-        out[order] = logs - total
-        return out
-
-    def train(self, context: np.ndarray, target: np.ndarray, squares: list[np.ndarray]) -> None:
-        """One step of Adagrad on a batch; `squares` are the sums of squared gradients so far."""
-        e, b, wc, bc, ww, bw = self.p
+    def choices(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For sorted targets, each step's choices class by class, those of about as many places together: step, classes so far,
+        places (a line for each class; len(target) where a line has no more), the ids chosen."""
         n = len(target)
-        # In the order of targets each class is one slice.
-        order = np.argsort((target // self.classes).astype(np.int16), kind="stable")
-        context, target = context[:, order], target[order]
-        h = self.hidden_of(context)
-        kind, place = np.divmod(target, self.classes)
-        gc = _softmax(h @ wc + bc)
-        gc[np.arange(n), kind] -= 1
-        gh = gc @ wc.T
-        borders = np.searchsorted(kind, np.arange(self.classes + 1))
-        for c in np.nonzero(np.diff(borders))[0]:
-            rows = slice(borders[c], borders[c + 1])
-            g = _softmax(h[rows] @ ww[c] + bw[c])
-            g[np.arange(len(g)), place[rows]] -= 1
-            gh[rows] += g @ ww[c].T
-            _step(ww, squares[4], c, h[rows].T @ g, n)
-            _step(bw, squares[5], c, g.sum(axis=0), n)
-        gz = gh * (1 - h * h)
-        for k in range(len(OFFSETS)):
-            # Only the ids that occur have a gradient.
-            at = np.argsort(context[k], kind="stable")
-            ids = context[k][at]
-            starts = np.nonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))[0]
-            _step(e[k], squares[0][k], ids[starts], np.add.reduceat(gz[at], starts, axis=0), n)
-        for p, q, g in zip((b, wc, bc), squares[1:4], (gz.sum(axis=0), h.T @ gc, gc.sum(axis=0))):
-            _step(p, q, slice(None), g, n)
-
-    def taken(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """How many places each embedding, the shared parameters and each class took part in, as whole numbers."""
-        seen = [np.bincount(c, minlength=self.classes ** 2 + 1) for c in context]
-        return np.concatenate([*seen, [len(target)], np.bincount(target // self.classes, minlength=self.classes)])
+        for step in range(STEPS):
+            kind, chosen = np.divmod(target // self.classes ** (STEPS - 1 - step), self.classes)
+            chosen = np.append(chosen, 0)
+            if step == 0:
+                yield step, np.zeros(1, np.int64), np.arange(n)[None], chosen[None, :n]
+                continue
+            starts = np.nonzero(np.diff(kind, prepend=-1))[0]
+            counts = np.diff(starts, append=n)
+            width = 1 << np.ceil(np.log2(counts)).astype(np.int64)
+            for w in np.unique(width).tolist():
+                some = np.nonzero(width == w)[0]
+                cell = np.arange(w)
+                places = np.where(cell < counts[some][:, None], starts[some][:, None] + cell, n)
+                yield step, kind[starts[some]], places, chosen[places]
+
+    def probabilities(self, h: np.ndarray, step: int, kinds: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Of each choice, at places as choices() gives them. `h` ends with a row of zeros."""
+        w, b = self.p[2 + 2 * step:4 + 2 * step]
+        z = (h[:-1][None] if step == 0 else h[places]) @ w[kinds]
+        z += b[kinds][:, None]
+        np.exp(z, out=z)
+        z /= (z @ np.ones(self.classes, z.dtype))[..., None]
+        return z
+
+    def log_probabilities(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log probability (nats) of the ids of a row at some places."""
+        out = np.zeros(len(row))
+        wanted = np.zeros(len(row), bool)
+        wanted[at] = True
+        order = self.by_id(row)
+        order = order[wanted[order]]
+        h = np.append(self.hidden_of(row, order), np.zeros((1, self.hidden), np.float32), axis=0)
+        logs = np.zeros(len(order) + 1)
+        for step, kinds, places, chosen in self.choices(row[order].astype(np.int64)):
+            p = self.probabilities(h, step, kinds, places)
+            logs[places] += np.log(np.take_along_axis(p, chosen[..., None], axis=2)[..., 0])
+        out[order] = logs[:-1]
+        return out[at]
+
+    def train(self, row: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> np.ndarray:
+        """One step of Adagrad on the places of a row; `squares` are the sums of squared gradients so far. How many places each
+        row of parameters took part in."""
+        n = len(at)
+        wanted = np.zeros(len(row), bool)
+        wanted[at] = True
+        every = self.by_id(row)
+        order = every[wanted[every]]
+        h = np.append(self.hidden_of(row, order), np.zeros((1, self.hidden), np.float32), axis=0)
+        target = row[order].astype(np.int64)
+        gh = np.zeros_like(h)
+        for step, kinds, places, chosen in list(self.choices(target)):
+            g = self.probabilities(h, step, kinds, places)
+            g.reshape(-1, self.classes)[np.arange(chosen.size), chosen.ravel()] -= 1
+            if step:
+                g[places == n] = 0
+            w, b = self.p[2 + 2 * step:4 + 2 * step]
+            back = g @ w[kinds].transpose(0, 2, 1)
+            own = h[:-1][None] if step == 0 else h[places]
+            if step == 0:
+                gh[:-1] += back[0]
+            else:
+                gh[places.ravel()] += back.reshape(-1, self.hidden)
+            _step(w, squares[2 + 2 * step], kinds, own.transpose(0, 2, 1) @ g, n)
+            _step(b, squares[3 + 2 * step], kinds, g.sum(axis=1), n)
+        gz = gh[:-1] * (1 - h[:-1] * h[:-1])
+        # What each place of the row was for those around it: the gradient of the place an offset before.
+        at_place = np.zeros((len(row) + 2 * SIDE, self.hidden), np.float32)
+        at_place[order + SIDE] = gz
+        ids = row[every]
+        starts = np.nonzero(np.diff(ids, prepend=-1))[0]
+        for k, o in enumerate(OFFSETS):
+            _step(self.p[0][k], squares[0][k], ids[starts], np.add.reduceat(at_place[every + (SIDE - o)], starts, axis=0), n)
+        _step(self.p[1], squares[1], slice(None), gz.sum(axis=0), n)
+        seen = [np.bincount(row[at + o], minlength=self.size + 1) for o in OFFSETS]
+        return np.concatenate([*seen, [n], *(np.bincount(target // self.classes ** (STEPS - s), minlength=self.classes ** s) for s in range(STEPS))])
 
     def spread(self, taken: np.ndarray) -> np.ndarray:
-        """The numbers of `taken` for each number of the vector."""
-        v, sizes = len(OFFSETS) * (self.classes ** 2 + 1), [int(np.prod(s)) for s in self.shapes]
-        each = taken[v + 1:]
-        return np.concatenate([np.repeat(taken[:v], self.hidden), np.full(sum(sizes[1:4]), taken[v]),
-                               np.repeat(each, self.hidden * self.classes), np.repeat(each, self.classes)])
+        """The numbers that train() returns, for each number of the vector."""
+        v = len(OFFSETS) * (self.size + 1)
+        out, first = [np.repeat(taken[:v], self.hidden), np.full(self.hidden, taken[v])], v + 1
+        for step in range(STEPS):
+            each = taken[first:first + self.classes ** step]
+            out += [np.repeat(each, self.hidden * self.classes), np.repeat(each, self.classes)]
+            first += len(each)
+        return np.concatenate(out)
 
+    def lines(self) -> int:
+        """How many numbers train() returns."""
+        return len(OFFSETS) * (self.size + 1) + 1 + sum(self.classes ** s for s in range(STEPS))
 
-def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray | slice | int, g: np.ndarray, n: int) -> None:
+
+def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, g: np.ndarray, n: int) -> None:
     g = g / n ** 0.5
     q = squares[at] + g * g
     squares[at] = q
     p[at] -= RATE * g / (np.sqrt(q) + 1e-3)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    np.exp(z, out=z)
-    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-    return z
+def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each document's ids (32-bit numbers), and the log probability of the spellings of its tokens without an id of their own."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+    texts = docs.select(column(id_col).alias("doc_id"), text_hash(column(text_col)).alias("thash"), column(text_col).alias("text"))
 
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        words = shared.value
+        texts = [tokens(t) for t in cols.pop("text")]
+        n = [len(t) for t in texts]
+        every = [w for t in texts for w in t]
+        ids = words.encode(every)
+        spelled = np.concatenate([[0.0], np.cumsum(words.spelled(every, ids))])
+        ends = np.cumsum(n).tolist()
+        return cols | {"n_tokens": n, "spelled": [float(spelled[e] - spelled[e - k]) for e, k in zip(ends, n)],
+                       "ids": [ids[e - k:e].astype("<i4").tobytes() for e, k in zip(ends, n)]}
 
-def laid_out(texts: list[list[bytes]], words: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    return map_batches(texts, run, f"doc_id {dict(texts.dtypes)['doc_id']}, thash bigint, n_tokens bigint, spelled double, ids binary", heavy="text")
+
+
+def laid_out(texts: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one row with SIDE pads before, between and after them, and the place of each token in it."""
     sizes = np.array([len(t) for t in texts], np.int64)
     at = np.arange(sizes.sum()) + SIDE * (np.repeat(np.arange(len(texts)), sizes) + 1)
-    row = np.full(int(sizes.sum()) + SIDE * (len(texts) + 1), words.pad, np.int32)
-    row[at] = words.encode([w for t in texts for w in t])
+    row = np.full(int(sizes.sum()) + SIDE * (len(texts) + 1), pad, np.int32)
+    if len(at):
+        row[at] = np.concatenate(texts)
     return row, at
 
 
-def contexts(row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids around each of the places, a line for each offset, and the ids at the places."""
-    return np.stack([row[at + o] for o in OFFSETS]), row[at]
+def runs(row: np.ndarray, at: np.ndarray, places: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of a row with about so many places each, and the places in them; what stands around them is in the piece too."""
+    for i in range(0, len(at), places):
+        part = at[i:i + places]
+        first = part[0] - SIDE
+        yield row[first:part[-1] + SIDE + 1], part - first
 
 
-def train_round(texts: DataFrame, words: Vocabulary, start: Network, every: int = TRAIN_EVERY, batch: int | None = None) -> np.ndarray:
-    """Average of the networks that the tasks make from `start`, each row weighted by the places it took part in."""
+def train_round(coded: DataFrame, start: Network, shares: int, batch: int = BATCH) -> np.ndarray:
+    """Average of the networks that the shares make from `start`, each row weighted by the places it took part in."""
     classes, hidden, vector = start.classes, start.hidden, start.vector()
-    # A class should have some places in each step.
-    batch = batch or max(BATCH, 64 * classes)
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((words, vector))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, vector = shared.value
-        net = Network(classes, hidden).with_vector(vector)
-        squares, taken, held = [np.zeros_like(p) for p in net.p], 0, []
-        count = 0
-        for part in chain.from_iterable(pieces(b, "text") for b in batches):
-            texts = [t for t in map(tokens, part.column(0).to_pylist()) if t]
-            if not texts:
-                continue
-            row, at = laid_out(texts, words)
-            # Of each text every `every`-th place, from one that its first token tells.
-            ends = np.cumsum([len(t) for t in texts])
-            held.append(contexts(row, at[np.concatenate([np.arange(e - len(t) + zlib.crc32(t[0]) % min(every, len(t)), e, every) for e, t in zip(ends, texts)])]))
-            count += len(held[-1][1])
-            if count >= 64 * batch:
-                taken = taken + steps(net, held, squares)
-                held, count = [], 0
-        if held:
-            taken = taken + steps(net, held, squares)
-        if np.any(taken):
-            gain = np.round((net.vector().astype(np.float64) - vector) * _SCALE).astype(np.int64)
+    shared = coded.sparkSession.sparkContext.broadcast(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        net = Network(classes, hidden).with_vector(shared.value)
+        squares, taken = [np.zeros_like(p) for p in net.p], np.zeros(net.lines(), np.int64)
+        held, count = [], 0
+
+        def learn() -> None:
+            nonlocal taken
+            row, at = laid_out(held, net.size)
+            for part, places in runs(row, at, -(-len(at) // -(-len(at) // batch))):
+                taken = taken + net.train(part, places, squares)
+
+        for b in batches:
+            for ids in b.column(0).to_pylist():
+                held.append(np.frombuffer(ids, "<i4"))
+                count += len(held[-1])
+                if count >= batch:
+                    learn()
+                    held, count = [], 0
+        if count:
+            learn()
+        if taken.any():
+            gain = np.round((net.vector().astype(np.float64) - shared.value) * _SCALE).astype(np.int64)
             gain *= net.spread(taken)
             for first, numbers in ((0, gain), (len(gain), taken)):
                 for at in range(0, len(numbers), BLOCK):
                     if (part := numbers[at:at + BLOCK]).any():
-                        yield pa.RecordBatch.from_arrays([pa.array([first + at], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["first", "numbers"])
-
-    def steps(net: Network, held: list, squares: list[np.ndarray]) -> np.ndarray:
-        context, target = np.concatenate([c for c, _ in held], axis=1), np.concatenate([t for _, t in held])
-        order = np.random.default_rng(SEED).permutation(len(target))
-        for i in range(0, len(order), batch):
-            rows = order[i:i + batch]
-            net.train(context[:, rows], target[rows], squares)
-        return net.taken(context, target)
+                        yield first + at, part.tobytes()
 
     def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, np.int64) for x in group.column("numbers").to_pylist())
         return pa.table({"first": group.column("first").slice(0, 1), "numbers": pa.array([total.tobytes()], pa.binary())})
 
-    # A task's copy of the network is as large as the whole: no more copies than the cluster's cores can use.
-    dealt = texts.select("text").coalesce(2 * max(context.defaultParallelism, 2))
-    made = dealt.mapInArrow(run, "first bigint, numbers binary").groupBy("first").applyInArrow(added, "first bigint, numbers binary")
-    total = np.zeros(len(vector) + len(OFFSETS) * (classes ** 2 + 1) + 1 + classes, np.int64)
+    dealt = coded.filter("n_tokens > 0").repartition(shares, "share").sortWithinPartitions("share", "dealt").select("ids")
+    made = map_rows(dealt, run, "first bigint, numbers binary", rows=64).groupBy("first").applyInArrow(added, "first bigint, numbers binary")
+    total = np.zeros(len(vector) + start.lines(), np.int64)
     for r in made.toLocalIterator():
         part = np.frombuffer(r.numbers, np.int64)
         total[r["first"]:r["first"] + len(part)] = part
     return vector + total[:len(vector)] / np.maximum(start.spread(total[len(vector):]), 1) / _SCALE
 
 
-def fit(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, every: int = TRAIN_EVERY, classes: int | None = None,
-        hashed: int = HASHED, hidden: int = HIDDEN, batch: int | None = None) -> tuple[Vocabulary, Network]:
-    texts = docs.select(column(text_col).alias("text"))
-    words = vocabulary(texts, classes, hashed)
+def train(coded: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int = HIDDEN, batch: int = BATCH) -> Network:
+    """`coded`: what encode() makes, written."""
     net = Network(words.classes, hidden)
+    places = coded.agg(F.sum("n_tokens")).first()[0] or 0
+    shares = max(1, -(-places // (PLACES_A_NUMBER * len(net.vector()))))
+    dealt = coded.withColumn("dealt", F.xxhash64("thash", "doc_id")).withColumn("share", F.pmod("dealt", F.lit(shares)))
     for _ in range(rounds):
-        net = net.with_vector(train_round(texts, words, net, every, batch))
-    return words, net
+        net = net.with_vector(train_round(dealt, net, shares, batch))
+    return net
 
 
-def score(docs: DataFrame, words: Vocabulary, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each document n_tokens, pll (sum of log probabilities) and pll_per_token."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, net))
-    texts = docs.select(column(id_col).alias("doc_id"), text_hash(column(text_col)).alias("thash"), column(text_col).alias("text"))
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS, classes: int | None = None, hashed: int = HASHED,
+        hidden: int = HIDDEN, batch: int = BATCH) -> tuple[Vocabulary, Network, DataFrame]:
+    """The vocabulary, the trained network, and the documents' ids."""
+    words = vocabulary(docs.select(column(text_col).alias("text")), classes, hashed)
+    coded = written(encode(docs, words, id_col, text_col), "token-ids")
+    return words, train(coded, words, rounds, hidden, batch), coded
 
-    def run(cols: dict[str, list]) -> dict[str, list]:
-        words, net = shared.value
-        texts = [tokens(t) for t in cols.pop("text")]
-        n = [len(t) for t in texts]
-        row, at = laid_out(texts, words)
-        logs = [net.log_probabilities(*contexts(row, at[i:i + 8192])) for i in range(0, len(at), 8192)]
-        logs = np.concatenate([np.zeros(0), *logs]) + words.spelled([w for t in texts for w in t], row[at])
-        sums = [0.0 if not k else float(logs[e - k:e].sum()) for k, e in zip(n, np.cumsum(n))]
-        return cols | {"n_tokens": n, "pll": sums, "pll_per_token": [s / k if k else 0.0 for s, k in zip(sums, n)]}
 
-    return map_batches(texts, run, f"doc_id {dict(texts.dtypes)['doc_id']}, thash bigint, n_tokens bigint, pll double, pll_per_token double", heavy="text")
+def score(coded: DataFrame, net: Network) -> DataFrame:
+    """For each document of encode(): n_tokens, pll (sum of log probabilities) and pll_per_token."""
+    shared = coded.sparkSession.sparkContext.broadcast(net)
+
+    def run(cols: dict[str, list]) -> dict[str, list]:
+        net, n = shared.value, cols["n_tokens"]
+        row, at = laid_out([np.frombuffer(x, "<i4") for x in cols.pop("ids")], net.size)
+        logs = np.concatenate([np.zeros(0), *(net.log_probabilities(*part) for part in runs(row, at, BATCH))])
+        sums = [s + (float(logs[e - k:e].sum()) if k else 0.0) for s, k, e in zip(cols.pop("spelled"), n, np.cumsum(n).tolist())]
+        return cols | {"pll": sums, "pll_per_token": [s / k if k else 0.0 for s, k in zip(sums, n)]}
+
+    kind = dict(coded.dtypes)["doc_id"]
+    return map_batches(coded.select("doc_id", "thash", "n_tokens", "spelled", "ids"), run,
+                       f"doc_id {kind}, thash bigint, n_tokens bigint, pll double, pll_per_token double", heavy="ids")

@@ -38,9 +38,8 @@ def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    words, net = masked_lm.fit(docs)
-    return masked_lm.score(docs, words, net).drop("thash")
+    _, net, coded = masked_lm.fit(table(spark, sf_dir, "documents"))
+    return masked_lm.score(coded, net).drop("thash")
 
 
 @query
