@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from wardenlog.llm import nbest as N
@@ -46,6 +47,25 @@ def test_long_runs_and_words(encoder):
     assert encoder.p.decode(ids.tolist()) == text and len(scores) == 4 and scores == sorted(scores, reverse=True)
 
 
+def test_ties_of_short_words(encoder):
+    rnd = random.Random(9)
+    for word in ["aaaaaaaaaa", " ababababab", "日日日日日日", "-----------"] + ["".join(rnd.choices("ab", k=10)) for _ in range(20)]:
+        for n in (1, 2, 4, 7):
+            got, want = encoder.p.paths(word, n), brute(encoder.p, word, n)
+            assert [s for s, _ in got] == pytest.approx([s for s, _ in want], abs=1e-9) and len({i for _, i in got}) == len(got)
+
+
+@pytest.mark.parametrize("text", ["a" * 100_000, "abcde" * 20_000, "-" * 100_000, "人工智能和机器学习" * 11_000, "QUJDREVGR0g" * 9_000])
+def test_very_long_words_take_linear_time(encoder, text):
+    start = time.process_time()
+    ids, scores, others = encoder.encode([text])[0]
+    assert time.process_time() - start < 60
+    # Characters without pieces have one segmentation, as bytes.
+    n = 1 if text[0] == "人" else 4
+    assert encoder.p.decode(ids.tolist()) == text and len(scores) == n and scores == sorted(scores, reverse=True)
+    assert len({tuple(encoder.alternative(text, o)) for o in others}) == n - 1
+
+
 def test_documents(spark):
     rows = N.encode(odd_documents(spark)).collect()
     assert len(rows) == 9 and all(r.round_trip for r in rows)

@@ -390,7 +390,7 @@ def train_round(coded: DataFrame, start: Network, shares: int, batch: int = BATC
         total = sum(np.frombuffer(x, np.int64) for x in group.column("numbers").to_pylist())
         return pa.table({"first": group.column("first").slice(0, 1), "numbers": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = coded.filter("n_tokens > 0").repartition(shares, "share").sortWithinPartitions("share", "dealt").select("ids")
+    dealt = coded.filter("n_tokens > 0").repartition(shares, "dealt").sortWithinPartitions("dealt").select("ids")
     made = map_rows(dealt, run, "first bigint, numbers binary", rows=64).groupBy("first").applyInArrow(added, "first bigint, numbers binary")
     total = np.zeros(len(vector) + start.lines(), np.int64)
     for r in made.toLocalIterator():
@@ -404,7 +404,7 @@ def train(coded: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int
     net = Network(words.classes, hidden)
     places = coded.agg(F.sum("n_tokens")).first()[0] or 0
     shares = max(1, -(-places // (PLACES_A_NUMBER * len(net.vector()))))
-    dealt = coded.withColumn("dealt", F.xxhash64("thash", "doc_id")).withColumn("share", F.pmod("dealt", F.lit(shares)))
+    dealt = coded.withColumn("dealt", F.xxhash64("thash", "doc_id"))
     for _ in range(rounds):
         net = net.with_vector(train_round(dealt, net, shares, batch))
     return net

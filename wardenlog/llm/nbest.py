@@ -38,6 +38,8 @@ KEPT_WORDS = 400_000
 CELLS = 2_000_000
 #: Cost that each piece has besides its own, so that ties go to fewer pieces; far below any difference of scores.
 _PIECE_COST = 1e-9
+#: Of scores in the search of a single word.
+_UNIT = 1e-12
 
 
 class Pieces:
@@ -88,24 +90,41 @@ class Pieces:
             out.append((end - 1, len(data) * (self.byte_score - _PIECE_COST), ids))
         return out
 
-    def forward(self, word: str) -> list[float]:
-        best = [0.0]
+    def forward(self, word: str) -> list[int]:
+        """Best score of reaching each position, in units of _UNIT: whole numbers, so that ties are ties."""
+        best = [0]
         for end in range(1, len(word) + 1):
-            best.append(max(best[s] + score for s, score, _ in self.arcs(word, end)))
+            best.append(max(best[s] + round(score / _UNIT) for s, score, _ in self.arcs(word, end)))
         return best
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a word, best first: backward A* from the word's end, forward scores as heuristic."""
+        """The n best segmentations of a word, best first: backward A* from the word's end, forward scores as heuristic.
+
+        A position is expanded n times at most, as no more of its ways to the end can be among the n best; of equal entries the one
+        nearest the start comes first. So the work is in proportion to the word's length, however many ties it has."""
         best = self.forward(word)
-        heap, out, order = [(-best[-1], 0, len(word), 0.0, ())], [], 0
+        # An entry: cost, position, number; by that number the score behind it, the ids of its arc, and the entry it came from.
+        heap, behind, arcs, came = [(-best[-1], len(word), 0)], [0], [()], [0]
+        out, expanded = [], [0] * (len(word) + 1)
         while heap and len(out) < n:
-            negated, _, at, behind, ids = heapq.heappop(heap)
+            negated, at, entry = heapq.heappop(heap)
             if at == 0:
-                out.append((-negated, ids))
+                ids = []
+                while entry:
+                    ids.extend(arcs[entry])
+                    entry = came[entry]
+                out.append((-negated * _UNIT, tuple(ids)))
+                continue
+            if expanded[at] == n:
                 continue
+            expanded[at] += 1
             for start, score, arc in self.arcs(word, at):
-                order += 1
-                heapq.heappush(heap, (-(best[start] + score + behind), order, start, behind + score, arc + ids))
+                if expanded[start] < n:
+                    total = behind[entry] + round(score / _UNIT)
+                    heapq.heappush(heap, (-(best[start] + total), start, len(behind)))
+                    behind.append(total)
+                    arcs.append(arc)
+                    came.append(entry)
         return out
 
     def decode(self, ids: list[int]) -> str:
