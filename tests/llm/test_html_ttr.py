@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pytest
 
 from wardenlog.llm import html_ttr as H
 
@@ -67,3 +70,12 @@ def test_marks_of_wrappers_and_articles():
     assert H.main_text(f"<body><div class=sidebar-layout><h1>Head</h1>{body}{body}{body}</div>{note}</body>") == "Head " + " ".join([PARAGRAPH] * 6)
     comments = f"<div class=comments>{body * 9}</div>"
     assert H.main_text(f"<body><div class=text><h1>Head</h1>{body}</div>{comments}</body>") == f"Head {PARAGRAPH} {PARAGRAPH}"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x " * 50_000 + "</div>" * 50_000, "<div>x " * 50_000, "<div class=ad>x<h1>" * 50_000, "<b><div>" + "<i>x" * 50_000 + "</b>" * 50_000,
+    "<p><span>" * 50_000 + "x", "<section><p>word</p>" * 50_000, "<a href=1>" * 50_000 + "x" + "</a>" * 50_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - start < 10

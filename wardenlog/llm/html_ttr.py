@@ -51,7 +51,10 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int | None, int]] = []  # name, section, dropped: 0 no, -1 yes, else the number of the marked element
+        # Of each open element: name, the section it stands in or is, dropped (0 no, -1 yes, else the number of the marked element),
+        # and the place of the last block up to it. `at`: the places of each name. So no event has to look through all that is open.
+        self.open: list[tuple[str, int, int, int]] = []
+        self.at: dict[str, list[int]] = {}
         self.marked: list[tuple[int, list[bool]]] = [(0, [False])]  # the marked element around it, and whether it has a title or main part
         self.sections: list[tuple[str, int]] = []  # name and parent of each section
         self.lines: list[tuple[str, int, int, int, int, bool]] = []
@@ -59,22 +62,34 @@ class Lines(HTMLParser):
         self.tags, self.link, self.links = 0, 0, 0
 
     def section(self) -> int:
-        return next((s for _, s, _ in reversed(self.open) if s is not None), -1)
+        return self.open[-1][1] if self.open else -1
+
+    def push(self, tag: str, section: int, dropped: int) -> None:
+        here = len(self.open)
+        block = (self.open[-1][3] if self.open else -1) if tag in INLINE else here
+        self.open.append((tag, section, dropped, block))
+        self.at.setdefault(tag, []).append(here)
+
+    def pop(self) -> str:
+        tag = self.open.pop()[0]
+        self.at[tag].pop()
+        if tag == "a":
+            self.links -= 1
+        return tag
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            title = any(t == "h1" for t, _, _ in self.open)
-            self.lines.append((text, self.link, self.tags, self.section(), self.open[-1][2] if self.open else 0, title))
+            self.lines.append((text, self.link, self.tags, self.section(), self.open[-1][2] if self.open else 0, bool(self.at.get("h1"))))
         self.text, self.tags, self.link = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE:
             self.flush()
         self.tags += 1
-        if tag in ENDS_P and any(t == "p" for t, _, _ in self.open):
+        if tag in ENDS_P and self.at.get("p"):
             self.close_to("p")
-        elif tag == "li" and any(t == "li" for t, _, _ in self.open[-4:]):
+        elif tag == "li" and any(x[0] == "li" for x in self.open[-4:]):
             self.close_to("li")
         if tag in VOID:
             return
@@ -90,17 +105,17 @@ class Lines(HTMLParser):
             if is_marked and tag != "article":
                 self.marked.append((dropped, [False]))
                 dropped = len(self.marked) - 1
-        number = None
+        section = self.section()
         if tag in SECTIONS:
-            number = len(self.sections)
-            self.sections.append((tag, self.section()))
-        self.open.append((tag, number, dropped))
+            self.sections.append((tag, section))
+            section = len(self.sections) - 1
+        self.push(tag, section, dropped)
 
     def drops(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROPPED:
             return True
         if tag == "header":  # an article's own header holds its title
-            return not any(t in ("article", "main") for t, _, _ in self.open)
+            return not (self.at.get("article") or self.at.get("main"))
         if tag in ("html", "body", "main"):
             return False
         for name, value in attrs:
@@ -116,9 +131,9 @@ class Lines(HTMLParser):
             name in ("class", "id") and MARKS.search(OWN_HEADER.sub("", ABOUT.sub("", value or ""))) for name, value in attrs)
 
     def has_main(self, number: int) -> None:
-        while number > 0:
-            number, has = self.marked[number]
-            has[0] = True
+        while number > 0 and not self.marked[number][1][0]:  # those around a marked one that has it have it too
+            self.marked[number][1][0] = True
+            number = self.marked[number][0]
 
     def unmarked(self) -> set[int]:
         """Marked elements that are no boilerplate."""
@@ -127,9 +142,9 @@ class Lines(HTMLParser):
             if number >= 0:
                 size = max(len(text) - link, 0)
                 total += size
-                while number > 0:
-                    held[number] += size
-                    number = self.marked[number][0]
+                held[number] += size
+        for k in range(len(held) - 1, 0, -1):  # from the inside out
+            held[self.marked[k][0]] += held[k]
         found = {0}
         for k in range(1, len(held)):
             around, has = self.marked[k]
@@ -139,25 +154,20 @@ class Lines(HTMLParser):
 
     def close_to(self, tag: str) -> None:
         self.flush()
-        while self.open:
-            if (last := self.open.pop()[0]) == "a":
-                self.links -= 1
-            if last == tag:
-                return
+        while self.open and self.pop() != tag:
+            pass
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if not any(t == tag for t, _, _ in self.open):
+        places = self.at.get(tag)
+        if not places:
             return
-        if tag in INLINE:
+        if tag not in INLINE:
+            self.close_to(tag)
+        elif self.open[-1][3] < places[-1]:
             # Only this element ends; a block that begins inside it stays.
-            at = max(i for i, x in enumerate(self.open) if x[0] == tag)
-            if any(t not in INLINE for t, _, _ in self.open[at + 1:]):
-                return
-            self.links -= sum(t == "a" for t, _, _ in self.open[at:])
-            del self.open[at:]
-            return
-        self.close_to(tag)
+            for _ in range(len(self.open) - places[-1]):
+                self.pop()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
@@ -199,17 +209,14 @@ def main_text(html: str | None) -> str:
     ratio = np.array([max(len(text) - link, 0) / max(tags, 1) for text, link, tags, *_ in lines])
     # A line that is mostly links is none, however long its neighbours.
     content = clusters(np.log1p(smoothed(ratio))) & np.array([2 * link < len(text) for text, link, *_ in lines])
-    # Text of the content in each section and all those around it.
-    held: dict[int, int] = {}
-    total = 0
+    # Text of the content in each section and all those around it, added up from the inside out; the last stands for the page.
+    held = [0] * (len(page.sections) + 1)
     for (text, _, _, section, *_), is_content in zip(lines, content):
         if is_content:
-            total += len(text)
-            while section >= 0:
-                held[section] = held.get(section, 0) + len(text)
-                section = page.sections[section][1]
-    inside = [s for s, n in held.items() if n >= COVER * total]
-    region = max(inside, default=-1)  # sections are numbered from outside in
+            held[section] += len(text)
+    for section in range(len(page.sections) - 1, -1, -1):
+        held[page.sections[section][1]] += held[section]
+    region = max((s for s, n in enumerate(held[:-1]) if n and n >= COVER * held[-1]), default=-1)  # sections are numbered from outside in
     around, up = region, region
     while up >= 0:
         if page.sections[up][0] in ("article", "main"):
@@ -222,14 +229,11 @@ def main_text(html: str | None) -> str:
         above.add(up)
         up = page.sections[up][1]
 
-    def branch(section: int) -> int:
-        """The outermost section around a line that does not hold the region, or else the region or what holds it."""
-        last = section
-        while section not in above:
-            last, section = section, page.sections[section][1]
-        return around if section == around else last
-
-    branches = [branch(section) for _, _, _, section, *_ in lines]
+    # Of each section the outermost around it that does not hold the region, or else the region or what holds it.
+    branch: list[int] = []
+    for s, (_, up) in enumerate(page.sections):
+        branch.append(s if s in above else branch[up] if up not in above else around if up == around else s)
+    branches = [branch[section] if section >= 0 else section for _, _, _, section, *_ in lines]
     beside = {b for b, is_content in zip(branches, content) if is_content and b not in above}
     kept, inside = [], False
     for (text, link, _, _, _, title), b, is_content in zip(lines, branches, content):
