@@ -65,3 +65,15 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op1_language_ppm"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert got.filter("lang = lang_pred").count() >= 0.97 * got.count()
+
+
+def test_copies_and_long_texts_are_drawn_in_part(spark):
+    # One language is a group of copies, one a single long text, one is short beside them.
+    rows = [(i, TEXTS["aa"] * 20, "aa") for i in range(300)] + [(1000, TEXTS["bb"] * 20_000, "bb"), (1001, "zyx wvu", "cc")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string")
+    model = L.fit(docs, F.lit(True), sample_bytes=30_000)
+    assert model.langs == ["aa", "bb", "cc"]
+    got = {r.doc_id: r.lang_pred for r in L.identify(docs, model).collect()}
+    assert got[0] == "aa" and got[1000] == "bb" and got[1001] == "cc"
+    # A bound too small for any piece still leaves one of each language.
+    assert L.fit(docs, F.lit(True), sample_bytes=1).langs == ["aa", "bb", "cc"]

@@ -75,6 +75,15 @@ def test_limits_do_not_rise_with_the_host(spark):
     for rows in (small, small + others, small + copies):
         got = L.quality(spark.createDataFrame(rows, "doc_id int, text string, source string"))
         assert got.filter("doc_id < 50 AND n_removed_words = 5").count() == 49
-    # A share, if one is asked for, is of distinct texts: 50 of 51.
-    got = L.quality(spark.createDataFrame(small + copies, "doc_id int, text string, source string"), max_share=0.9)
-    assert got.filter("n_removed_words = 5").count() == 49
+
+
+def test_same_as_sql_on_a_large_host(spark, tmp_path):
+    from tools.compare import connect, difference
+    from wardenlog.llm.oracles import ORACLES
+
+    rows = [(i, f"A line of some documents.\n{long_line(i)}" if i < 35 else f"Filler {letters(i)} of a large host\nrepeated line of all", "h") for i in range(10_500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    want = connect(str(tmp_path)).execute(ORACLES["op4_line_frequency"]).df()
+    assert (want.n_removed_words > 0).sum() > 10_000
+    got = L.quality(spark.read.parquet(str(tmp_path / "documents.parquet"))).drop("thash").toPandas()
+    assert difference(got, want) is None

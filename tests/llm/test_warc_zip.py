@@ -71,3 +71,19 @@ def test_round_trip(spark):
 
 def test_no_pages(spark):
     assert W.round_trip(pages(spark).limit(0), spark).count() == 0
+
+
+def test_ids_of_text(spark):
+    ids = ["a\r\nWARC-Type: x", "", None, "%", "é b", "urn>", "a:b"]
+    rows = [(i, "u", "same " * 300, "x") for i in ids] + [("last", None, "y", "x")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string, refers_to string")
+    got = W.round_trip(df, spark).collect()
+    assert sorted(map(str, (r.page_id for r in got))) == sorted(map(str, [*ids, "last"]))
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {"é b"} and sum(r.record_type == "revisit" for r in got) == 6
+
+
+def test_a_task_for_each_package(spark):
+    df = spark.createDataFrame([(i, "u", str(i) * 3000, "x") for i in range(40)], "page_id bigint, url string, html string, x string")
+    packages = W.write_packages(df.repartition(2), scratch_path(spark, "warc"), package_bytes=100)
+    n = packages.count()
+    assert n > 10 and W.read_packages(packages, with_payload=False).rdd.getNumPartitions() == n

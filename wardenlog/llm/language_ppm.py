@@ -5,8 +5,9 @@ length is exact: each byte is coded at its longest known context, with escapes t
 the symbols that longer contexts have already ruled out), at last to a uniform code of 256 bytes. The language of the
 shortest code is the answer; its score is its share of 2^-length over all languages. Ties go to the first name.
 
-Training texts are a sample of labelled rows, bounded by SAMPLE_BYTES for each language and drawn by hash; all texts are
-scored whole. Before coding, a text is lower-cased and each run of ASCII characters that are not letters is one space.
+Training texts are a sample of labelled rows, of about SAMPLE_BYTES for each language. It is drawn in pieces of PIECE characters by
+a hash of text, id and place, so that neither long texts nor copies are drawn as one, and has a piece of each language at least.
+All texts are scored whole. Before coding, a text is lower-cased and each run of ASCII characters that are not letters is one space.
 
 Defined cases: a null text, a text without letters, or no training rows: `und`, score 0. Rows without a language do not
 train. Repeated rows and null ids are rows of their own; an empty table gives an empty result; other columns are ignored.
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import column, map_batches, text_hash
 
-ORDER, SAMPLE_BYTES = 3, 3_000_000
+ORDER, SAMPLE_BYTES, PIECE = 3, 3_000_000, 20_000
 #: Contexts seen less often, over all languages, are left out of the trees.
 MIN_CONTEXT = 2
 _LETTER = regex.compile(r"\p{L}")
@@ -147,14 +148,20 @@ def _grams(cols: dict[str, list]) -> dict[str, list]:
     return {name: [r[i] for r in rows] for i, name in enumerate(("lang", "gram", "n"))}
 
 
-def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> Model:
+def fit(docs: DataFrame, trains: Column, text_col: str = "text", lang_col: str = "lang", sample_bytes: int = SAMPLE_BYTES,
+        id_col: str = "doc_id") -> Model:
     """Context trees of the languages of the rows for which `trains` holds."""
     rows = docs.filter(trains & column(lang_col).isNotNull() & column(text_col).isNotNull()).select(
-        column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
-    draw = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rows.join(F.broadcast(sizes.select("lang", (F.lit(float(sample_bytes)) / F.col("bytes")).alias("rate"))), "lang").filter(draw < F.col("rate"))
-    counts = map_batches(sample.select("lang", "text"), _grams, "lang string, gram bigint, n bigint", heavy="text")
+        column(lang_col).cast("string").alias("lang"), column(text_col).alias("text"), F.xxhash64(column(text_col), column(id_col)).alias("own"))
+    places = F.sequence(F.lit(0), F.floor(F.greatest(F.char_length("text") - 1, F.lit(0)) / PIECE).cast("int"))
+    units = rows.withColumn("place", F.explode(places)).withColumn(
+        "draw", F.pmod(F.xxhash64("own", "place", F.lit("sample")), F.lit(1 << 30)) / F.lit(1 << 30))
+    # Each text's bytes count once, with its first piece.
+    sizes = units.groupBy("lang").agg(F.sum(F.when(F.col("place") == 0, F.octet_length("text"))).alias("bytes"), F.min("draw").alias("least"))
+    rates = sizes.select("lang", (F.lit(float(sample_bytes)) / F.greatest("bytes", F.lit(1))).alias("rate"), "least")
+    sample = units.join(F.broadcast(rates), "lang").filter((F.col("draw") < F.col("rate")) | (F.col("draw") == F.col("least")))
+    sample = sample.select("lang", F.substring("text", F.col("place") * PIECE + 1, F.lit(PIECE)).alias("text"))
+    counts = map_batches(sample, _grams, "lang string, gram bigint, n bigint", heavy="text")
     # At most as many rows as the sample has bytes.
     return Model([tuple(r) for r in counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()])
 

@@ -22,9 +22,8 @@ from pyspark.sql.types import BinaryType
 from ..scratch import written
 from .common import carried, column, map_batches, same_document, text_hash, utf8
 
-#: A line is removed if more than MAX_DOCS distinct documents of its host hold it, however large the host is. MAX_SHARE is a
-#: second limit of the SQL counterpart only, which takes over above 10,000 documents a host; `max_share` is none by default.
-MAX_DOCS, MAX_SHARE = 20, 0.002
+#: A line is removed if more than MAX_DOCS distinct documents of its host hold it, however large the host is.
+MAX_DOCS = 20
 #: A document is depleted if more than this share of its words is removed.
 MAX_REMOVED = 0.8
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -82,7 +81,7 @@ def line_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, max_share: float, max_removed: float) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int, max_removed: float) -> DataFrame:
     """Base figures of each row, hashes of the lines to remove (`cut`, null if none) and their words, base_failed, kept."""
     base = docs.select(
         column(id_col).alias("doc_id"), column(host_col).cast("string").alias("host"), text_hash(column(text_col)).alias("thash"),
@@ -92,14 +91,6 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs
     rows = written(map_batches(base, _ruled, schema, heavy="text").withColumn("row", F.monotonically_increasing_id()), "line-rules")
 
     frequent = line_counts(rows).filter(F.col("n_docs") > max_docs)
-    if max_share:
-        # A host's distinct documents, as those of a line: a table of hosts, which joins by its own key.
-        hosts = rows.groupBy("host", "thash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-        frequent = (
-            frequent.alias("c").join(hosts.alias("s"), F.expr("c.host <=> s.host"))
-            .filter(F.col("n_docs") > F.lit(max_share) * F.col("host_docs"))
-            .select(F.col("c.host").alias("host"), "h", "first_id")
-        )
     held = rows.select("row", "host", "doc_id", F.explode("lines").alias("line")).select("row", "host", "doc_id", "line.h", "line.n")
     removed = (
         held.alias("l").join(frequent.alias("f"), F.expr("l.h = f.h AND l.host <=> f.host"))
@@ -112,9 +103,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-            max_share: float = 0.0, max_removed: float = MAX_REMOVED) -> DataFrame:
+            max_removed: float = MAX_REMOVED) -> DataFrame:
     """One row for each document: base figures, words in removed lines, base_failed, kept."""
-    return _judged(docs, id_col, text_col, host_col, max_docs, max_share, max_removed).select(
+    return _judged(docs, id_col, text_col, host_col, max_docs, max_removed).select(
         "doc_id", "thash", F.col("words").alias("n_words"), F.col("chars").alias("word_chars"), F.col("symbols").alias("n_symbols"),
         F.col("dup_lines").alias("n_dup_lines"), F.col("repeats").alias("n_repeat_words"), F.col("removed").alias("n_removed_words"),
         "base_failed", "kept",
@@ -133,9 +124,9 @@ def _without_lines(texts: pd.Series, cuts: pd.Series) -> pd.Series:
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = MAX_DOCS,
-              max_share: float = 0.0, max_removed: float = MAX_REMOVED) -> DataFrame:
+              max_removed: float = MAX_REMOVED) -> DataFrame:
     """The documents that the rules keep, with all their columns: frequent lines are cut from the text, and n_chars counts what is left."""
-    judged = _judged(docs, id_col, text_col, host_col, max_docs, max_share, max_removed)
+    judged = _judged(docs, id_col, text_col, host_col, max_docs, max_removed)
     # Rows of the same host, id and text have the same verdict.
     found = judged.filter(~F.col("kept") | F.col("cut").isNotNull()).groupBy("host", "doc_id", "thash").agg(
         F.first("kept").alias("kept"), F.first("cut").alias("cut"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_frequency import MAX_DOCS, MAX_REMOVED, MAX_SHARE, MIN_WORDS
+from .line_frequency import MAX_DOCS, MAX_REMOVED, MIN_WORDS
 from .positional import WINDOW
 from .warc_zip import MIN_BYTES
 
@@ -32,11 +32,9 @@ lines AS (SELECT r, line, len(regexp_extract_all(line, '{_WORD}')) AS n,
   FROM raw WHERE regexp_matches(line, '{_WORD}')),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 held AS (SELECT l.r, d.source, d.doc_id, d.text, l.norm, sum(l.n) AS n FROM lines l JOIN d USING (r) WHERE norm <> '' GROUP BY ALL),
-hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
 freq AS (SELECT h.source, h.norm, count(DISTINCT h.text) AS docs, min(h.doc_id) AS first_id FROM held h GROUP BY h.source, h.norm),
 gone AS (SELECT h.r, sum(h.n) AS n FROM held h JOIN freq f ON h.norm = f.norm AND h.source IS NOT DISTINCT FROM f.source
-  JOIN hosts s ON s.source IS NOT DISTINCT FROM h.source
-  WHERE f.docs > {MAX_DOCS} AND f.docs > {MAX_SHARE} * s.n AND h.doc_id IS DISTINCT FROM f.first_id GROUP BY h.r),
+  WHERE f.docs > {MAX_DOCS} AND h.doc_id IS DISTINCT FROM f.first_id GROUP BY h.r),
 base AS (SELECT d.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
   (length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
   coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS n_removed_words
@@ -134,7 +132,7 @@ d AS (SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE
   row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k.role, k.text, copy) AS i
   FROM k, (SELECT unnest([0, 1]) AS copy) x WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
 f AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again,
-  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS broken, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM d),
+  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS broken, left(role, 1) AS initial, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair FROM d),
 r AS MATERIALIZED (SELECT *, blank OR again AS gone, CASE WHEN NOT blank AND NOT again AND broken THEN 3 ELSE 0 END AS extra FROM f),
 s AS (SELECT c, max(i) AS size, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
   count(*) FILTER (NOT blank AND again) AS duplicate, count(*) FILTER (extra > 0) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),

@@ -25,6 +25,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,6 +39,8 @@ from .common import BATCH_BYTES, column
 MIN_BYTES = 1000
 #: A package is closed when its archive has this many bytes.
 PACKAGE_BYTES = 256 << 20
+#: Tasks that read packages, at most.
+READERS = 100_000
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: ZIP signatures (fixed values).
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
@@ -139,6 +142,15 @@ def members(file, size: int) -> dict[str, tuple[int, int, int]]:
     return out
 
 
+def named(page_id: str | None) -> str:
+    """An id as part of a URN: null is nothing, an empty id a lone percent sign."""
+    return "" if page_id is None else quote(page_id, safe="", errors="surrogatepass") or "%"
+
+
+def unnamed(name: str) -> str | None:
+    return None if not name else "" if name == "%" else unquote(name, errors="surrogatepass")
+
+
 def record(page_id: str, url: str, payload: bytes, digest: str, refers_to: str | None) -> bytes:
     """A WARC record; a revisit has no payload of its own."""
     revisit = refers_to is not None
@@ -202,8 +214,8 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
                     name, index = f"{uuid.uuid4().hex}.wacz", []
                     out = ZipWriter(files.open_output_stream(f"{path}/{name}"))
                     out.begin(ARCHIVE)
-                key = "" if page_id is None else str(page_id)
-                data = gzip.compress(record(key, url, payload, digest, None if refers_to is None else str(refers_to)), 1, mtime=0)
+                key = named(None if page_id is None else str(page_id))
+                data = gzip.compress(record(key, url, payload, digest, None if refers_to is None else named(str(refers_to))), 1, mtime=0)
                 index.append(f"{key} {out.size} {len(data)}")
                 out.write(data)
                 if out.size >= package_bytes:
@@ -245,7 +257,7 @@ def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
                     digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
                     if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError("payload does not match its digest")
-                    name = lambda h: h.removeprefix("<urn:page:").removesuffix(">") or None
+                    name = lambda h: unnamed(h.removeprefix("<urn:page:").removesuffix(">"))
                     out = {"page_id": name(headers["warc-record-id"]), "url": headers["warc-target-uri"], "record_type": headers["warc-type"],
                            "refers_to": name(headers["warc-refers-to"]) if revisit else None,
                            "payload_bytes": int(headers["warc-payload-length"]), "payload_digest": digest}
@@ -265,9 +277,9 @@ def read_packages(packages: DataFrame, with_payload: bool = True) -> DataFrame:
                 if part:
                     yield pa.RecordBatch.from_pylist(part, schema=arrow)
 
-    # Packages are the units of work: a task for each, up to the session's number of partitions.
-    spread = packages.select("uri", "bytes").repartition("uri")
-    return spread.mapInArrow(run, schema)
+    # Packages are the units of work, of bounded size: a task for each, up to READERS.
+    tasks = min(max(packages.count(), 1), READERS)
+    return packages.select("uri", "bytes").repartition(tasks).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, spark: SparkSession, **columns) -> DataFrame:
