@@ -8,8 +8,6 @@ from wardenlog.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-# Hundreds of boosting rounds each; run by tools/compare.py.
-LONG = {"m12_boosted_trees", "m15_model_comparison"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +21,7 @@ def test_same_rows(spark, duck, name):
     assert difference(got, duck.execute(ORACLES[name]).df()) is None
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - ORACLES.keys() - LONG))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - ORACLES.keys()))
 def test_runs(spark, name):
     assert entry.queries()[name](spark, SF_DIR).count() > 0
 

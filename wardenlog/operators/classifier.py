@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier,
-)
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as V
 from ..functions.columns import lookup, pretty_attack
+from . import boosting
 from .evaluate import multiclass_metrics
 
 
@@ -29,12 +28,17 @@ def random_forest(trees: int = 150, depth: int = 15, seed: int = 42) -> RandomFo
     )
 
 
-def boosted_trees(rounds: int = 150, depth: int = 6, seed: int = 42) -> OneVsRest:
-    """One boosted binary model per class."""
-    binary = GBTClassifier(
-        maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed
-    )
-    return OneVsRest(classifier=binary, featuresCol="x", labelCol="y", parallelism=8)
+@dataclass
+class BoostedTrees:
+    """Settings of a multiclass boosted model."""
+
+    rounds: int = 150
+    depth: int = 6
+    seed: int = 42
+
+
+def boosted_trees(rounds: int = 150, depth: int = 6, seed: int = 42) -> BoostedTrees:
+    return BoostedTrees(rounds, depth, seed)
 
 
 def label_indexer(column: str = "attack_type") -> StringIndexer:
@@ -55,14 +59,7 @@ class AttackClassifier:
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``predicted_attack`` and ``classifier_confidence`` (largest class probability)."""
         scored = self.model.transform(filled(df, self.features))
-        if isinstance(self.model.stages[-1], OneVsRestModel):
-            # Boosted models give margins: sigmoid(2 m) per class, divided by their sum.
-            margins = vector_to_array("rawPrediction")
-            sig = F.transform(margins, lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
-            total = F.aggregate(sig, F.lit(0.0), lambda a, v: a + v)
-            probability = F.transform(sig, lambda v: v / total)
-        else:
-            probability = vector_to_array("probability")
+        probability = vector_to_array("probability")
         names = F.array(*[F.lit(c) for c in self.classes])
         # The code kept for unseen classes is not a class.
         scored = scored.withColumn("_p", F.slice(probability, 1, len(self.classes)))
@@ -73,20 +70,20 @@ class AttackClassifier:
         }).drop("x", "y", "rawPrediction", "probability", "prediction", "_p")
 
     def importances(self) -> list[float]:
-        last = self.model.stages[-1]
-        models = last.models if isinstance(last, OneVsRestModel) else [last]
-        vectors = [m.featureImportances.toArray() for m in models]
-        return [float(sum(v[i] for v in vectors) / len(vectors)) for i in range(len(self.features))]
+        return [float(v) for v in self.model.stages[-1].featureImportances.toArray()]
 
     def top_features(self, spark: SparkSession, n: int = 10) -> DataFrame:
-        rows = list(zip(self.features, self.importances()))
-        table = spark.createDataFrame(rows, "feature string, importance double")
-        return table.orderBy(F.desc("importance"), "feature").limit(n)
+        return top_features(spark, self, n)
 
     def save(self, path: str) -> None:
         self.model.write().overwrite().save(f"{path}/model")
 
 
+def top_features(spark: SparkSession, fitted: AttackClassifier | boosting.Boosted, n: int = 10) -> DataFrame:
+    table = spark.createDataFrame(list(zip(fitted.features, fitted.importances())), "feature string, importance double")
+    return table.orderBy(F.desc("importance"), "feature").limit(n)
+
+
 def load_classifier(path: str) -> AttackClassifier:
     model = PipelineModel.load(f"{path}/model")
     indexer = next(s for s in model.stages if hasattr(s, "labels"))
@@ -94,8 +91,11 @@ def load_classifier(path: str) -> AttackClassifier:
     return AttackClassifier(model, assembler.getInputCols(), list(indexer.labels))
 
 
-def fit_classifier(train: DataFrame, features: Sequence[str], estimator=None, target: str = "attack_type") -> AttackClassifier:
+def fit_classifier(train: DataFrame, features: Sequence[str], estimator=None, target: str = "attack_type") -> AttackClassifier | boosting.Boosted:
     """Train on the anomalies of ``train``; the classifier never predicts ``normal`` unless it is among them."""
+    if isinstance(estimator, BoostedTrees):
+        anomalies = train.where(F.col("label") == "anomaly").select("event_id", target, *features)
+        return boosting.fit(anomalies, features, target, rounds=estimator.rounds, depth=estimator.depth, seed=estimator.seed)
     rows = filled(train.where(F.col("label") == "anomaly").select(target, *features), features).persist()
     # Anomalies are few among many rows; training runs many short jobs over them, so their tasks should not be smaller than need be.
     dealt = rows.repartition(-(-max(rows.count(), 1) // ROWS_PER_TASK))

@@ -11,10 +11,6 @@ from ...sources import access_log as source
 from .. import features as plan
 from .registry import VIEWS, log_of, query, r6, rounded
 
-#: Boosting rounds of the named queries: fewer than the library's default of 150, see the README.
-BOOSTING_ROUNDS, COMPARED_ROUNDS = 10, 10
-
-
 def _scored(spark, sf_dir):
     return source.scored(source.access_log(spark, sf_dir))
 
@@ -252,11 +248,38 @@ def m11(spark, sf_dir):
     return the_classifier(spark, sf_dir).predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
 
 
+def the_boosted(spark, sf_dir):
+    _, train, names, _ = engineered(spark, sf_dir)
+    return _once(spark, sf_dir, "boosted", lambda: classifier.fit_classifier(train, names, classifier.boosted_trees()))
+
+
 @query("m12_boosted_trees")
 def m12(spark, sf_dir):
-    _, train, names, _ = engineered(spark, sf_dir)
-    fitted = classifier.fit_classifier(train, names, classifier.boosted_trees(rounds=BOOSTING_ROUNDS))
-    return fitted.predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
+    return the_boosted(spark, sf_dir).predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
+
+
+@query("m12_same_by_sql", """
+SELECT count(*) AS events, CAST(0 AS BIGINT) AS different, CAST(150 AS BIGINT) AS rounds FROM log WHERE label = 'anomaly'""")
+def m12_same(spark, sf_dir):
+    """The stored trees, walked node by node in SQL, name the same class for each anomaly with the same probability."""
+    fitted, data = the_boosted(spark, sf_dir), engineered(spark, sf_dir)[0].where("label = 'anomaly'")
+    nodes = written(fitted.nodes(spark), "boosted-nodes")
+    value = {f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in fitted.features}
+    rows = data.select("event_id", F.create_map(*[c for f, v in value.items() for c in (F.lit(f), v)]).alias("x"))
+    walk = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(len(fitted.rounds) - 1)))).withColumn(
+        "class", F.explode(F.array(*map(F.lit, fitted.classes)))).withColumn("node", F.lit(0))
+    for _ in range(fitted.depth):
+        at = walk.join(F.broadcast(nodes.select("round", "class", "node", "feature", "threshold")), ["round", "class", "node"])
+        right = F.when(F.col("feature").isNotNull(), 2 * F.col("node") + 1 + (F.element_at("x", F.coalesce("feature", F.lit(fitted.features[0]))) > F.col("threshold")).cast("int"))
+        walk = at.select("event_id", "x", "round", "class", F.coalesce(right, "node").alias("node"))
+    leaves = walk.join(F.broadcast(nodes.select("round", "class", "node", "value")), ["round", "class", "node"])
+    margins = leaves.groupBy("event_id", "class").agg(F.sum("value").alias("margin"))
+    best = margins.groupBy("event_id").agg(F.max_by("class", "margin").alias("named"), F.max("margin").alias("top"), F.collect_list("margin").alias("all"))
+    best = best.select("event_id", "named", F.aggregate("all", F.lit(0.0), lambda s, m: s + F.exp(m - F.col("top"))).alias("odds"))
+    both = fitted.predict(data).select("event_id", "predicted_attack", "classifier_confidence").join(best, "event_id", "left")
+    same = (F.col("named") == F.col("predicted_attack")) & (F.abs(F.col("classifier_confidence") - 1 / F.col("odds")) < 1e-6)
+    return both.agg(F.count(F.lit(1)).alias("events"), F.count_if(~F.coalesce(same, F.lit(False))).alias("different"),
+                    F.lit(len(fitted.rounds)).cast("long").alias("rounds"))
 
 
 @query("m13_confidence")
@@ -290,7 +313,7 @@ def m14_sum(spark, sf_dir):
 def m15(spark, sf_dir):
     data, train, names, fitted = engineered(spark, sf_dir)
     table, _ = classifier.compare(train, data.where(~fitted.cut.is_train()), names, {
-        "Random Forest": classifier.random_forest(trees=100), "Boosted Trees": classifier.boosted_trees(rounds=COMPARED_ROUNDS),
+        "Random Forest": classifier.random_forest(trees=100), "Boosted Trees": classifier.boosted_trees(rounds=100),
     })
     return table
 
