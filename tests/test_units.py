@@ -7,8 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardenlog.functions import columns, ranking
+from wardenlog.functions import columns, ranking, timeline
 from wardenlog.operators import baseline, clean, evaluate, features, forest, risk, scaling, storyline, triage
+from wardenlog.schema import EVENT_COLUMNS
 from wardenlog.sources import files
 
 
@@ -111,14 +112,19 @@ def test_encoding_of_unknown_values(spark):
     assert got == {"a": 0, "b": 1, "c": -1}
 
 
-def test_encoding_by_join_gives_the_same(spark, monkeypatch):
-    df = spark.createDataFrame([(str(i),) for i in range(50)], "protocol string")
-    vocabulary = clean.fit_categories(df, ["protocol"])
-    literal = clean.encode_categories(df, vocabulary, ["protocol"])
-    monkeypatch.setattr(clean, "LITERAL_VALUES", 10)
-    by_join = clean.encode_categories(df, vocabulary, ["protocol"])
-    key = lambda r: (r["protocol_raw"], r["protocol_encoded"])
-    assert sorted(map(key, literal.collect())) == sorted(map(key, by_join.collect()))
+def test_encoding_over_several_ranges(spark):
+    rows = [(f"v{i:03}", None if i % 7 == 0 else "x") for i in range(300)]
+    df = spark.createDataFrame(rows, "protocol string, auth_method string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        vocabulary = clean.fit_categories(df.where("protocol < 'v250'"), ["protocol", "auth_method"])
+        codes = {(r["column"], r["value"]): r["code"] for r in vocabulary.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert codes == {("auth_method", "x"): 0} | {("protocol", f"v{i:03}"): i for i in range(250)}
+    got = {r["protocol_raw"]: (r["protocol_encoded"], r["auth_method_encoded"]) for r in clean.encode_categories(df, vocabulary, ["protocol", "auth_method"]).collect()}
+    # Unknown and null values have no code.
+    assert got == {f"v{i:03}": (i if i < 250 else -1, -1 if i % 7 == 0 else 0) for i in range(300)}
 
 
 def test_reopened_incident_keeps_normal_type(spark):
@@ -139,6 +145,54 @@ def test_empty_storyline(spark):
     assert row["total_stages"] == 0 and row["attack_narrative"] == "No activity recorded for entity."
 
 
+def test_texts_without_a_date_are_no_times(spark):
+    df = spark.createDataFrame([("12:30:00",), ("2024-01-02T03:04:05Z",), ("x",), (None,), (" 2024-1-2",)], "t string")
+    got = [str(r[0]) for r in df.select(clean.parse_timestamp(F.col("t"))).collect()]
+    assert got == ["None", "2024-01-02 03:04:05", "None", "None", "2024-01-02 00:00:00"]
+
+
+@pytest.mark.parametrize("values, want", [([], [None]), ([5.0], [5.0]), ([2.0] * 5000, [2.0]), ([1.0, float("nan"), 3.0], [2.0])])
+def test_percentiles_of_odd_columns(spark, values, want):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = ranking.percentiles(df.where(~F.isnan("x")), F.col("x"), [0.5])
+    assert [None if g is None or g != g else g for g in got] == want
+
+
+def test_audit_remarks_with_line_breaks(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    t = dt.datetime(2024, 1, 1)
+    rows = [(t, "e1", "LIVE_THREAT", "RESOLVED", "a", 'two\nlines, "quoted"'), (t, "e2", "", "RESOLVED", "b", "")]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, incident_id string, previous_status string, new_status string, analyst string, remarks string")
+    files.append_audit(df, path)
+    got = {r["incident_id"]: r["remarks"] for r in files.read_audit_log(spark, path).collect()}
+    assert got["e1"] == 'two\nlines, "quoted"' and not got["e2"]
+
+
+def test_statistics_of_the_pass_that_cleans(spark):
+    rows = [(f"e{i % 70}", f"2024-01-01 00:00:{i % 60:02}", None if i % 10 == 0 else "sales", "95" if i % 7 == 0 else "1") for i in range(100)]
+    raw = spark.createDataFrame(rows, "event_id string, timestamp string, department string, geo_lat string")
+    raw = raw.withColumns({c: F.lit("1" if c in clean.NUMERIC_COLUMNS else "v") for c in EVENT_COLUMNS if c not in raw.columns})
+    cleaned, counts = clean.clean_with_statistics(raw)
+    want = clean.clean(raw)
+    key = lambda df: sorted(str(r) for r in df.collect())
+    assert key(cleaned) == key(want) and counts["final_rows"] == want.count()
+    assert counts["rows_loaded"] == 100 and counts["duplicates_removed"] == 30 and counts["invalid_removed"] == 70 - want.count()
+    assert clean.cleaning_statistics(raw).first().asDict() == counts
+    empty = clean.clean_with_statistics(raw.limit(0))[1]
+    assert set(empty.values()) == {0}
+
+
+def test_bursts_are_cut_into_even_slices(spark):
+    # Nearly all rows of a hot key fall into one minute of a month.
+    rows = [("k", i * 86_400_000_000 if i < 30 else 10 * 86_400_000_000 + i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "entity_id string, us bigint").select(
+        "entity_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("timestamp"))
+    hot = timeline.find_hot_keys(df, "entity_id", max_rows=1000)
+    sliced, _ = timeline._slice(df.withColumn("_us", columns.micros("timestamp")), "_us", hot)
+    sizes = [r["count"] for r in sliced.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 6000 and len(sizes) >= 6 and max(sizes) <= 2000
+
+
 def test_missing_audit_log_is_empty(spark, tmp_path):
     assert files.read_audit_log(spark, str(tmp_path / "none")).count() == 0
 

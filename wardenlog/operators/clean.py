@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F, types as T
 
 from ..functions.columns import micros
 from ..functions.ranking import string_at_rank, value_at_rank
@@ -20,17 +20,27 @@ UNKNOWN_FILLED = [
 ]
 
 
-def drop_duplicates_first(df: DataFrame, key: str = "event_id", first_by: str | None = "timestamp") -> DataFrame:
+def repeated_keys(df: DataFrame, key: str = "event_id", counted: Observation | None = None) -> DataFrame:
+    """Keys of more than one row (column ``_key``), written: one pass over the key column alone. ``counted`` gets the numbers of rows and keys."""
+    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    if counted is not None:
+        keys = keys.observe(counted, F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("keys"))
+    return written(keys.where("_n > 1").select("_key"), "repeated-keys")
+
+
+def drop_duplicates_first(df: DataFrame, key: str = "event_id", first_by: str | None = "timestamp", repeated: DataFrame | None = None) -> DataFrame:
     """One row per key: the smallest by ``first_by``, then by all columns in order.
 
     Keys are counted first, by the key column alone. Rows of a unique key, as nearly all are, pass as they are; only
     those of repeated keys are aggregated, where copies meet in the map tasks, so that a key with very many copies
-    sends one row per task through the shuffle.
+    sends one row per task through the shuffle. A log without repeated keys is only read once more.
     """
     others = [c for c in df.columns if c != key]
     if first_by:
         others = [first_by] + [c for c in others if c != first_by]
-    repeated = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    repeated = repeated_keys(df, key) if repeated is None else repeated
+    if repeated.isEmpty():
+        return df
     same = F.col(key).eqNullSafe(F.col("_key"))
     copies = df.join(repeated, same, "left_semi").groupBy(key).agg(F.min(F.struct(*others)).alias("_first"))
     return df.join(repeated, same, "left_anti").unionByName(copies.select(key, "_first.*").select(df.columns))
@@ -113,21 +123,34 @@ def clean(events: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return df.transform(fix_types).transform(fill_missing).transform(drop_invalid).transform(parse_commands)
 
 
-def cleaning_statistics(events: DataFrame) -> DataFrame:
-    """One row of counts."""
-    loaded = events.agg(F.count(F.lit(1)).alias("rows_loaded"))
-    typed = drop_duplicates_first(events).transform(fix_types)
+def _typed_with_statistics(events: DataFrame) -> tuple[DataFrame, Observation, Observation]:
+    """Typed, filled rows with what is counted on the way: rows and keys of the log; fields filled and rows that are invalid."""
+    loaded, passed = Observation(), Observation()
+    typed = drop_duplicates_first(events, repeated=repeated_keys(events, counted=loaded)).transform(fix_types)
     flagged = fill_missing(typed.withColumn("_missing", missing_count(typed)))
-    bad = F.when(is_valid(), 0).otherwise(1)
-    kept = flagged.agg(
-        F.count(F.lit(1)).alias("_keys"),
-        F.coalesce(F.sum("_missing"), F.lit(0)).alias("missing_filled"),
-        F.coalesce(F.sum(bad), F.lit(0)).cast("bigint").alias("invalid_removed"),
-        (F.count(F.lit(1)) - F.coalesce(F.sum(bad), F.lit(0))).alias("final_rows"),
-    )
-    # One row each.
-    return loaded.join(kept).select(
-        "rows_loaded", (F.col("rows_loaded") - F.col("_keys")).alias("duplicates_removed"), "missing_filled", "invalid_removed", "final_rows")
+    bad = F.coalesce(F.sum(F.when(is_valid(), 0).otherwise(1)), F.lit(0)).cast("bigint")
+    return flagged.observe(passed, F.coalesce(F.sum("_missing"), F.lit(0)).alias("filled"), bad.alias("bad"), F.count(F.lit(1)).alias("keys")).drop("_missing"), loaded, passed
+
+
+def _counts(loaded: Observation, passed: Observation) -> dict[str, int]:
+    rows, seen = loaded.get["rows"], passed.get
+    return {"rows_loaded": rows, "duplicates_removed": rows - seen["keys"], "missing_filled": seen["filled"],
+            "invalid_removed": seen["bad"], "final_rows": seen["keys"] - seen["bad"]}
+
+
+def clean_with_statistics(events: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Cleaned rows as a written table, and the counts of the very passes that made it."""
+    rows, loaded, passed = _typed_with_statistics(events)
+    made = written(rows.transform(drop_invalid).transform(parse_commands), "clean-log")
+    return made, _counts(loaded, passed)
+
+
+def cleaning_statistics(events: DataFrame) -> DataFrame:
+    """One row of counts, for a log whose cleaned rows are not wanted."""
+    rows, loaded, passed = _typed_with_statistics(events)
+    rows.select("timestamp").write.format("noop").mode("overwrite").save()
+    counts = _counts(loaded, passed)
+    return events.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
 
 
 def chronological(df: DataFrame) -> DataFrame:
@@ -202,18 +225,17 @@ def encode_categories(df: DataFrame, vocabulary: DataFrame, columns: list[str] |
     """
     columns = columns or [c for c in CATEGORICAL_COLUMNS if c in df.columns]
     out = df.withColumns({f"{c}_raw": F.col(c).cast("string") for c in columns})
+    of = [f"_of_{c}" for c in columns]
     combos = out.select([F.col(f"{c}_raw").alias(f"_of_{c}") for c in columns]).distinct()
-    for c in columns:
-        codes = vocabulary.where(F.col("column") == c).select(F.col("value").alias(f"_of_{c}"), F.col("code").alias("_code"))
-        combos = (
-            combos.join(codes, f"_of_{c}", "left")
-            .withColumn(f"{c}_encoded", F.coalesce("_code", F.lit(-1)).cast("bigint"))
-            .drop("_code")
-        )
+    # In long form, all columns meet the vocabulary in one join; the codes come back as one row for each combination.
+    asked = combos.select(*of, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_of_{c}").alias("value")) for c in columns])).alias("_v"))
+    coded = asked.select(*of, "_v.*").join(vocabulary.select("column", "value", "code"), ["column", "value"], "left")
+    combos = coded.groupBy(*of).agg(*[
+        F.coalesce(F.max(F.when(F.col("column") == c, F.col("code"))), F.lit(-1)).cast("bigint").alias(f"{c}_encoded") for c in columns])
     same = F.lit(True)
     for c in columns:
         same = same & F.col(f"{c}_raw").eqNullSafe(F.col(f"_of_{c}"))
-    return out.join(combos, same, "left").drop(*[f"_of_{c}" for c in columns])
+    return out.join(combos, same, "left").drop(*of)
 
 
 def model_features(df: DataFrame) -> list[str]:

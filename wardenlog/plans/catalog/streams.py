@@ -8,7 +8,7 @@ from ...operators import features
 from ...scratch import scratch_path
 from ...sources import access_log as source
 from ...sources import files
-from ...streaming import streams
+from ...streaming import keyed, streams
 from .. import features as plan
 from .models import alerting, engineered, the_classifier, the_detector
 from . import cleaning  # noqa: F401  (its views are used here)
@@ -91,6 +91,41 @@ def t4(spark, sf_dir):
     )
 
 
+@query("t4_keyed_history", """
+SELECT event_id, minutes_since_last, round(geo_velocity_kmh, 6) AS geo_velocity_kmh,
+  CAST(failed_auth_count_1h AS BIGINT) AS failed_auth_count_1h, CAST(failed_auth_count_24h AS BIGINT) AS failed_auth_count_24h,
+  CAST(off_hours_event_count_7d AS BIGINT) AS off_hours_event_count_7d, CAST(bytes_total_24h AS BIGINT) AS bytes_total_24h,
+  unique_resources_1h, unique_resources_24h, unique_geos_24h, unique_entities_per_ip_1h FROM windowed""")
+def t4_keyed(spark, sf_dir):
+    """Replay in parts, of which each holds events of the day before its own, late, and others a second time."""
+    log = source.access_log(spark, sf_dir)
+    inbox, n, day = scratch_path(spark, "stream-in"), F.substring("event_id", 5, 20).cast("bigint"), F.to_date("timestamp")
+    cuts = [F.lit(d).cast("date") for d in ("1970-01-01", "2024-01-11", "2024-01-21", "2200-01-01")]
+    # An event long after all others moves the watermark past them; it waits for ever itself.
+    end = log.limit(1).withColumns({"timestamp": F.lit("2100-01-01").cast("timestamp_ntz"), "event_id": F.lit("evt_0"), "entity_id": F.lit("")})
+    both = None
+    for i in range(5):
+        if i < 3:
+            late = (day == cuts[i + 1] - F.expr("INTERVAL 1 DAY")) & (n % 17 == 0)
+            part = log.where((day >= cuts[i]) & (day < cuts[i + 1]) & (F.lit(i == 2) | ~late))
+            if i:
+                yesterday = log.where(day == cuts[i] - F.expr("INTERVAL 1 DAY"))
+                part = part.unionByName(yesterday.where((n % 17 == 0) | (n % 23 == 0)))
+        else:
+            part = end
+        part.write.mode("append").parquet(inbox)
+        if both is None:
+            stream = streams.read_event_stream(spark, inbox, "parquet")
+            both = [(kind(stream, "2 days"), scratch_path(spark, "stream-out"), scratch_path(spark, "stream-state"))
+                    for kind in (keyed.entity_history, keyed.address_history)]
+        for made, out, state in both:
+            streams.run_to_table(made, out, state)
+    own, address = (spark.read.schema(made.schema).parquet(out) for made, out, _ in both)
+    return rounded(own.join(address, "event_id"), "geo_velocity_kmh").select(
+        "event_id", "minutes_since_last", "geo_velocity_kmh", "failed_auth_count_1h", "failed_auth_count_24h", "off_hours_event_count_7d",
+        "bytes_total_24h", "unique_resources_1h", "unique_resources_24h", "unique_geos_24h", "unique_entities_per_ip_1h")
+
+
 @query("t5_hourly_trend", """
 SELECT CAST(date_trunc('hour', timestamp) AS TIMESTAMP) AS hour, count(*) AS incidents FROM log WHERE label = 'anomaly' GROUP BY 1""")
 def t5_trend(spark, sf_dir):
