@@ -149,3 +149,21 @@ def report_text(metrics: DataFrame) -> DataFrame:
     """Text report of a long metrics frame, one line per metric."""
     line = F.format_string("%-24s %.4f", "metric", "value")
     return metrics.select("metric", line.alias("line"))
+
+
+def full_report(metrics: DataFrame, per_class: DataFrame, confusion: DataFrame, importances: DataFrame | None = None) -> DataFrame:
+    """The report's lines with their place: sections of metrics, classes, confusion (a line for each true class) and importances."""
+    counts = [c for c in confusion.columns if c != "y_true"]
+    sections = [
+        report_text(metrics).withColumnRenamed("metric", "item"),
+        per_class.select(F.col("class").alias("item"), F.format_string("%-24s %.4f %.4f %.4f %d", "class", "precision", "recall", "f1_score", "support").alias("line")),
+        confusion.select(F.col("y_true").alias("item"), F.format_string("%-24s" + " %d" * len(counts), "y_true", *counts).alias("line")),
+    ]
+    if importances is not None:
+        sections.append(importances.select(F.col("feature").alias("item"), F.format_string("%-40s %.6f", "feature", "importance").alias("line")))
+    names = ["metrics", "classes", "confusion", "importances"]
+    out = None
+    for place, (name, section) in enumerate(zip(names, sections)):
+        part = section.select(F.lit(place).alias("place"), F.lit(name).alias("section"), "item", "line")
+        out = part if out is None else out.unionByName(part)
+    return out

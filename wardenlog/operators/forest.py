@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 SAMPLE = 256
 NODES = T.StructType([
@@ -23,6 +23,7 @@ NODES = T.StructType([
     T.StructField("left", T.IntegerType()),
     T.StructField("right", T.IntegerType()),
     T.StructField("depth", T.DoubleType()),
+    T.StructField("rows", T.LongType()),
 ])
 
 
@@ -56,11 +57,11 @@ def _grow(seed: int):
             part = x[idx]
             spread = np.flatnonzero(part.max(axis=0) > part.min(axis=0))
             if depth >= limit or len(idx) <= 1 or len(spread) == 0:
-                nodes.append([tree, me, -1, 0.0, -1, -1, depth + path_of[len(idx)]])
+                nodes.append([tree, me, -1, 0.0, -1, -1, depth + path_of[len(idx)], len(idx)])
                 continue
             f = int(rng.choice(spread))
             cut = float(rng.uniform(part[:, f].min(), part[:, f].max()))
-            nodes.append([tree, me, f, cut, -1, -1, float(depth)])
+            nodes.append([tree, me, f, cut, -1, -1, float(depth), len(idx)])
             below = part[:, f] <= cut
             todo.append((idx[~below], depth + 1, (me, 5)))
             todo.append((idx[below], depth + 1, (me, 4)))
@@ -75,7 +76,11 @@ def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int, n:
     A row enters a tree's candidates with probability 3 * SAMPLE / n. A first hash keeps as many rows as all trees
     expect together, so that only those are hashed again for each tree; no row is left out beforehand.
     """
-    row_hash = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1_000_000_000)) / 1e9
+    # All 64 bits count: of very many rows, coarse steps would tie.
+    def unit(*of) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(*of), 11) / float(1 << 53)
+
+    row_hash = unit(F.col(id_column), F.lit(seed))
     pool = df.select(F.col(id_column).alias("id"), vector.alias("x"), row_hash.alias("_h"))
     wanted = 3.0 * SAMPLE / max(n, 1)
     share = min(1.0, trees * wanted)
@@ -85,7 +90,7 @@ def sample_rows(df: DataFrame, id_column: str, vector, trees: int, seed: int, n:
     picks = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
             t.alias("tree"),
-            (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), t), F.lit(1_000_000_000)) / 1e9).alias("u"))),
+            unit(F.col("id"), F.lit(seed), t).alias("u"))),
         lambda p: p["u"] < per_tree,
     )
     chosen = pool.select("id", "x", F.explode(picks).alias("_p")).select("id", "x", "_p.tree", "_p.u")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ... import fixed_values as V
 from ...operators import clean, evaluate
 from ...operators.identity import build_profiles
 from ...schema import EVENT_COLUMNS, LABEL_COLUMNS
-from ...scratch import scratch_path
+from ...scratch import scratch_path, written
 from ...sources import access_log as source
 from ...sources import files
-from .models import engineered
+from .models import engineered, the_classifier
 from .registry import dirty_of, joined, query
 from . import cleaning, identity, triage  # noqa: F401  (their views are used here)
 
@@ -145,7 +146,7 @@ _REPORT = ["total_samples", "actual_anomalies", "predicted_anomalies", "tp", "fp
            "false_positive_rate", "detection_rate", "roc_auc", "pr_auc", "alerts_triggered", "top_precision", "top_recall"]
 
 
-@query("snk6_evaluation_report", f"""
+_METRIC_LINES = f"""
 SELECT metric, format('{{:<24}} {{:.4f}}', metric, value) AS line FROM (
   SELECT unnest({_REPORT}) AS metric, unnest([CAST(n AS DOUBLE), tp + fn, tp + fp, tp, fp, tn, fn,
     CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END,
@@ -161,11 +162,48 @@ SELECT metric, format('{{:<24}} {{:.4f}}', metric, value) AS line FROM (
   (SELECT CAST(count(*) AS DOUBLE) AS k, count(*) FILTER (WHERE label = 'anomaly') / count(*) AS top_precision,
     count(*) FILTER (WHERE label = 'anomaly') / (SELECT count(*) FROM scored WHERE label = 'anomaly') AS top_recall
     FROM (SELECT label, row_number() OVER (ORDER BY anomaly_score DESC, event_id) AS k, count(*) OVER () AS n FROM scored) q
-    WHERE k <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))) b) m""")
-def snk6(spark, sf_dir):
+    WHERE k <= greatest(1, CAST(floor(n * 0.01) AS BIGINT))) b) m"""
+
+
+def _report_parts(spark, sf_dir):
     path = scratch_path(spark, "metrics")
     scores = source.scored(source.access_log(spark, sf_dir))
     parts = [evaluate.binary_metrics(scores, 0.7), evaluate.roc_auc(scores), evaluate.pr_auc(scores), evaluate.top_budget(scores)]
     metrics = [evaluate.long_metrics(p) for p in parts]
     files.write_metrics(metrics[0].unionByName(metrics[1]).unionByName(metrics[2]).unionByName(metrics[3]), path)
-    return evaluate.report_text(spark.read.schema("metric string, value double").json(path))
+    named = scores.where("label = 'anomaly'")
+    return (spark.read.schema("metric string, value double").json(path), evaluate.per_class_report(named, "attack_type", "predicted_attack"),
+            evaluate.confusion_matrix(named, "attack_type", "predicted_attack", V.ATTACK_TYPES))
+
+
+@query("snk6_evaluation_report", _METRIC_LINES)
+def snk6(spark, sf_dir):
+    return evaluate.report_text(_report_parts(spark, sf_dir)[0])
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE predicted_attack = '{a}')" for a in V.ATTACK_TYPES)
+
+
+@query("snk6_full_report", f"""
+SELECT line FROM ({_METRIC_LINES}) a
+UNION ALL SELECT format('{{:<24}} {{:.4f}} {{:.4f}} {{:.4f}} {{}}', class, precision::DOUBLE, recall::DOUBLE, f1_score::DOUBLE, support) FROM class_rates
+UNION ALL SELECT format('{{:<24}}{" {}" * len(V.ATTACK_TYPES)}', attack_type, {_COUNTS}) FROM scored WHERE label = 'anomaly' GROUP BY attack_type
+UNION ALL SELECT '== ' || unnest(['metrics', 'classes', 'confusion']) || ' =='""")
+def snk6_full(spark, sf_dir):
+    path = scratch_path(spark, "report")
+    files.write_text_report(evaluate.full_report(*_report_parts(spark, sf_dir)), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query("snk6_trained_report")
+def snk6_trained(spark, sf_dir):
+    """The report of the classifier that is trained here, with its importances."""
+    data, _, names, fitted = engineered(spark, sf_dir)
+    found = the_classifier(spark, sf_dir)
+    held = written(found.predict(data.where(~fitted.cut.is_train() & (F.col("label") == "anomaly"))).select("attack_type", "predicted_attack"), "held-out")
+    importances = found.top_features(spark, len(names))
+    path = scratch_path(spark, "report")
+    metrics = evaluate.long_metrics(evaluate.multiclass_metrics(held, "attack_type", "predicted_attack"))
+    files.write_text_report(evaluate.full_report(metrics, evaluate.per_class_report(held, "attack_type", "predicted_attack"),
+                                                 evaluate.confusion_matrix(held, "attack_type", "predicted_attack", found.classes), importances), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))

@@ -208,19 +208,13 @@ def m2_shape(spark, sf_dir):
     parents = nodes.where(~leaf).select("tree", F.explode(F.array("left", "right")).alias("node"))
     linked = parents.groupBy("tree").agg(F.count_distinct("node").alias("children"))
     shape = nodes.groupBy("tree").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(leaf).alias("leaves"), F.max(F.when(~leaf, F.col("depth"))).alias("deepest"))
-    return shape.join(linked, "tree").join(_leaf_rows(fitted, train, names), "tree").select(
+        F.count(F.lit(1)).alias("n"), F.count_if(leaf).alias("leaves"), F.max(F.when(~leaf, F.col("depth"))).alias("deepest"),
+        F.sum(F.when(leaf, F.col("rows"))).cast("double").alias("leaf_rows"))
+    return shape.join(linked, "tree").select(
         "tree", "leaf_rows", (F.col("deepest") < 8).alias("within_depth"),
         ((F.col("children") == F.col("n") - 1) & (F.col("leaves") == (F.col("n") + 1) / 2)).alias("is_binary"))
 
 
-def _leaf_rows(fitted, train, names):
-    """Rows that each tree was grown from."""
-    n = train.count()
-    rows = forest.sample_rows(train, "event_id", scaling.fit_scaler(train, names).vector(), fitted.trees, 42, n)
-    return rows.groupBy("tree").agg(F.count(F.lit(1)).cast("double").alias("leaf_rows"))
-
-
 @query("m3_isolation_scores")
 def m3(spark, sf_dir):
     data, train, names, _ = engineered(spark, sf_dir)
@@ -228,6 +222,28 @@ def m3(spark, sf_dir):
     return forest.fit_forest(train, s.vector()).score(data, s.vector()).select("event_id", r6("isolation_raw").alias("isolation_raw"))
 
 
+@query("m3_same_by_sql", "SELECT count(*) AS events, CAST(0 AS BIGINT) AS different FROM log")
+def m3_same(spark, sf_dir):
+    """The stored nodes, walked in SQL, give every event the same score."""
+    data, train, names, _ = engineered(spark, sf_dir)
+    s = scaling.fit_scaler(train, names)
+    fitted = forest.fit_forest(train, s.vector())
+    nodes = F.broadcast(fitted.nodes(spark).select("tree", "node", "feature", "threshold", "left", "right", "depth"))
+    walk = data.select("event_id", s.vector().alias("x"), F.explode(F.sequence(F.lit(0), F.lit(fitted.trees - 1))).alias("tree")).withColumn("node", F.lit(0))
+    for _ in range(8):
+        down = F.when(F.col("feature") < 0, F.col("node")).when(
+            F.element_at("x", F.greatest("feature", F.lit(0)) + 1) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        walk = walk.join(nodes, ["tree", "node"]).select("event_id", "x", "tree", down.alias("node"))
+    paths = walk.join(nodes, ["tree", "node"]).groupBy("event_id").agg(F.avg("depth").alias("path"))
+    again = paths.select("event_id", F.pow(F.lit(2.0), -F.col("path") / F.lit(forest.average_path(fitted.sample) or 1.0)).alias("again"))
+    scored = fitted.score(data, s.vector()).select("event_id", "isolation_raw")
+    return _differences(scored.join(again, "event_id", "left"), F.col("isolation_raw"), F.col("again"))
+
+
+def _differences(rows, a, b):
+    return rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(~F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a)), F.lit(False))).alias("different"))
+
+
 @query("m5_components")
 def m5(spark, sf_dir):
     _, train, names, _ = engineered(spark, sf_dir)
@@ -235,6 +251,14 @@ def m5(spark, sf_dir):
     return reconstruction.fit_reconstruction(train, s.vector(), len(names)).table(train, names)
 
 
+@query("m5_orthonormal", "SELECT a.range::INTEGER AS a, b.range::INTEGER AS b, CASE WHEN a.range = b.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS product FROM range(10) a, range(10) b")
+def m5_orthonormal(spark, sf_dir):
+    loadings = m5(spark, sf_dir)
+    pairs = loadings.select("feature", F.col("component").alias("a"), F.col("loading").alias("x")).join(
+        loadings.select("feature", F.col("component").alias("b"), F.col("loading").alias("y")), "feature")
+    return pairs.groupBy("a", "b").agg((F.round(F.sum(F.col("x") * F.col("y")), 6) + 0.0).alias("product"))
+
+
 @query("m6_reconstruction_errors")
 def m6(spark, sf_dir):
     data, train, names, _ = engineered(spark, sf_dir)
@@ -243,6 +267,27 @@ def m6(spark, sf_dir):
     return model.score(data, s.vector()).select("event_id", r6("reconstruction_raw").alias("reconstruction_raw"))
 
 
+@query("m6_same_by_sql", "SELECT count(*) AS events, CAST(0 AS BIGINT) AS different FROM log")
+def m6_same(spark, sf_dir):
+    """The stored loadings, applied by column functions, give every event the same error."""
+    data, train, names, _ = engineered(spark, sf_dir)
+    s = scaling.fit_scaler(train, names)
+    model = reconstruction.fit_reconstruction(train, s.vector(), len(names))
+
+    def product(xs, ys):
+        return F.aggregate(F.zip_with(xs, ys, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+    x = F.col("x")
+    rest = product(x, x)
+    for part in model.components.T.tolist():
+        rest = rest - F.pow(product(x, F.array(*map(F.lit, part))), F.lit(2.0))
+    scored = model.score(data, s.vector()).select("event_id", "reconstruction_raw", s.vector().alias("x"))
+    # Relative to the row's own size: the error is what is left of it.
+    size = product(x, x) / len(names)
+    off = F.abs(F.col("reconstruction_raw") - rest / len(names)) > 1e-9 * F.greatest(F.lit(1.0), size)
+    return scored.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.coalesce(off, F.lit(True))).alias("different"))
+
+
 @query("m11_random_forest")
 def m11(spark, sf_dir):
     return the_classifier(spark, sf_dir).predict(alerting(spark, sf_dir)).select("event_id", "attack_type", "predicted_attack")
@@ -326,6 +371,20 @@ def m18(spark, sf_dir):
         "top_features", F.array_join("top_features", " | "))
 
 
+@query("m18_same_by_sql", "SELECT CAST(0 AS BIGINT) AS different")
+def m18_same(spark, sf_dir):
+    """Records whose name, confidence or severity another statement of the rules does not give, or without three leading features."""
+    fitted = the_classifier(spark, sf_dir)
+    named = written(fitted.predict(alerting(spark, sf_dir)).select("event_id", "predicted_attack", "classifier_confidence"), "named")
+    high = ", ".join(f"'{k}'" for k, v in V.ATTACK_SEVERITY.items() if v == "High") or "''"
+    other = "CASE predicted_attack " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.ATTACK_SEVERITY.items()) + f" ELSE '{V.ATTACK_SEVERITY_DEFAULT}' END"
+    again = spark.sql(f"""SELECT event_id, replace(initcap(replace(predicted_attack, '_', ' ')), 'Low Slow', 'Low & Slow') AS a, round(classifier_confidence, 4) AS c,
+      CASE WHEN classifier_confidence > 0.9 AND (predicted_attack IN ({high}) OR {other} = 'High') THEN 'Critical' ELSE {other} END AS s FROM {{named}}""", named=named)
+    same = (F.col("attack_type") == F.col("a")) & (F.abs(F.col("confidence") - F.col("c")) < 1e-9) & (F.col("severity") == F.col("s")) & (
+        F.size(F.split("top_features", " [|] ")) == 3)
+    return m18(spark, sf_dir).join(again, "event_id", "full").agg(F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
+
+
 def _alerts(spark, sf_dir, rows):
     fitted = the_classifier(spark, sf_dir)
     return explain.alerts(fitted.predict(rows), fitted.features, fitted.importances())
@@ -339,6 +398,34 @@ def e2(spark, sf_dir):
     return _alerts(spark, sf_dir, alerting(spark, sf_dir)).select(*_ALERT, F.array_join("top_features", " | ").alias("top_features"))
 
 
+_AGAIN = """
+SELECT event_id, entity_id AS user, replace(initcap(replace(predicted_attack, '_', ' ')), 'Low Slow', 'Low & Slow') AS attack, round(classifier_confidence, 2) AS confidence,
+  risk_score, CASE WHEN risk_score >= 90 THEN 'Critical' WHEN risk_score >= 70 THEN 'High' WHEN risk_score >= 40 THEN 'Medium' ELSE 'Low' END AS risk_level
+FROM (SELECT *, bround(greatest(0, least(100, CASE WHEN predicted_attack IN ({high}) AND base > 50 THEN greatest(base, 85)
+    WHEN predicted_attack IN ({middle}) AND base > 40 THEN greatest(base, 70) ELSE base END)), 0) AS risk_score
+  FROM (SELECT *, 40D * anomaly_score + 35D * classifier_confidence + 25D * least(1, risk_multiplier / 6) AS base FROM {{rows}}) q) q""".format(
+    **{k: ", ".join(f"'{a}'" for a in v) for k, v in (("high", V.FLOOR_85_ATTACKS), ("middle", V.FLOOR_70_ATTACKS))})
+
+
+def _alerts_differ(spark, sf_dir, rows):
+    """Alerts whose name, confidence or risk another statement of the rules does not give."""
+    named = written(the_classifier(spark, sf_dir).predict(rows), "named")
+    fitted = the_classifier(spark, sf_dir)
+    got = explain.alerts(named, fitted.features, fitted.importances())
+    again = spark.sql(_AGAIN, rows=named).select("event_id", *[F.col(c).alias(f"_{c}") for c in ("user", "attack", "confidence", "risk_score", "risk_level")])
+    same = F.lit(True)
+    for c in ("user", "attack", "risk_level"):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    for c in ("confidence", "risk_score"):
+        same = same & (F.abs(F.col(c) - F.col(f"_{c}")) < 1e-9)
+    return got.join(again, "event_id", "full").agg(F.count_if(~F.coalesce(same, F.lit(False))).alias("different"))
+
+
+@query("e2_same_by_sql", "SELECT CAST(0 AS BIGINT) AS different")
+def e2_same(spark, sf_dir):
+    return _alerts_differ(spark, sf_dir, alerting(spark, sf_dir))
+
+
 def _anomalies_scored(spark, sf_dir):
     return the_detector(spark, sf_dir).score(engineered(spark, sf_dir)[0].where("label = 'anomaly'"))
 
@@ -353,6 +440,16 @@ def e6(spark, sf_dir):
                            "behavioral_identity_engine.deviation_percentage")
 
 
+@query("e6_combined_events", "SELECT event_id, entity_id AS user FROM log WHERE label = 'anomaly'")
+def e6_events(spark, sf_dir):
+    return e6(spark, sf_dir).select("event_id", "user")
+
+
+@query("e6_same_by_sql", "SELECT CAST(0 AS BIGINT) AS different")
+def e6_same(spark, sf_dir):
+    return _alerts_differ(spark, sf_dir, _anomalies_scored(spark, sf_dir))
+
+
 @query("e7_sample_alerts")
 def e7(spark, sf_dir):
     first = engineered(spark, sf_dir)[0].where("label = 'anomaly'").orderBy("timestamp", "event_id").limit(5)

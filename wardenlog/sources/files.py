@@ -102,3 +102,11 @@ def write_reports(reports: DataFrame, path: str) -> None:
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
     metrics.write.mode("overwrite").json(path)
+
+
+def write_text_report(lines: DataFrame, path: str) -> None:
+    """Lines of a report as text, in the order of their sections; a report is a few lines for each class and feature."""
+    headed = lines.select(F.struct("place", F.lit(1).alias("part"), "item").alias("at"), "line").unionByName(
+        lines.select("place", "section").distinct().select(
+            F.struct("place", F.lit(0).alias("part"), F.lit("").alias("item")).alias("at"), F.concat(F.lit("== "), "section", F.lit(" ==")).alias("line")))
+    headed.coalesce(1).sortWithinPartitions("at").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
