@@ -40,6 +40,8 @@ CELLS = 2_000_000
 _PIECE_COST = 1e-9
 #: Of scores in the search of a single word.
 _UNIT = 1e-12
+#: Characters of a word up to which its arcs are kept between the two passes.
+HELD_ARCS = 1000
 
 
 class Pieces:
@@ -66,6 +68,8 @@ class Pieces:
         #: A byte costs more than any piece, so that bytes stand only where pieces cannot.
         self.byte_score = (min(score.tolist(), default=0.0) - 10.0)
         self.longest = max((len(p) for p in self.ids), default=1)
+        #: Of each piece its score in units, and its ids as an arc has them.
+        self.arc_of = {p: (round((self.score[i] - _PIECE_COST) / _UNIT), (i,)) for p, i in self.ids.items()}
         # Control characters without a piece cut words as well.
         used = {c for p in self.ids for c in p}
         cuts = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in used)
@@ -90,40 +94,56 @@ class Pieces:
             out.append((end - 1, len(data) * (self.byte_score - _PIECE_COST), ids))
         return out
 
-    def forward(self, word: str) -> list[int]:
-        """Best score of reaching each position, in units of _UNIT: whole numbers, so that ties are ties."""
-        best = [0]
-        for end in range(1, len(word) + 1):
-            best.append(max(best[s] + round(score / _UNIT) for s, score, _ in self.arcs(word, end)))
-        return best
+    def unit_arcs(self, word: str, end: int) -> list[tuple[int, int, tuple[int, ...]]]:
+        """As arcs(), with scores in units of _UNIT: whole numbers, so that ties are ties."""
+        get, out = self.arc_of.get, []
+        for start in range(max(0, end - self.longest), end):
+            if (found := get(word[start:end])) is not None:
+                out.append((start, *found))
+        if not out or out[-1][0] != end - 1:
+            out += [(start, round(score / _UNIT), ids) for start, score, ids in self.arcs(word, end) if start == end - 1]
+        return out
 
     def paths(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a word, best first: backward A* from the word's end, forward scores as heuristic.
 
         A position is expanded n times at most, as no more of its ways to the end can be among the n best; of equal entries the one
         nearest the start comes first. So the work is in proportion to the word's length, however many ties it has."""
-        best = self.forward(word)
+        size = len(word)
+        best, held = [0] * (size + 1), []
+        for end in range(1, size + 1):
+            arcs = self.unit_arcs(word, end)
+            top = None
+            for start, score, _ in arcs:
+                total = best[start] + score
+                if top is None or total > top:
+                    top = total
+            best[end] = top
+            if size <= HELD_ARCS:  # arcs of longer words are found again
+                held.append(arcs)
         # An entry: cost, position, number; by that number the score behind it, the ids of its arc, and the entry it came from.
-        heap, behind, arcs, came = [(-best[-1], len(word), 0)], [0], [()], [0]
-        out, expanded = [], [0] * (len(word) + 1)
+        heap, behind, taken, came = [(-best[size], size, 0)], [0], [()], [0]
+        out, expanded = [], [0] * (size + 1)
+        push, pop = heapq.heappush, heapq.heappop
         while heap and len(out) < n:
-            negated, at, entry = heapq.heappop(heap)
+            negated, at, entry = pop(heap)
             if at == 0:
-                ids = []
+                ids: list[int] = []
                 while entry:
-                    ids.extend(arcs[entry])
+                    ids.extend(taken[entry])
                     entry = came[entry]
                 out.append((-negated * _UNIT, tuple(ids)))
                 continue
             if expanded[at] == n:
                 continue
             expanded[at] += 1
-            for start, score, arc in self.arcs(word, at):
+            so_far = behind[entry]
+            for start, score, arc in held[at - 1] if held else self.unit_arcs(word, at):
                 if expanded[start] < n:
-                    total = behind[entry] + round(score / _UNIT)
-                    heapq.heappush(heap, (-(best[start] + total), start, len(behind)))
+                    total = so_far + score
+                    push(heap, (-(best[start] + total), start, len(behind)))
                     behind.append(total)
-                    arcs.append(arc)
+                    taken.append(arc)
                     came.append(entry)
         return out
 
