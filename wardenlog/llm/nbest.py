@@ -302,17 +302,20 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]]:
         """For each text the ids of the best segmentation, the scores of the N best, and for those after the first the ids of
         the words (by number in the text) in which they differ from it."""
-        split = [self.p.words(t or "") for t in texts]
-        new = {w for words in split for w in words} - self.number.keys()
+        return self.encode_words([self.p.words(t or "") for t in texts])
+
+    def encode_words(self, split: list[list[str]]) -> list[tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]]:
+        """As encode(), of texts that are cut into words."""
+        words_here = set().union(*split)
+        new = words_here - self.number.keys()
         if len(self.number) + len(new) > KEPT_WORDS:
             self.forget()
-            new = {w for words in split for w in words}
+            new = words_here
         self.learn(sorted(new))
         return [self.of_text(words) for words in split]
 
     def of_text(self, words: list[str]) -> tuple[np.ndarray, list[float], list[dict[int, tuple[int, ...]]]]:
-        number = self.number
-        at = np.array([number[w] for w in words], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         count = self.count[at]
         place = np.repeat(self.start[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
         total, gaps = float(self.value[at].sum()), self.gap[at]
@@ -349,11 +352,8 @@ class Encoder:
         low = np.nonzero(gaps <= np.partition(gaps, m - 1)[m - 1])[0]
         return low[np.argsort(gaps[low], kind="stable")][:m]
 
-    def same_words(self, text: str, others: list[dict[int, tuple[int, ...]]]) -> bool:
+    def same_words(self, words: list[str], others: list[dict[int, tuple[int, ...]]]) -> bool:
         """Whether the words in which the others differ decode to the same characters."""
-        if not others:
-            return True
-        words = self.p.words(text)
         return all(b"".join(self.p.data[i] for i in ids).decode("utf-8", "replace") == words[k] for o in others for k, ids in o.items())
 
     def alternative(self, text: str, other: dict[int, tuple[int, ...]]) -> list[int]:
@@ -383,15 +383,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_be
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         enc = encoder(model, n_best)
-        found = enc.encode(cols["text"])
+        split = [enc.p.words(t or "") for t in cols["text"]]
+        found = enc.encode_words(split)
         out: dict[str, list] = {"doc_id": cols["doc_id"], "thash": cols["thash"]}
         out["n_pieces"] = [len(ids) for ids, _, _ in found]
         out["ids_sha256"] = [digest(ids) for ids, _, _ in found]
         out["scores"] = [[round(s, 6) for s in scores] for _, scores, _ in found]
         out["edits"] = [[{"rank": r, "word": w, "ids": list(ids)} for r, o in enumerate(others, 2) for w, ids in sorted(o.items())]
                         for _, _, others in found]
-        out["round_trip"] = [enc.p.decode(ids.tolist()) == (t or "") and enc.same_words(t, others)
-                             for t, (ids, _, others) in zip(cols["text"], found)]
+        out["round_trip"] = [enc.p.decode(ids.tolist()) == (t or "") and enc.same_words(words, others)
+                             for t, words, (ids, _, others) in zip(cols["text"], split, found)]
         if with_ids:
             out["ids"] = [ids for ids, _, _ in found]
         return out
