@@ -168,6 +168,27 @@ def test_audit_remarks_with_line_breaks(spark, tmp_path):
     assert got["e1"] == 'two\nlines, "quoted"' and not got["e2"]
 
 
+def csv_line(**values):
+    return ",".join('"' + values.get(c, "").replace('"', '""') + '"' for c in EVENT_COLUMNS)
+
+
+def test_bad_records_beside_good_ones(spark, tmp_path):
+    good = csv_line(event_id="e1", timestamp="2024-01-01", user_agent='two\nlines, "quoted"')
+    (tmp_path / "log.csv").write_text("\n".join([",".join(EVENT_COLUMNS), good, "e2,2024-01-02", csv_line(event_id="e3") + ",more", good]) + "\n")
+    accepted, rejected, counts = files.split_records(files.read_events(spark, str(tmp_path), keep_bad=True))
+    assert counts == {"accepted": 2, "rejected": 2} and accepted.columns == EVENT_COLUMNS
+    assert [r["user_agent"] for r in accepted.collect()] == ['two\nlines, "quoted"'] * 2
+    assert sorted(r["record"] for r in rejected.collect()) == sorted(["e2,2024-01-02", csv_line(event_id="e3") + ",more"])
+    # Without the column, a short record is filled with nulls.
+    assert files.read_events(spark, str(tmp_path)).where("event_id = 'e2' AND entity_id IS NULL").count() == 1
+
+
+def test_log_without_bad_records(spark, tmp_path):
+    (tmp_path / "log.csv").write_text(",".join(EVENT_COLUMNS) + "\n")
+    accepted, rejected, counts = files.split_records(files.read_events(spark, str(tmp_path), keep_bad=True))
+    assert accepted.count() == rejected.count() == 0 and set(counts.values()) == {0}
+
+
 def test_statistics_of_the_pass_that_cleans(spark):
     rows = [(f"e{i % 70}", f"2024-01-01 00:00:{i % 60:02}", None if i % 10 == 0 else "sales", "95" if i % 7 == 0 else "1") for i in range(100)]
     raw = spark.createDataFrame(rows, "event_id string, timestamp string, department string, geo_lat string")

@@ -12,7 +12,7 @@ from ...scratch import scratch_path, written
 from ...sources import access_log as source
 from ...sources import files
 from .models import engineered, the_classifier
-from .registry import dirty_of, joined, query
+from .registry import VIEWS, dirty_of, joined, query
 from . import cleaning, identity, triage  # noqa: F401  (their views are used here)
 
 
@@ -26,6 +26,53 @@ def src1(spark, sf_dir):
     )
 
 
+def broken_records(spark, sf_dir, columns):
+    """The dirty log as CSV lines without header: every 43rd event's records lack three fields, every 41st's have one too many."""
+    n = F.substring("event_id", 5, 99).cast("bigint")
+    line = lambda *c: F.to_csv(F.struct(*c), {k: files.CSV[k] for k in ("escape", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace")})
+    path = scratch_path(spark, "broken")
+    dirty_of(spark, sf_dir).select(F.when(n % 43 == 0, line(*columns[:-3])).when(n % 41 == 0, line(*columns, F.lit("extra").alias("_extra")))
+                                   .otherwise(line(*columns)).alias("value")).write.text(path)
+    return path
+
+
+VIEWS["numbered_valid"] = "SELECT *, CAST(substring(event_id, 5) AS BIGINT) AS n FROM valid"
+VIEWS["broken"] = """
+SELECT event_id, n % 43 <> 0 AS too_long FROM (SELECT event_id, CAST(substring(event_id, 5) AS BIGINT) AS n FROM dirty) q
+WHERE n % 43 = 0 OR n % 41 = 0"""
+
+
+def _split(spark, sf_dir):
+    return files.split_records(files.read_events(spark, broken_records(spark, sf_dir, EVENT_COLUMNS), header=False, keep_bad=True))
+
+
+@query("src1_accepted_records", """
+SELECT event_id, timestamp, entity_id, command_sequence, bytes_transferred, is_vpn, user_agent FROM numbered_valid
+WHERE n % 43 <> 0 AND n % 41 <> 0""")
+def src1_accepted(spark, sf_dir):
+    return clean.clean(_split(spark, sf_dir)[0]).select(
+        "event_id", "timestamp", "entity_id", "command_sequence", "bytes_transferred", "is_vpn", "user_agent")
+
+
+@query("src1_rejected_records", "SELECT event_id, too_long, count(*) AS records FROM broken GROUP BY 1, 2")
+def src1_rejected(spark, sf_dir):
+    rejected = _split(spark, sf_dir)[1]
+    return rejected.groupBy(F.substring_index("record", ",", 1).alias("event_id"), F.endswith("record", F.lit(",extra")).alias("too_long")).agg(
+        F.count(F.lit(1)).alias("records"))
+
+
+_GOOD = "CAST(substring(event_id, 5) AS BIGINT) % 43 <> 0 AND CAST(substring(event_id, 5) AS BIGINT) % 41 <> 0"
+
+
+@query("c8_statistics_with_rejects", f"""
+SELECT (SELECT count(*) FROM broken) AS rows_rejected, count(*) AS rows_loaded, count(*) - count(DISTINCT event_id) AS duplicates_removed,
+  (SELECT count(*) FROM valid WHERE {_GOOD}) AS final_rows FROM dirty WHERE {_GOOD}""")
+def c8_rejects(spark, sf_dir):
+    accepted, _, counts = _split(spark, sf_dir)
+    found = clean.cleaning_statistics(accepted).withColumn("rows_rejected", F.lit(counts["rejected"]).cast("bigint"))
+    return found.select("rows_rejected", "rows_loaded", "duplicates_removed", "final_rows")
+
+
 @query("src2_read_labels", "SELECT event_id, label, attack_type, attack_subtype FROM access_log")
 def src2(spark, sf_dir):
     path = scratch_path(spark, "labels")

@@ -87,7 +87,7 @@ def joined(c: str) -> Column:
 # --- Views ------------------------------------------------------------------------------------------
 
 # Defects: unreadable and differently written times, missing and unreadable values, values out of range,
-# unknown categories, malformed lists, and a tenth of the events twice.
+# unknown categories, malformed lists, line breaks within fields, and a tenth of the events twice.
 DIRTY = """
 SELECT event_id, ts AS timestamp, entity_id, entity_type, entity_role,
   CASE WHEN n % 89 = 0 THEN NULL ELSE department END AS department, source_ip, geo_location,
@@ -95,7 +95,7 @@ SELECT event_id, ts AS timestamp, entity_id, entity_type, entity_role,
   CAST(geo_lon AS STRING) AS geo_lon, resource_accessed, resource_category, action_type, auth_method, auth_status,
   CASE WHEN n % 83 = 0 THEN 'x' ELSE CAST(session_duration AS STRING) END AS session_duration,
   CASE WHEN n % 79 = 0 THEN '-5' ELSE CAST(bytes_transferred AS STRING) END AS bytes_transferred,
-  device_fingerprint, device_os, CASE WHEN copy = 1 THEN 'copy' ELSE user_agent END AS user_agent,
+  device_fingerprint, device_os, CASE WHEN copy = 1 THEN 'copy' WHEN n % 47 = 0 THEN 'two' || chr(10) || 'lines, "quoted"' ELSE user_agent END AS user_agent,
   CASE WHEN n % 61 = 0 THEN 'FTP' ELSE protocol END AS protocol,
   CASE WHEN n % 67 = 0 THEN '[''net user'', ''ls'']' WHEN n % 53 = 0 THEN '["ls", ' WHEN n % 51 = 0 THEN NULL
     ELSE command_sequence END AS command_sequence,

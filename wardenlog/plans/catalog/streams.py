@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import features
+from ...schema import EVENT_COLUMNS, LABEL_COLUMNS
 from ...scratch import scratch_path
 from ...sources import access_log as source
 from ...sources import files
@@ -12,6 +13,7 @@ from ...streaming import keyed, streams
 from .. import features as plan
 from .models import alerting, engineered, the_classifier, the_detector
 from . import cleaning  # noqa: F401  (its views are used here)
+from .files import _GOOD, broken_records
 from .registry import VIEWS, dirty_of, log_of, query, rounded
 
 VIEWS["typed_all"] = VIEWS["typed"].replace("FROM firsts", "FROM dirty")
@@ -44,6 +46,23 @@ def t1(spark, sf_dir):
         "event_id", "timestamp", "geo_lat", "bytes_transferred", "is_vpn"))
 
 
+def _broken_stream(spark, sf_dir):
+    path = broken_records(spark, sf_dir, [*EVENT_COLUMNS, *LABEL_COLUMNS])
+    return streams.read_event_stream(spark, path, keep_bad=True, header=False)
+
+
+@query("t1_accepted_records", f"SELECT event_id, timestamp, bytes_transferred, user_agent FROM valid_all WHERE {_GOOD}")
+def t1_accepted(spark, sf_dir):
+    return _drain(streams.clean_stream(streams.accepted_records(_broken_stream(spark, sf_dir))).select(
+        "event_id", "timestamp", "bytes_transferred", "user_agent"))
+
+
+@query("t1_rejected_records", "SELECT event_id, too_long FROM broken")
+def t1_rejected(spark, sf_dir):
+    rejected = streams.rejected_records(_broken_stream(spark, sf_dir))
+    return _drain(rejected.select(F.substring_index("record", ",", 1).alias("event_id"), F.endswith("record", F.lit(",extra")).alias("too_long")))
+
+
 @query("t2_duplicates", "SELECT DISTINCT event_id, timestamp FROM valid_all")
 def t2(spark, sf_dir):
     return _drain(streams.drop_duplicates_stream(streams.clean_stream(_dirty_stream(spark, sf_dir)).select("event_id", "timestamp")))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from .. import fixed_values as V
 from .. import schema as S
+from ..scratch import scratch_path
 
 # Quotes inside quoted fields are doubled, as spreadsheet tools and most CSV writers do.
 CSV = {
@@ -18,15 +19,44 @@ CSV = {
     # A file whose header does not match the schema is refused, not read by position.
     "enforceSchema": "false",
 }
-# Remarks may hold line breaks. The audit trail's files are small appends, so none needs to be split.
-AUDIT_CSV = CSV | {"multiLine": "true"}
+# Quoted fields may hold line breaks. Files are then read whole, each by one task, so they should be of a block's size or two.
+WHOLE_CSV = CSV | {"multiLine": "true"}
+#: Text of a record with fewer or more fields than the schema, null for all others.
+BAD_RECORD = "_bad_record"
 
 
-def read_events(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
-    """Raw access log. CSV fields stay text for the typing step; Parquet has the typed schema."""
-    if file_format == "csv":
-        return spark.read.schema(S.RAW_EVENTS).options(**CSV).csv(path)
-    return spark.read.schema(S.EVENTS).format(file_format).load(path)
+def events_csv(line_breaks: bool = True, header: bool = True, keep_bad: bool = False) -> dict[str, str]:
+    """Options of a reader of CSV events."""
+    options = (WHOLE_CSV if line_breaks else CSV) | {"header": str(header).lower()}
+    return options | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD_RECORD} if keep_bad else options
+
+
+def read_events(spark: SparkSession, path: str, file_format: str = "csv", line_breaks: bool = True, header: bool = True,
+                keep_bad: bool = False) -> DataFrame:
+    """Raw access log. CSV fields stay text for the typing step; Parquet has the typed schema.
+
+    Very large CSV files without line breaks in fields are split between tasks with ``line_breaks=False``. ``keep_bad`` adds
+    the column ``_bad_record``, for ``split_records``; without it, what a short record lacks is null and what a long one has
+    too much is ignored.
+    """
+    if file_format != "csv":
+        return spark.read.schema(S.EVENTS).format(file_format).load(path)
+    schema = T.StructType(S.RAW_EVENTS.fields + [T.StructField(BAD_RECORD, T.StringType())] * keep_bad)
+    return spark.read.schema(schema).options(**events_csv(line_breaks, header, keep_bad)).csv(path)
+
+
+def split_records(events: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Accepted rows, rejected records (``record``, the text) and the numbers of both, of events read with ``keep_bad``.
+
+    The text is parsed once: both kinds are written in that pass, each into directories of its own, and counted on the way.
+    """
+    spark, path, counted = events.sparkSession, scratch_path(events.sparkSession, "records"), Observation()
+    bad = F.col(BAD_RECORD).isNotNull()
+    flagged = events.withColumn("_rejected", bad).observe(counted, F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"))
+    flagged.write.partitionBy("_rejected").parquet(path)
+    both = spark.read.schema(flagged.schema).parquet(path)
+    accepted = both.where(~F.col("_rejected")).drop("_rejected", BAD_RECORD)
+    return accepted, both.where("_rejected").select(F.col(BAD_RECORD).alias("record")), counted.get
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -51,7 +81,7 @@ def read_engineered(spark: SparkSession, path: str) -> DataFrame:
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(S.AUDIT).options(**AUDIT_CSV).csv(path)
+        return spark.read.schema(S.AUDIT).options(**WHOLE_CSV).csv(path)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], S.AUDIT)
@@ -85,7 +115,7 @@ def write_engineered(df: DataFrame, path: str, file_format: str = "parquet", mod
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    rows.select(S.AUDIT.names).write.mode("append").options(**AUDIT_CSV).csv(path)
+    rows.select(S.AUDIT.names).write.mode("append").options(**WHOLE_CSV).csv(path)
 
 
 def export_csv(events: DataFrame, labels: DataFrame, profiles: DataFrame, path: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import DateType, LongType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from .. import schema as S
 from ..functions.timeline import find_hot_keys
@@ -13,22 +13,35 @@ from ..operators import clean, explain, features, risk, windows
 from ..scratch import written
 from ..operators.classifier import AttackClassifier
 from ..operators.detector import Detector
-from ..sources.files import CSV
+from ..sources.files import BAD_RECORD, events_csv
 
 EVENT_TIME = "event_time"
 
 
-def read_event_stream(spark: SparkSession, path: str, file_format: str = "csv", files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of labelled raw events from a directory."""
+def read_event_stream(spark: SparkSession, path: str, file_format: str = "csv", files_per_trigger: int | None = None,
+                      header: bool = True, keep_bad: bool = False) -> DataFrame:
+    """Stream of labelled raw events from a directory. Quoted CSV fields may hold line breaks; ``keep_bad`` adds the text of
+    records with too few or too many fields as ``_bad_record``, for ``accepted_records`` and ``rejected_records``."""
     fields = S.RAW_EVENTS.fields + S.EVENT_LABELS.fields[1:] if file_format == "csv" else S.LABELLED_EVENTS.fields
+    if keep_bad and file_format == "csv":
+        fields = fields + [StructField(BAD_RECORD, StringType())]
     reader = spark.readStream.schema(StructType(fields)).format(file_format)
     if file_format == "csv":
-        reader = reader.options(**CSV)
+        reader = reader.options(**events_csv(header=header, keep_bad=keep_bad))
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)
 
 
+def accepted_records(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
+
+
+def rejected_records(raw: DataFrame) -> DataFrame:
+    # The reader refuses to parse records for their text alone, so another column is named; it is never used.
+    return raw.where(F.col(BAD_RECORD).isNotNull()).select(F.coalesce(BAD_RECORD, "event_id").alias("record"))
+
+
 def clean_stream(raw: DataFrame) -> DataFrame:
     """Typing, filling, validity and command parsing are row-wise: the batch functions apply as they are."""
     return raw.transform(clean.fix_types).transform(clean.fill_missing).transform(clean.drop_invalid).transform(
