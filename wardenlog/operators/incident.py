@@ -18,6 +18,11 @@ def assessed(df: DataFrame, history: DataFrame, hot: HotKeys | None = None) -> D
     return identity.deviation(counted, history).transform(risk.dynamic_risk)
 
 
+def opened(df: DataFrame) -> DataFrame:
+    """Id and initial status of every incident, for triage: no record need be built for these."""
+    return anomalies(df).select(F.col("event_id").alias("incident_id"), F.lit("OPEN").alias("incident_status"))
+
+
 def incidents(df: DataFrame, history: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """One nested record per anomaly.
 
@@ -77,6 +82,20 @@ def incident_timeline(records: DataFrame, stage_rows: DataFrame, incident_id: st
     return stage_rows.join(user, "entity_id")
 
 
+def events_of_incident(df: DataFrame, incident_id: str) -> DataFrame:
+    """The events of the entity of one incident. The id reaches the scan, and its one entity the other scan as a runtime filter."""
+    owner = anomalies(df).where(F.col("event_id") == incident_id).select(F.col("entity_id").alias("_owner")).distinct()
+    return df.join(owner, F.col("entity_id") == F.col("_owner"), "left_semi")
+
+
+def timeline_of(df: DataFrame, incident_id: str, hot: HotKeys | None = None) -> DataFrame:
+    """As ``incident_timeline``, from the log: no other incident and no other entity's stages are built.
+
+    ``hot`` is found on ``events_of_incident``.
+    """
+    return storyline.stages(events_of_incident(df, incident_id), hot).withColumn("incident_id", F.lit(incident_id))
+
+
 def combined_alerts(alert_rows: DataFrame, assessed_rows: DataFrame) -> DataFrame:
     """Alert payload with the dynamic-risk and identity results of the same event."""
     extra = identity.deviation_details(assessed_rows).select(

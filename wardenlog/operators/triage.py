@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed_values as V
 from ..functions.columns import lookup
-from ..functions.timeline import HotKeys, with_previous
+from ..functions.timeline import HotKeys, with_position, with_previous
 
 
 def record_actions(
@@ -51,31 +51,67 @@ def feedback_texts(audit: DataFrame) -> DataFrame:
     ).alias("analyst_feedback"))
 
 
-def relabels(audit: DataFrame) -> DataFrame:
-    """Effect of all actions on the labels of an incident.
+def snapshot(audit: DataFrame) -> DataFrame:
+    """Mergeable state of each incident with actions: one row, whatever their number. ``current_state`` reads it.
 
-    The label follows the last action that sets one. The attack type becomes normal at the first closing action
-    and stays so, also when the incident is reopened.
+    The label follows the last action that sets one. ``closed``, once true, stays so, also when the incident is reopened:
+    its attack type is then normal.
     """
     closing, opening = F.col("new_status").isin(V.CLOSING_STATUSES), F.col("new_status").isin(V.OPENING_STATUSES)
-    new_label = F.when(closing, "normal").when(opening, "anomaly")
-    last = F.max(F.when(new_label.isNotNull(), F.struct("timestamp", "new_status", new_label.alias("label"))))
+    label = F.when(closing, "normal").when(opening, "anomaly")
     return audit.groupBy("incident_id").agg(
-        last["label"].alias("_label"), F.max(closing).alias("_closed")
-    )
+        F.count(F.lit(1)).alias("actions"), F.max(F.struct("timestamp", "new_status", "analyst")).alias("last_action"),
+        F.max(F.when(label.isNotNull(), F.struct("timestamp", "new_status", label.alias("label")))).alias("last_label"),
+        F.max(closing).alias("closed"))
+
+
+def merge_snapshots(stored: DataFrame, newer: DataFrame) -> DataFrame:
+    """State of the actions behind both; the order in which they arrived does not matter."""
+    return stored.unionByName(newer).groupBy("incident_id").agg(
+        F.sum("actions").alias("actions"), *[F.max(c).alias(c) for c in ("last_action", "last_label", "closed")])
+
+
+def current_state(state: DataFrame, feedback: DataFrame | None = None) -> DataFrame:
+    """Snapshot rows in the form that ``with_state`` joins with the events, with feedback texts where they are wanted."""
+    out = state.select(
+        "incident_id", F.col("last_action.new_status").alias("status"), F.col("last_action.timestamp").alias("last_updated"),
+        F.col("last_action.analyst").alias("updated_by"), F.col("last_label.label").alias("_label"), F.col("closed").alias("_closed"))
+    if feedback is None:
+        return out.withColumn("analyst_feedback", F.lit(None).cast("string"))
+    return out.join(feedback, "incident_id", "left")
+
+
+def remark_chunks(audit: DataFrame, size: int = 1000, hot: HotKeys | None = None) -> DataFrame:
+    """Non-blank remarks in rows of at most ``size`` of them: (incident_id, event_date, chunk, remarks, remark_text), in time order.
+
+    The remarks of a day are numbered without being gathered, so no row grows with an incident's remarks. Another day, taken
+    whole, only appends rows. ``hot`` comes from ``find_hot_keys(audit, ["incident_id", "event_date"])``.
+    """
+    dated = audit.where(F.coalesce("remarks", F.lit("")) != "").withColumn("event_date", F.to_date("timestamp")).withColumn(
+        "_tie", F.struct("new_status", "remarks"))
+    placed = with_position(dated, ["incident_id", "event_date"], "_k", tie="_tie", hot=hot)
+    chunks = placed.groupBy("incident_id", "event_date", F.floor((F.col("_k") - 1) / size).alias("chunk")).agg(
+        F.sort_array(F.collect_list(F.struct("_k", "remarks"))).alias("_r"))
+    text = F.array_join(F.transform("_r", lambda r: r["remarks"]), " | ")
+    return chunks.select("incident_id", "event_date", "chunk", F.size("_r").cast("bigint").alias("remarks"), text.alias("remark_text"))
+
+
+def feedback_of_chunks(chunks: DataFrame) -> DataFrame:
+    """The texts of ``feedback_texts`` from stored chunks, for incidents whose whole text is to be shown."""
+    return chunks.groupBy("incident_id").agg(F.sort_array(F.collect_list(F.struct("event_date", "chunk", "remark_text"))).alias("_c")).select(
+        "incident_id", F.btrim(F.array_join(F.transform("_c", lambda c: c["remark_text"]), " | "), F.lit(" |")).alias("analyst_feedback"))
 
 
 def apply_actions(events: DataFrame, audit: DataFrame) -> DataFrame:
     """Current state of every event: status, feedback, labels. No table is rewritten."""
-    state = (
-        latest_actions(audit)
-        .join(feedback_texts(audit), "incident_id", "left")
-        .join(relabels(audit), "incident_id", "left")
-        .withColumnsRenamed({
-            "incident_id": "event_id", "status": "_status", "last_updated": "_updated", "updated_by": "_by",
-            "analyst_feedback": "_feedback",
-        })
-    )
+    return with_state(events, current_state(snapshot(audit), feedback_texts(audit)))
+
+
+def with_state(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Events with the current state of those that have any; a snapshot and what came after it suffice."""
+    state = state.withColumnsRenamed({
+        "incident_id": "event_id", "status": "_status", "last_updated": "_updated", "updated_by": "_by", "analyst_feedback": "_feedback",
+    })
     initial = F.when(F.col("label") == "anomaly", "LIVE_THREAT").otherwise("BENIGN")
     joined = events.drop("status", "analyst_feedback", "last_updated", "updated_by").join(state, "event_id", "left")
     return joined.withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ...functions.timeline import find_hot_keys
 from ...functions.columns import haversine_km
 from ...operators import baseline, features, windows
+from ...scratch import scratch_path, written
 from ...sources import access_log as source
 from .. import features as plan
 from .registry import KINDS, SUSPICIOUS, haversine, joined, log_of, query, r6, rounded, train_of
@@ -14,14 +15,38 @@ from .registry import KINDS, SUSPICIOUS, haversine, joined, log_of, query, r6, r
 _STATS = ["hour", "session_duration", "bytes"]
 
 
-@query("b1_numeric_baselines", """
+_B1 = """
 SELECT entity_id, count(*) AS event_count, round(avg(hr), 6) AS mean_hour, round(stddev_samp(hr), 6) AS raw_std_hour,
   round(avg(session_duration), 6) AS mean_session_duration, round(stddev_samp(session_duration), 6) AS raw_std_session_duration,
   round(avg(bytes_transferred), 6) AS mean_bytes, round(stddev_samp(bytes_transferred), 6) AS raw_std_bytes
-FROM train GROUP BY entity_id""")
+FROM {} GROUP BY entity_id"""
+
+
+def _b1_rounded(stats):
+    return rounded(stats, *[f"{p}_{s}" for s in _STATS for p in ("mean", "raw_std")])
+
+
+@query("b1_numeric_baselines", _B1.format("train"))
 def b1(spark, sf_dir):
-    out = baseline.numeric_baselines(train_of(log_of(spark, sf_dir)))
-    return rounded(out, *[f"{p}_{s}" for s in _STATS for p in ("mean", "raw_std")])
+    return _b1_rounded(baseline.numeric_baselines(train_of(log_of(spark, sf_dir))))
+
+
+@query("b1_merged_days", _B1.format("train"))
+def b1_merged(spark, sf_dir):
+    """From stored moments of days: those of even days of the month first, the others appended."""
+    path = scratch_path(spark, "moments")
+    train = train_of(log_of(spark, sf_dir))
+    for part in (0, 1):
+        baseline.daily_moments(train.where(F.dayofmonth("timestamp") % 2 == part)).write.mode("append").parquet(path)
+    return _b1_rounded(baseline.merge_moments(spark.read.parquet(path)))
+
+
+@query("b1_without_oldest_day", _B1.format("train, (SELECT min(CAST(timestamp AS DATE)) AS oldest FROM train) o WHERE CAST(timestamp AS DATE) > oldest"))
+def b1_without(spark, sf_dir):
+    """A day is taken away from the stored moments; the log is not read for it."""
+    days = written(baseline.daily_moments(train_of(log_of(spark, sf_dir))), "moments")
+    oldest = days.agg(F.min("event_date")).first()[0]
+    return _b1_rounded(baseline.merge_moments(days.where(F.col("event_date") > F.lit(oldest))))
 
 
 @query("b2_guarded_deviations", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...functions.timeline import find_hot_keys
-from ...operators import explain, incident, storyline
+from ...operators import explain, incident
 from ...scratch import scratch_path
 from ...sources import access_log as source
 from ...sources import files
@@ -97,8 +97,9 @@ def n2(spark, sf_dir):
 SELECT i.incident_id, s.event_id, s.step_number, s.stage_title FROM staged s JOIN incident i ON i.user = s.entity_id
 WHERE i.incident_id = 'evt-00000125'""")
 def n2_timeline(spark, sf_dir):
-    log, train, hot = _log_hot(spark, sf_dir)
-    rows = incident.incident_timeline(incident.incidents(log, train, hot), storyline.stages(log, hot), "evt-00000125")
+    log = source.access_log(spark, sf_dir)
+    own = incident.events_of_incident(log, "evt-00000125")
+    rows = incident.timeline_of(log, "evt-00000125", find_hot_keys(own, "entity_id"))
     return rows.select("incident_id", "event_id", "step_number", "stage_title")
 
 
