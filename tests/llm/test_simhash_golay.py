@@ -1,8 +1,10 @@
 import random
+from itertools import count
 
 import xxhash
 from pyspark.sql import functions as F
 
+from wardenlog import scratch
 from wardenlog.llm import golay, simhash_golay as S
 
 from .edge import no_documents, odd_documents
@@ -96,3 +98,23 @@ def test_one_document_of_each_class_stays(spark):
     ids = [(r.doc_id, r.text) for r in kept.collect()]
     assert len(ids) == len(set(ids)) == 7  # rows 1 and 2 are one class, the repeated row is one
     assert S.keep_first(odd.filter(F.lit(False))).count() == 0
+
+
+def test_small_tables_go_to_few_files(spark, tmp_path, monkeypatch):
+    """However many shuffle partitions there are: each file costs its own processes and requests."""
+    numbers = count()
+    monkeypatch.setattr(scratch, "scratch_path", lambda spark, name: f"file://{tmp_path}/{name}-{next(numbers)}")
+    settings = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        components_of(spark, 4)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = {}
+    for d in tmp_path.iterdir():
+        files.setdefault(d.name.rsplit("-", 1)[0], []).append(len(list(d.glob("*.parquet"))))
+    small = ("links", "large-stars", "small-stars", "distinct-fingerprints", "golay-buckets")
+    assert all(max(files[x]) <= 2 for x in small), files

@@ -13,23 +13,24 @@ def _stars(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """Columns node, root for links (a, b): root is the smallest node that is reachable. Nodes without links have no row.
 
     Each round is written to shared storage. A node with many neighbours is combined in the map tasks; the join back to
-    its neighbours has its own exchange, which adaptive execution may split.
+    its neighbours has its own exchange, which adaptive execution may split. `rows`: about how many links there are, if known.
     """
-    edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+    edges = written(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", rows)
+    state, n = None, edges.count()
     while True:
         # Large stars: every larger neighbour of u goes to u's smallest neighbour or u.
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _stars(both, both.filter("v > u"))
         # Small stars: every smaller neighbour of u, and u, go to u's smallest neighbour.
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        down = written(down, "large-stars")
-        edges = written(_stars(down, down.unionByName(down.select("u", F.col("u").alias("v")).distinct())), "small-stars")
+        # A round makes no more links than it has.
+        down = written(down, "large-stars", n)
+        edges = written(_stars(down, down.unionByName(down.select("u", F.col("u").alias("v")).distinct())), "small-stars", n)
         row = edges.agg(F.count("*"), F.expr("sum(cast(xxhash64(a, b) as decimal(38,0)))")).first()
         if tuple(row) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = tuple(row)
+        state, n = tuple(row), row[0]

@@ -114,7 +114,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """For each document n_words, n_hit, items (sorted ids, as strings) and contaminated."""
     hashed = windows(items, item_col, item_text_col, size)
     # Numbers are shorter than hashes in all that follows.
-    numbered = written(hashed.groupBy("win").agg(F.first("terms").alias("terms")).withColumn("number", F.monotonically_increasing_id()), "distinct-windows")
+    numbered = written(hashed.groupBy("win").agg(F.first("terms").alias("terms")).withColumn("number", F.monotonically_increasing_id()), "distinct-windows", hashed.count())
     distinct = numbered.select(F.col("number").alias("win"), "terms")
     of_items = hashed.select("win", "item").distinct().join(numbered, "win").select(F.col("number").alias("win"), "item")
     texts = docs.select(column(id_col).alias("doc_id"), text_hash(column(text_col)).alias("thash"), utf8(column(text_col)).alias("text"))

@@ -72,7 +72,7 @@ def linked(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct fingerprints (fp) within MAX_BITS bits."""
     keyed = written(fps.select("fp", F.explode(_keys("fp")).alias("k")), "golay-keys")
     sizes = keyed.groupBy("k").agg(F.count("*").alias("size")).filter("size > 1")
-    met = written(keyed.join(sizes, "k"), "golay-buckets")
+    met = written(keyed.join(sizes, "k"), "golay-buckets", keyed.count())
     members = met.filter(F.col("size") <= bucket).groupBy("k").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     near = (
         members.select(F.posexplode("fps").alias("i", "a"), "fps")
@@ -91,8 +91,8 @@ def linked(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def classes(fp_table: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Columns doc_id, thash, fp, root of the class, component_id (the smallest id in it) for a table of fingerprints."""
-    firsts = written(fp_table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(linked(firsts.select("fp"), bucket)).select(F.col("node").alias("fp"), "root")
+    firsts = written(fp_table.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints", fp_table.count())
+    roots = components(linked(firsts.select("fp"), bucket), len(SEGMENTS) * firsts.count()).select(F.col("node").alias("fp"), "root")
     rooted = written(firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted-fingerprints")
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_fp = rooted.join(ids, "root").select("fp", "root", "component_id")
