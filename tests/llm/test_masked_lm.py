@@ -133,3 +133,28 @@ def test_defaults_train_on_every_place(spark):
     row, at = M.laid_out([words.encode(M.tokens(text))], words.pad)
     gain = net.log_probabilities(row, at) - M.Network(3).log_probabilities(row, at)
     assert (gain > 1).all()
+
+
+def test_shares_do_not_follow_the_partitions_of_the_session(spark, monkeypatch):
+    """What is sent on grows with the number of shares, which the corpus alone decides."""
+    docs = spark.createDataFrame([(i, f"the {i % 5} words of document {i % 3} are here. " * 5) for i in range(60)], "doc_id int, text string")
+    _, net, coded = M.fit(docs, classes=3, hashed=4, batch=256)
+    frame = type(docs)
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *by, f=frame.repartition: f(self, max(n, 23) if by else n, *by))
+    words = M.Vocabulary([], 3, 4)
+    again = M.train(coded, words, batch=256)
+    assert np.array_equal(net.vector(), again.vector())
+
+
+def test_classes_of_many_places_are_trained_as_those_of_few(monkeypatch):
+    rng = np.random.default_rng(2)
+    row, at = M.laid_out([rng.integers(0, 27, 4000) ** 2 // 27, np.arange(5)], 27)
+    nets = []
+    for alone in (1, 64, 10_000):
+        monkeypatch.setattr(M, "ALONE", alone)
+        net = M.Network(3)
+        squares = [np.zeros_like(p) for p in net.p]
+        for _ in range(3):
+            net.train(row, at, squares)
+        nets.append((net.vector(), net.log_probabilities(row, at)))
+    assert all(np.allclose(a, b, atol=1e-4) for x in nets[1:] for a, b in zip(nets[0], x))

@@ -40,6 +40,10 @@ GROWTH, HASHED, HIDDEN, SIDE, STEPS = 2, 64, 16, 2, 3
 ROUNDS, BATCH, RATE, SEED = 2, 16384, 0.25, 11
 #: A share of the training has about so many places for each number of the network, whose gains it sends on.
 PLACES_A_NUMBER = 4
+#: Steps that a share makes in a round, at least: where it has few places, its batches are smaller, down to LEAST_BATCH places.
+LEAST_STEPS, LEAST_BATCH = 64, 64
+#: Places of a class, in one batch, from which its choices are made by themselves.
+ALONE = 1024
 #: Numbers of a row of the averaging.
 BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
@@ -177,12 +181,12 @@ def vocabulary(texts: DataFrame, classes: int | None = None, hashed: int = HASHE
 
 
 class Network:
-    """Parameters: embeddings (offset, id, hidden), bias, and for each step weights and biases of its choices, by class so far."""
+    """Parameters: embeddings (id, offset, hidden), bias, and for each step weights and biases of its choices, by class so far."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.classes, self.hidden, self.size = classes, hidden, classes ** STEPS
-        self.shapes = [(len(OFFSETS), self.size + 1, hidden), (hidden,)]
+        self.shapes = [(self.size + 1, len(OFFSETS), hidden), (hidden,)]
         for step in range(STEPS):
             self.shapes += [(classes ** step, hidden, classes), (classes ** step, classes)]
         self.p = [(rng.normal(0, 0.1, s) if len(s) == 3 else np.zeros(s)).astype(np.float32) for s in self.shapes]
@@ -208,24 +212,27 @@ class Network:
 
     def hidden_of(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         e, b = self.p[:2]
-        total = e[0].take(row[at + OFFSETS[0]], axis=0)
+        e, first = e.reshape(-1, self.hidden), row * len(OFFSETS)
+        total = e.take(first[at + OFFSETS[0]], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += e[k].take(row[at + OFFSETS[k]], axis=0)
+            total += e.take(first[at + OFFSETS[k]] + k, axis=0)
         total += b
         return np.tanh(total, out=total)
 
-    def choices(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def choices(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice | np.ndarray, np.ndarray]]:
         """For sorted targets, each step's choices class by class, those of about as many places together: step, classes so far,
-        places (a line for each class; len(target) where a line has no more), the ids chosen."""
+        places (a line for each class; len(target) where a line has no more), the ids chosen. A class of many places comes alone,
+        and its places are a slice."""
         n = len(target)
         for step in range(STEPS):
             kind, chosen = np.divmod(target // self.classes ** (STEPS - 1 - step), self.classes)
             chosen = np.append(chosen, 0)
-            if step == 0:
-                yield step, np.zeros(1, np.int64), np.arange(n)[None], chosen[None, :n]
-                continue
             starts = np.nonzero(np.diff(kind, prepend=-1))[0]
             counts = np.diff(starts, append=n)
+            many = counts >= ALONE
+            for at, end in zip(starts[many].tolist(), (starts + counts)[many].tolist()):
+                yield step, kind[at:at + 1], slice(at, end), chosen[at:end]
+            starts, counts = starts[~many], counts[~many]
             width = 1 << np.ceil(np.log2(counts)).astype(np.int64)
             for w in np.unique(width).tolist():
                 some = np.nonzero(width == w)[0]
@@ -233,15 +240,19 @@ class Network:
                 places = np.where(cell < counts[some][:, None], starts[some][:, None] + cell, n)
                 yield step, kind[starts[some]], places, chosen[places]
 
-    def probabilities(self, h: np.ndarray, step: int, kinds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def probabilities(self, h: np.ndarray, step: int, kinds: np.ndarray, places: slice | np.ndarray) -> np.ndarray:
         """Of each choice, at places as choices() gives them. `h` ends with a row of zeros."""
         w, b = self.p[2 + 2 * step:4 + 2 * step]
-        z = (h[:-1][None] if step == 0 else h[places]) @ w[kinds]
+        z = lined(h[places]) @ w[kinds]
         z += b[kinds][:, None]
         np.exp(z, out=z)
-        z /= (z @ np.ones(self.classes, z.dtype))[..., None]
+        z *= 1 / (z @ np.ones((self.classes, 1), z.dtype))
         return z
 
+    def numbers(self, chosen: np.ndarray) -> np.ndarray:
+        """Where the chosen ids' probabilities stand among those of all choices."""
+        return np.arange(0, chosen.size * self.classes, self.classes) + chosen.ravel()
+
     def log_probabilities(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability (nats) of the ids of a row at some places."""
         out = np.zeros(len(row))
@@ -253,7 +264,7 @@ class Network:
         logs = np.zeros(len(order) + 1)
         for step, kinds, places, chosen in self.choices(row[order].astype(np.int64)):
             p = self.probabilities(h, step, kinds, places)
-            logs[places] += np.log(np.take_along_axis(p, chosen[..., None], axis=2)[..., 0])
+            logs[places] += np.log(p.reshape(-1)[self.numbers(chosen)]).reshape(chosen.shape)
         out[order] = logs[:-1]
         return out[at]
 
@@ -270,29 +281,28 @@ class Network:
         gh = np.zeros_like(h)
         for step, kinds, places, chosen in list(self.choices(target)):
             g = self.probabilities(h, step, kinds, places)
-            g.reshape(-1, self.classes)[np.arange(chosen.size), chosen.ravel()] -= 1
-            if step:
-                g[places == n] = 0
+            g.reshape(-1)[self.numbers(chosen)] -= 1
             w, b = self.p[2 + 2 * step:4 + 2 * step]
+            if not isinstance(places, slice):
+                g[places == n] = 0
             back = g @ w[kinds].transpose(0, 2, 1)
-            own = h[:-1][None] if step == 0 else h[places]
-            if step == 0:
-                gh[:-1] += back[0]
-            else:
-                gh[places.ravel()] += back.reshape(-1, self.hidden)
-            _step(w, squares[2 + 2 * step], kinds, own.transpose(0, 2, 1) @ g, n)
-            _step(b, squares[3 + 2 * step], kinds, g.sum(axis=1), n)
+            gh[places] += back.reshape(*chosen.shape, self.hidden)
+            _step(w, squares[2 + 2 * step], kinds, lined(h[places]).transpose(0, 2, 1) @ g, n)
+            _step(b, squares[3 + 2 * step], kinds, (np.ones((1, g.shape[1]), g.dtype) @ g)[:, 0], n)
         gz = gh[:-1] * (1 - h[:-1] * h[:-1])
-        # What each place of the row was for those around it: the gradient of the place an offset before.
+        # What each place of the row was for those around it: the gradients of the places from SIDE before it to SIDE behind it
+        # stand in a row, of which that of the place an offset before is taken.
         at_place = np.zeros((len(row) + 2 * SIDE, self.hidden), np.float32)
         at_place[order + SIDE] = gz
         ids = row[every]
         starts = np.nonzero(np.diff(ids, prepend=-1))[0]
-        for k, o in enumerate(OFFSETS):
-            _step(self.p[0][k], squares[0][k], ids[starts], np.add.reduceat(at_place[every + (SIDE - o)], starts, axis=0), n)
+        width = 2 * SIDE + 1
+        around = np.lib.stride_tricks.sliding_window_view(at_place.ravel(), width * self.hidden)[::self.hidden]
+        total = np.add.reduceat(around[every], starts, axis=0).reshape(-1, width, self.hidden)
+        _step(self.p[0], squares[0], ids[starts], total[:, [SIDE - o for o in OFFSETS]], n)
         _step(self.p[1], squares[1], slice(None), gz.sum(axis=0), n)
-        seen = [np.bincount(row[at + o], minlength=self.size + 1) for o in OFFSETS]
-        return np.concatenate([*seen, [n], *(np.bincount(target // self.classes ** (STEPS - s), minlength=self.classes ** s) for s in range(STEPS))])
+        seen = np.stack([np.bincount(row[at + o], minlength=self.size + 1) for o in OFFSETS], axis=1)
+        return np.concatenate([seen.ravel(), [n], *(np.bincount(target // self.classes ** (STEPS - s), minlength=self.classes ** s) for s in range(STEPS))])
 
     def spread(self, taken: np.ndarray) -> np.ndarray:
         """The numbers that train() returns, for each number of the vector."""
@@ -311,9 +321,19 @@ class Network:
 
 def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, g: np.ndarray, n: int) -> None:
     g = g / n ** 0.5
-    q = squares[at] + g * g
+    q = g * g
+    q += squares[at]
     squares[at] = q
-    p[at] -= RATE * g / (np.sqrt(q) + 1e-3)
+    np.sqrt(q, out=q)
+    q += 1e-3
+    g /= q
+    g *= RATE
+    p[at] -= g
+
+
+def lined(x: np.ndarray) -> np.ndarray:
+    """What a slice of places has, as a line of its own."""
+    return x if x.ndim == 3 else x[None]
 
 
 def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,7 +410,9 @@ def train_round(coded: DataFrame, start: Network, shares: int, batch: int = BATC
         total = sum(np.frombuffer(x, np.int64) for x in group.column("numbers").to_pylist())
         return pa.table({"first": group.column("first").slice(0, 1), "numbers": pa.array([total.tobytes()], pa.binary())})
 
-    dealt = coded.filter("n_tokens > 0").repartition(shares, "dealt").sortWithinPartitions("dealt").select("ids")
+    # A share is a partition, whatever number of partitions the session has: each sends as much as the network has numbers.
+    share = F.pmod(F.col("dealt"), F.lit(shares)).cast("int")
+    dealt = coded.filter("n_tokens > 0").repartitionById(shares, share).sortWithinPartitions("dealt").select("ids")
     made = map_rows(dealt, run, "first bigint, numbers binary", rows=64).groupBy("first").applyInArrow(added, "first bigint, numbers binary")
     total = np.zeros(len(vector) + start.lines(), np.int64)
     for r in made.toLocalIterator():
@@ -405,6 +427,7 @@ def train(coded: DataFrame, words: Vocabulary, rounds: int = ROUNDS, hidden: int
     places = coded.agg(F.sum("n_tokens")).first()[0] or 0
     shares = max(1, -(-places // (PLACES_A_NUMBER * len(net.vector()))))
     dealt = coded.withColumn("dealt", F.xxhash64("thash", "doc_id"))
+    batch = min(batch, max(LEAST_BATCH, places // shares // LEAST_STEPS))
     for _ in range(rounds):
         net = net.with_vector(train_round(dealt, net, shares, batch))
     return net
