@@ -158,3 +158,53 @@ def test_classes_of_many_places_are_trained_as_those_of_few(monkeypatch):
             net.train(row, at, squares)
         nets.append((net.vector(), net.log_probabilities(row, at)))
     assert all(np.allclose(a, b, atol=1e-4) for x in nets[1:] for a, b in zip(nets[0], x))
+
+
+def test_a_step_is_that_of_each_place_by_itself():
+    rng = np.random.default_rng(4)
+    net = M.Network(3, 4)
+    net.p = [rng.normal(0, 0.5, p.shape) for p in net.p]
+    row, at = M.laid_out([rng.integers(0, 27, 400) ** 2 // 27, rng.integers(0, 27, 1)], 27)
+    e, b, *steps = before = [p.copy() for p in net.p]
+    slopes = [np.zeros_like(p) for p in before]
+    for i in at:
+        near = [(row[i + o], k) for k, o in enumerate(M.OFFSETS)]
+        h = np.append(np.tanh(sum(e[x] for x in near) + b), 1)
+        back = np.zeros(5)
+        for step, w in enumerate(steps):
+            so_far, chosen = divmod(row[i] // 3 ** (2 - step), 3)
+            g = np.exp(h @ w[so_far])
+            g /= g.sum()
+            g[chosen] -= 1
+            back += w[so_far] @ g
+            slopes[2 + step][so_far] += h[:, None] * g
+        back = back[:-1] * (1 - h[:-1] ** 2)
+        slopes[1] += back
+        for x in near:
+            slopes[0][x] += back
+    squares = [np.zeros_like(p) for p in net.p]
+    net.step(row, at, squares)
+    for p, old, q, slope in zip(net.p, before, squares, slopes):
+        slope /= len(at) ** 0.5
+        assert np.allclose(q, slope ** 2) and np.allclose(p, old - M.RATE * slope / (abs(slope) + 1e-3), atol=1e-6)
+
+
+def test_every_place_has_a_cell_in_the_line_of_its_kind():
+    rng = np.random.default_rng(5)
+    kind = np.sort(rng.integers(0, 60, 900) ** 3 // 3600)
+    for alone in (None, 1, 50):
+        lines = M.Lines(*M.distinct(kind), len(kind), alone)
+        of = np.full(lines.cells, -1)
+        for kinds, cells, (_, w) in lines.parts:
+            of[cells] = np.repeat(lines.kinds[kinds], w)
+        assert (of >= 0).all() and (of[lines.cell] == kind).all() and lines.cells < 2 * len(kind)
+        assert len(set(lines.cell.tolist())) == len(kind) and (lines.place[lines.cell] == np.arange(len(kind))).all()
+        assert (lines.place == len(kind)).sum() == lines.cells - len(kind)
+
+
+def test_products_of_long_lines_are_added_in_pieces():
+    rng = np.random.default_rng(6)
+    for k, w in ((5, 1), (3, 8), (1, M.PIECE * 2 + 37), (2, M.PIECE * 4)):
+        x, g, out = rng.normal(size=(k, w, 3)), rng.normal(size=(k, w, 5)), np.empty((k, 3, 5))
+        M._products(x, g, out)
+        assert np.allclose(out, np.einsum("kwa,kwc->kac", x, g))

@@ -26,6 +26,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,12 @@ ROUNDS, BATCH, RATE, SEED = 2, 16384, 0.25, 11
 PLACES_A_NUMBER = 4
 #: Steps that a share makes in a round, at least: where it has few places, its batches are smaller, down to LEAST_BATCH places.
 LEAST_STEPS, LEAST_BATCH = 64, 64
-#: Places of a class, in one batch, from which its choices are made by themselves.
+#: Places of a class, in one batch, from which their line is just as long as they are.
 ALONE = 1024
+#: Numbers that a step changes at a time, so that they stay near the processor.
+STEP_NUMBERS = 1 << 15
+#: Cells whose products are added at a time.
+PIECE = 512
 #: Numbers of a row of the averaging.
 BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
@@ -148,11 +153,11 @@ class Vocabulary:
         self.ids = {w: i for i, w in enumerate(frequent[:self.size - hashed])}
 
     def encode(self, words: list[bytes]) -> np.ndarray:
-        get, crc = self.ids.get, zlib.crc32
-        out = np.array([get(w, -1) for w in words], np.int32)
+        out = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
         rare = np.nonzero(out < 0)[0]
         if len(rare):
-            out[rare] = self.size - self.hashed + np.array([crc(words[i][:2]) for i in rare.tolist()], np.int64) % self.hashed
+            crc = np.fromiter((zlib.crc32(words[i][:2]) for i in rare.tolist()), np.int64, len(rare))
+            out[rare] = self.size - self.hashed + crc % self.hashed
         return out
 
     def spelled(self, words: list[bytes], ids: np.ndarray) -> np.ndarray:
@@ -181,15 +186,17 @@ def vocabulary(texts: DataFrame, classes: int | None = None, hashed: int = HASHE
 
 
 class Network:
-    """Parameters: embeddings (id, offset, hidden), bias, and for each step weights and biases of its choices, by class so far."""
+    """Parameters: embeddings (id, offset, hidden), bias, and for each step the weights of its choices, by class so far; their last row
+    are the biases."""
 
     def __init__(self, classes: int, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.classes, self.hidden, self.size = classes, hidden, classes ** STEPS
-        self.shapes = [(self.size + 1, len(OFFSETS), hidden), (hidden,)]
-        for step in range(STEPS):
-            self.shapes += [(classes ** step, hidden, classes), (classes ** step, classes)]
-        self.p = [(rng.normal(0, 0.1, s) if len(s) == 3 else np.zeros(s)).astype(np.float32) for s in self.shapes]
+        self.shapes = [(self.size + 1, len(OFFSETS), hidden), (hidden,), *((classes ** step, hidden + 1, classes) for step in range(STEPS))]
+        self.p = [np.zeros(s, np.float32) for s in self.shapes]
+        self.p[0][:] = rng.normal(0, 0.1, self.shapes[0])
+        for w in self.p[2:]:
+            w[:, :hidden] = rng.normal(0, 0.1, (len(w), hidden, classes))
 
     def vector(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.p])
@@ -211,47 +218,35 @@ class Network:
         return order
 
     def hidden_of(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each place, with a one behind it for the biases; the last row, zeros, stands for no place."""
         e, b = self.p[:2]
-        e, first = e.reshape(-1, self.hidden), row * len(OFFSETS)
-        total = e.take(first[at + OFFSETS[0]], axis=0)
+        e, first, n = e.reshape(-1, self.hidden), row.astype(np.intp) * len(OFFSETS), len(row) - 2 * SIDE
+        total = e.take(first[:n], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += e.take(first[at + OFFSETS[k]] + k, axis=0)
+            first += 1
+            total += e.take(first[SIDE + OFFSETS[k]:][:n], axis=0)
         total += b
-        return np.tanh(total, out=total)
-
-    def choices(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray, slice | np.ndarray, np.ndarray]]:
-        """For sorted targets, each step's choices class by class, those of about as many places together: step, classes so far,
-        places (a line for each class; len(target) where a line has no more), the ids chosen. A class of many places comes alone,
-        and its places are a slice."""
-        n = len(target)
-        for step in range(STEPS):
-            kind, chosen = np.divmod(target // self.classes ** (STEPS - 1 - step), self.classes)
-            chosen = np.append(chosen, 0)
-            starts = np.nonzero(np.diff(kind, prepend=-1))[0]
-            counts = np.diff(starts, append=n)
-            many = counts >= ALONE
-            for at, end in zip(starts[many].tolist(), (starts + counts)[many].tolist()):
-                yield step, kind[at:at + 1], slice(at, end), chosen[at:end]
-            starts, counts = starts[~many], counts[~many]
-            width = 1 << np.ceil(np.log2(counts)).astype(np.int64)
-            for w in np.unique(width).tolist():
-                some = np.nonzero(width == w)[0]
-                cell = np.arange(w)
-                places = np.where(cell < counts[some][:, None], starts[some][:, None] + cell, n)
-                yield step, kind[starts[some]], places, chosen[places]
-
-    def probabilities(self, h: np.ndarray, step: int, kinds: np.ndarray, places: slice | np.ndarray) -> np.ndarray:
-        """Of each choice, at places as choices() gives them. `h` ends with a row of zeros."""
-        w, b = self.p[2 + 2 * step:4 + 2 * step]
-        z = lined(h[places]) @ w[kinds]
-        z += b[kinds][:, None]
-        np.exp(z, out=z)
-        z *= 1 / (z @ np.ones((self.classes, 1), z.dtype))
-        return z
-
-    def numbers(self, chosen: np.ndarray) -> np.ndarray:
-        """Where the chosen ids' probabilities stand among those of all choices."""
-        return np.arange(0, chosen.size * self.classes, self.classes) + chosen.ravel()
+        h = np.ones((len(at) + 1, self.hidden + 1), total.dtype)
+        h[:-1, :-1] = np.tanh(total, out=total).take(at - SIDE, axis=0)
+        h[-1] = 0
+        return h
+
+    def choices(self, target: np.ndarray) -> Iterator[tuple[int, Lines, np.ndarray]]:
+        """For sorted targets, each step's choices, from the last: the places in lines by the classes so far, and the ids chosen."""
+        kinds, starts = distinct(target)
+        for step in reversed(range(STEPS)):
+            so_far = kinds // self.classes
+            chosen = np.repeat(kinds - so_far * self.classes, np.diff(starts, append=len(target)))
+            kinds, new = distinct(so_far)
+            starts = starts[new]
+            yield step, Lines(kinds, starts, len(target), ALONE), chosen
+
+    def exponents(self, h: np.ndarray, w: np.ndarray, lines: Lines) -> np.ndarray:
+        """Exponential of each choice's number: a line for each cell, of which the cells of no place are not to be used."""
+        z = np.empty((lines.cells, self.classes), h.dtype)
+        for kinds, cells, shape in lines.parts:
+            np.matmul(h[cells].reshape(*shape, -1), w[kinds], out=z[cells].reshape(*shape, -1))
+        return np.exp(z, out=z)
 
     def log_probabilities(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Log probability (nats) of the ids of a row at some places."""
@@ -260,80 +255,150 @@ class Network:
         wanted[at] = True
         order = self.by_id(row)
         order = order[wanted[order]]
-        h = np.append(self.hidden_of(row, order), np.zeros((1, self.hidden), np.float32), axis=0)
-        logs = np.zeros(len(order) + 1)
-        for step, kinds, places, chosen in self.choices(row[order].astype(np.int64)):
-            p = self.probabilities(h, step, kinds, places)
-            logs[places] += np.log(p.reshape(-1)[self.numbers(chosen)]).reshape(chosen.shape)
-        out[order] = logs[:-1]
+        h = self.hidden_of(row, order)
+        logs = np.zeros(len(order))
+        for step, lines, chosen in self.choices(row[order]):
+            z = self.exponents(lines.dealt(h), self.p[2 + step].take(lines.kinds, axis=0), lines)
+            of_all = z @ np.ones(self.classes, z.dtype)
+            logs += np.log(z.reshape(-1).take(lines.cell * self.classes + chosen) / of_all.take(lines.cell))
+        out[order] = logs
         return out[at]
 
     def train(self, row: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> np.ndarray:
         """One step of Adagrad on the places of a row; `squares` are the sums of squared gradients so far. How many places each
         row of parameters took part in."""
-        n = len(at)
+        self.step(row, at, squares)
+        return self.taken(row, at)
+
+    def step(self, row: np.ndarray, at: np.ndarray, squares: list[np.ndarray]) -> None:
+        n, unit = len(at), len(at) ** -0.5
         wanted = np.zeros(len(row), bool)
         wanted[at] = True
         every = self.by_id(row)
         order = every[wanted[every]]
-        h = np.append(self.hidden_of(row, order), np.zeros((1, self.hidden), np.float32), axis=0)
-        target = row[order].astype(np.int64)
-        gh = np.zeros_like(h)
-        for step, kinds, places, chosen in list(self.choices(target)):
-            g = self.probabilities(h, step, kinds, places)
-            g.reshape(-1)[self.numbers(chosen)] -= 1
-            w, b = self.p[2 + 2 * step:4 + 2 * step]
-            if not isinstance(places, slice):
-                g[places == n] = 0
-            back = g @ w[kinds].transpose(0, 2, 1)
-            gh[places] += back.reshape(*chosen.shape, self.hidden)
-            _step(w, squares[2 + 2 * step], kinds, lined(h[places]).transpose(0, 2, 1) @ g, n)
-            _step(b, squares[3 + 2 * step], kinds, (np.ones((1, g.shape[1]), g.dtype) @ g)[:, 0], n)
-        gz = gh[:-1] * (1 - h[:-1] * h[:-1])
+        h = self.hidden_of(row, order)
+        back = np.zeros_like(h[:-1])
+        for step, lines, chosen in self.choices(row[order]):
+            w, x = self.p[2 + step].take(lines.kinds, axis=0), lines.dealt(h)
+            g = self.exponents(x, w, lines)
+            of_all = g @ np.ones(self.classes, g.dtype)
+            g.reshape(-1)[lines.cell * self.classes + chosen] -= of_all.take(lines.cell)
+            g *= (unit / of_all)[:, None]
+            to_h, to_w = np.empty_like(x), np.empty_like(w)
+            for kinds, cells, shape in lines.parts:
+                each = g[cells].reshape(*shape, -1)
+                np.matmul(each, w[kinds].transpose(0, 2, 1), out=to_h[cells].reshape(*shape, -1))
+                _products(x[cells].reshape(*shape, -1), each, to_w[kinds])
+            back += to_h.take(lines.cell, axis=0)
+            _step(self.p[2 + step], squares[2 + step], lines.kinds, to_w)
+        h *= h
+        back *= 1 - h[:-1]
+        back = back[:, :-1]
         # What each place of the row was for those around it: the gradients of the places from SIDE before it to SIDE behind it
-        # stand in a row, of which that of the place an offset before is taken.
-        at_place = np.zeros((len(row) + 2 * SIDE, self.hidden), np.float32)
-        at_place[order + SIDE] = gz
-        ids = row[every]
-        starts = np.nonzero(np.diff(ids, prepend=-1))[0]
+        # stand in a row, of which that of the place an offset before is taken. Behind the row stands a place without any.
         width = 2 * SIDE + 1
+        at_place = np.zeros((len(row) + 2 * SIDE + 1, self.hidden), back.dtype)
+        at_place[order + SIDE] = back
+        at_place[len(row):] = 0
         around = np.lib.stride_tricks.sliding_window_view(at_place.ravel(), width * self.hidden)[::self.hidden]
-        total = np.add.reduceat(around[every], starts, axis=0).reshape(-1, width, self.hidden)
-        _step(self.p[0], squares[0], ids[starts], total[:, [SIDE - o for o in OFFSETS]], n)
-        _step(self.p[1], squares[1], slice(None), gz.sum(axis=0), n)
+        lines = Lines(*distinct(row[every]), len(every))
+        total = np.empty((len(lines.kinds), len(OFFSETS), self.hidden), back.dtype)
+        of = np.append(every, len(row))[lines.place]
+        for kinds, cells, shape in lines.parts:
+            part = around[of[cells]].reshape(*shape, -1)
+            while part.shape[1] > 1:
+                half = part.shape[1] // 2
+                part = part[:, :half] + part[:, half:]
+            part = part.reshape(-1, width, self.hidden)
+            total[kinds, :SIDE], total[kinds, SIDE:] = part[:, :SIDE:-1], part[:, SIDE - 1::-1]
+        _step(self.p[0], squares[0], lines.kinds, total)
+        _step(self.p[1][None], squares[1][None], np.zeros(1, np.intp), back.sum(axis=0, keepdims=True))
+
+    def taken(self, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many of the places each row of parameters takes part in."""
         seen = np.stack([np.bincount(row[at + o], minlength=self.size + 1) for o in OFFSETS], axis=1)
-        return np.concatenate([seen.ravel(), [n], *(np.bincount(target // self.classes ** (STEPS - s), minlength=self.classes ** s) for s in range(STEPS))])
+        chosen = np.bincount(row[at], minlength=self.size).reshape(-1, self.classes).sum(axis=1)
+        by_step = [chosen]
+        while len(by_step) < STEPS:
+            by_step.insert(0, by_step[0].reshape(-1, self.classes).sum(axis=1))
+        return np.concatenate([seen.ravel(), [len(at)], *by_step])
 
     def spread(self, taken: np.ndarray) -> np.ndarray:
-        """The numbers that train() returns, for each number of the vector."""
+        """The numbers that taken() returns, for each number of the vector."""
         v = len(OFFSETS) * (self.size + 1)
-        out, first = [np.repeat(taken[:v], self.hidden), np.full(self.hidden, taken[v])], v + 1
-        for step in range(STEPS):
-            each = taken[first:first + self.classes ** step]
-            out += [np.repeat(each, self.hidden * self.classes), np.repeat(each, self.classes)]
-            first += len(each)
-        return np.concatenate(out)
+        return np.concatenate([np.repeat(taken[:v], self.hidden), np.full(self.hidden, taken[v]), np.repeat(taken[v + 1:], (self.hidden + 1) * self.classes)])
 
     def lines(self) -> int:
-        """How many numbers train() returns."""
+        """How many numbers taken() returns."""
         return len(OFFSETS) * (self.size + 1) + 1 + sum(self.classes ** s for s in range(STEPS))
 
 
-def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, g: np.ndarray, n: int) -> None:
-    g = g / n ** 0.5
-    q = g * g
-    q += squares[at]
-    squares[at] = q
-    np.sqrt(q, out=q)
-    q += 1e-3
-    g /= q
-    g *= RATE
-    p[at] -= g
-
-
-def lined(x: np.ndarray) -> np.ndarray:
-    """What a slice of places has, as a line of its own."""
-    return x if x.ndim == 3 else x[None]
+def distinct(row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a sorted row, and where each begins."""
+    starts = np.append(0, np.flatnonzero(row[1:] != row[:-1]) + 1)
+    return row[starts], starts
+
+
+class Lines:
+    """Places in the order of their kinds, dealt to cells: a line of cells for each kind, those of about as many places together.
+
+    A line is as long as the next power of two; that of a kind of `alone` places and more is just as long as they are.
+    """
+
+    def __init__(self, kinds: np.ndarray, starts: np.ndarray, n: int, alone: int | None = None):
+        counts = np.diff(starts, append=n)
+        width = 1 << np.ceil(np.log2(counts)).astype(np.intp)
+        if alone is not None:
+            width = np.where(counts >= alone, counts, width)
+        order = np.argsort(width, kind="stable")
+        ends = np.cumsum(width[order])
+        first = np.empty(len(order), np.intp)
+        first[order] = ends - width[order]
+        #: Kinds as their lines stand, number of cells, each place's cell, each cell's place (n: none).
+        self.kinds, self.cells = kinds[order].astype(np.intp), int(ends[-1])
+        self.cell = np.repeat(first - starts, counts) + np.arange(n)
+        self.place = np.full(self.cells, n, np.intp)
+        self.place[self.cell] = np.arange(n)
+        #: Lines of one length: which kinds, which cells, number of lines and their length.
+        self.parts, at, cells = [], 0, 0
+        for w, k in sorted(Counter(width.tolist()).items()):
+            self.parts.append((slice(at, at + k), slice(cells, cells + k * w), (k, w)))
+            at, cells = at + k, cells + k * w
+
+    def dealt(self, rows: np.ndarray) -> np.ndarray:
+        """What each cell's place has; `rows` ends with what a cell of no place has."""
+        return rows[:-1] if self.cells == len(self.cell) == len(rows) - 1 and len(self.kinds) == 1 else rows.take(self.place, axis=0)
+
+
+def _products(x: np.ndarray, g: np.ndarray, out: np.ndarray) -> None:
+    """For each line, the sum over its cells of all products of `x` and `g`. Long lines go in pieces, which suit the processor better."""
+    k, w = x.shape[:2]
+    if w == 1:
+        np.multiply(x.transpose(0, 2, 1), g, out=out)
+    elif w < 2 * PIECE:
+        np.matmul(x.transpose(0, 2, 1), g, out=out)
+    else:
+        whole = w // PIECE * PIECE
+        a, b = (y[:, :whole].reshape(k, -1, PIECE, y.shape[2]) for y in (x, g))
+        np.sum(a.swapaxes(2, 3) @ b, axis=1, out=out)
+        if whole < w:
+            out += x[:, whole:].transpose(0, 2, 1) @ g[:, whole:]
+
+
+def _step(p: np.ndarray, squares: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    """`g`, which is used up: gradients of the rows `at`, each of which is named once."""
+    rows = max(1, STEP_NUMBERS // max(1, g[0].size))
+    for i in range(0, len(at), rows):
+        some, x = at[i:i + rows], g[i:i + rows]
+        q = x * x
+        q += squares.take(some, axis=0)
+        squares[some] = q
+        np.sqrt(q, out=q)
+        q += 1e-3
+        x /= q
+        x *= -RATE
+        x += p.take(some, axis=0)
+        p[some] = x
 
 
 def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +452,8 @@ def train_round(coded: DataFrame, start: Network, shares: int, batch: int = BATC
             nonlocal taken
             row, at = laid_out(held, net.size)
             for part, places in runs(row, at, -(-len(at) // -(-len(at) // batch))):
-                taken = taken + net.train(part, places, squares)
+                net.step(part, places, squares)
+            taken += net.taken(row, at)
 
         for b in batches:
             for ids in b.column(0).to_pylist():
