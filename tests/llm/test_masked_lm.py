@@ -208,3 +208,13 @@ def test_products_of_long_lines_are_added_in_pieces():
         x, g, out = rng.normal(size=(k, w, 3)), rng.normal(size=(k, w, 5)), np.empty((k, 3, 5))
         M._products(x, g, out)
         assert np.allclose(out, np.einsum("kwa,kwc->kac", x, g))
+
+
+def test_texts_are_cut_together_as_one_by_one():
+    every = "".join(map(chr, range(1, 300)))
+    texts = [None, "", " ", "\n", "a", "..a", "a..", "a_b-c--D! Don't", "\u03a3 \u0391\u03a3 \u0130x\u00a0y\x85z\x0b\x0c\x1c!", "a\x00b\x00", every, "a", "\u65e5\u672c \u8a9e,x"]
+    for some in ([], [None], ["", "a"], texts, [t for t in texts if t] * 3):
+        words, number, n = M.tokens_of(some)
+        alone = [M.tokens(t) for t in some]
+        assert n.tolist() == [len(t) for t in alone] and [words[i] for i in number.tolist()] == [w for t in alone for w in t]
+        assert len(set(words)) == len(words)

@@ -52,6 +52,10 @@ PIECE = 512
 #: Numbers of a row of the averaging.
 BLOCK = 4096
 _MARKS = [bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 95]
+_WORD, _SPACE, _MARK = 0, 1, 2
+_SPACES = bytes(c for c in range(256) if bytes([c]).isspace())
+#: What each byte is to tokens().
+_KINDS = bytes(_MARK if bytes([c]) in _MARKS else _SPACE if c in _SPACES else _WORD for c in range(256))
 _SCALE = 1 << 20
 #: Symbols beside the 256 bytes.
 END, START = 256, 257
@@ -68,12 +72,32 @@ def tokens(text: str | None) -> list[bytes]:
     return data.split()
 
 
+def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """What tokens() makes of all texts: the different tokens, each token's number among them, and how many each text has."""
+    data = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    ends = np.cumsum([len(d) + 1 for d in data])
+    row = b"\n".join([*data, b""])
+    kind = np.frombuffer(row.translate(_KINDS), np.uint8)
+    kept = kind != _SPACE
+    # A token begins where the byte before it belongs to no word, and at each mark.
+    begins = kind != _WORD
+    begins[1:] |= begins[:-1].copy()
+    begins[:1] = True
+    begins &= kept
+    row = row.translate(None, _SPACES)
+    first = np.append(np.flatnonzero(begins[kept]), len(row)).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(first), pa.py_buffer(row)]).dictionary_encode()
+    number = np.asarray(coded.indices)
+    somewhere = np.empty(len(coded.dictionary), np.intp)
+    somewhere[number] = np.arange(len(number))
+    words = [row[a:b] for a, b in zip(first[somewhere].tolist(), first[somewhere + 1].tolist())]
+    return words, number, np.diff(np.searchsorted(np.flatnonzero(begins), ends), prepend=0)
+
+
 def count_tokens(texts: DataFrame) -> DataFrame:
     def run(cols: dict[str, list]) -> dict[str, list]:
-        seen: Counter = Counter()
-        for t in cols["text"]:
-            seen.update(tokens(t))
-        return {"token": list(seen), "n": list(seen.values())}
+        words, number, _ = tokens_of(cols["text"])
+        return {"token": words, "n": np.bincount(number, minlength=len(words)).tolist()}
 
     return map_batches(texts.select("text"), run, "token binary, n bigint", heavy="text").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -408,12 +432,10 @@ def encode(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col:
 
     def run(cols: dict[str, list]) -> dict[str, list]:
         words = shared.value
-        texts = [tokens(t) for t in cols.pop("text")]
-        n = [len(t) for t in texts]
-        every = [w for t in texts for w in t]
-        ids = words.encode(every)
-        spelled = np.concatenate([[0.0], np.cumsum(words.spelled(every, ids))])
-        ends = np.cumsum(n).tolist()
+        different, number, n = tokens_of(cols.pop("text"))
+        ids = words.encode(different)
+        spelled = np.concatenate([[0.0], np.cumsum(words.spelled(different, ids).take(number))])
+        ids, ends, n = ids.take(number), np.cumsum(n).tolist(), n.tolist()
         return cols | {"n_tokens": n, "spelled": [float(spelled[e] - spelled[e - k]) for e, k in zip(ends, n)],
                        "ids": [ids[e - k:e].astype("<i4").tobytes() for e, k in zip(ends, n)]}
 
