@@ -12,8 +12,9 @@ from ..functions.columns import attack_key, compact, lookup, pretty, pretty_atta
 
 def evidence(df: DataFrame) -> DataFrame:
     """Deviation sentences and a record of the evidence behind them."""
+    # A classifier may hand the counts on as doubles, which %d does not take.
     speed, failed, spray = (
-        F.col("geo_velocity_kmh"), F.col("failed_auth_count_1h"), F.col("unique_entities_per_ip_1h")
+        F.col("geo_velocity_kmh"), F.col("failed_auth_count_1h").cast("bigint"), F.col("unique_entities_per_ip_1h").cast("bigint")
     )
     fast, device, off = speed > 300, F.col("device_novelty") == 1, F.col("is_off_hours") == 1
     burst, sprayed = failed > 5, spray > 5
