@@ -4,10 +4,12 @@ Columns are binned once at quantiles of the training rows. A level of a round's
 the sums of gradients and second derivatives by column and bin. Tasks make these histograms from their rows by numpy, Spark adds
 them by class and node, and the best split of each node, one row, comes back. All classes share a pass.
 
-Rows that fit one task (ROWS_PER_TASK) need no pass between tasks: that task grows all rounds by the same functions. Sums are
-fixed-point, so both ways, and any dealing of the rows, give the same trees.
+Rows that fit one task (ROWS_PER_TASK, about 160 bytes each) need no pass over a table for each level: one task holds them all. Of
+more than BARRIER_ROWS, as many tasks as there are classes and cores do, each grows the trees of its classes, and they tell each other
+the trees of a round, a few kilobytes, at a barrier. A barrier waits for about a second, which fewer rows are not worth. Sums are
+fixed-point, so all ways, and any dealing of the rows, give the same trees.
 
-Margins of rows are kept in a written table that is renewed every RENEW rounds; between, tasks add the trees since.
+Of more rows, margins are kept in a written table that is renewed every RENEW rounds; between, tasks add the trees since.
 
 Defined cases: null and NaN features count as zero; rows without a class do not train; ties of splits go to the first column and bin;
 one class gives trees without splits; an empty table gives a model without classes, which predicts null.
@@ -15,17 +17,24 @@ one class gives trees without splits; an empty table gives a model without class
 
 from __future__ import annotations
 
+import base64
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..scratch import written
+from .copies import packed_rows, slots, to_each_task, unpacked
 
-BINS, ROWS_PER_TASK, RENEW = 64, 100_000, 10
+#: Sums of as many rows are exact as doubles: each is below 2^31.
+BINS, ROWS_PER_TASK, RENEW = 64, 2_000_000, 10
+#: Rows from which several tasks grow the classes; rows that are handled together.
+BARRIER_ROWS, BLOCK = 300_000, 1 << 15
 #: Strength of the penalty on leaf values, least sum of second derivatives in a child, unit of the sums.
 PENALTY, LEAST_WEIGHT, UNIT = 1.0, 1.0, 1.0 / (1 << 30)
 
@@ -39,14 +48,21 @@ class Tree:
     value: np.ndarray
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(bins), np.int64)
-        while True:
-            column = self.column[at]
-            inner = column >= 0
-            if not inner.any():
-                return self.value[at]
-            rows = np.nonzero(inner)[0]
-            at[rows] = 2 * at[rows] + 1 + (bins[rows, column[rows]] > self.bin[at[rows]])
+        """Value of each row's leaf. Leaves hand their value down to the lowest level on the left, so all rows walk as far."""
+        column, cut, value = np.maximum(self.column, 0), np.where(self.column >= 0, self.bin, 255), self.value.copy()
+        inner = len(column) // 2
+        for n in np.nonzero(self.column[:inner] < 0)[0]:
+            value[2 * n + 1] = value[n]
+        flat, width, out = np.ascontiguousarray(bins).ravel(), bins.shape[1], np.empty(len(bins))
+        if not width:
+            return np.full(len(bins), self.value[0])
+        for first in range(0, len(bins), BLOCK):
+            row = np.arange(first, min(first + BLOCK, len(bins))) * width
+            at = np.zeros(len(row), np.int64)
+            for _ in range(int(np.log2(len(column) + 1)) - 1):
+                at = 2 * at + 1 + (flat.take(row + column.take(at)) > cut.take(at))
+            out[first:first + BLOCK] = value.take(at)
+        return out
 
 
 @dataclass
@@ -162,25 +178,30 @@ class Round:
         rows = np.nonzero(self.drawn(key))[0]
         bins, y = bins[rows], y[rows]
         p = softmax(margins[rows])
-        cell = bins + np.arange(self.width) * BINS
         for k in range(self.classes):
             if not self.open[k]:
                 continue
-            g = np.round((p[:, k] - (y == k)) / UNIT).astype(np.int64)
-            h = np.round(np.maximum(2 * p[:, k] * (1 - p[:, k]), 1e-16) / UNIT).astype(np.int64)
             at = self.nodes_of(k, bins)
-            for node in self.open[k]:
-                mine = np.nonzero(at == node)[0]
-                if not len(mine):
-                    continue
-                both = np.zeros((2, self.width * BINS), np.int64)
-                where = cell[mine].ravel()
-                for sums, x in zip(both, (g, h)):
-                    # Halves are added apart, as weights of a count are doubles.
-                    high, low = x[mine] >> 20, x[mine] & 0xFFFFF
-                    sums += np.bincount(where, np.repeat(high, self.width), self.width * BINS).astype(np.int64) << 20
-                    sums += np.bincount(where, np.repeat(low, self.width), self.width * BINS).astype(np.int64)
-                yield k, node, both
+            there = np.bincount(at, minlength=len(self.trees[k].column))
+            for node, both in zip(self.open[k], self.sums(k, bins, *gradients(p[:, k], y == k), at, self.open[k])):
+                if there[node]:
+                    yield k, node, both
+
+    def sums(self, k: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray, at: np.ndarray, nodes: Sequence[int]) -> np.ndarray:
+        """Of some nodes, sums by column and bin of the rows that stand there; of columns that are not allowed, nothing."""
+        slot = np.full(len(self.trees[k].column), -1)
+        slot[nodes] = np.arange(len(nodes))
+        out = np.zeros((len(nodes), 2, self.width, BINS), np.int64)
+        for first in range(0, len(at), BLOCK):
+            part = slice(first, first + BLOCK)
+            mine = slot.take(at[part])
+            rows = np.nonzero(mine >= 0)[0]
+            some, base, gs, hs = bins[part], mine[rows] * BINS, g[part][rows], h[part][rows]
+            for j in self.allowed[k]:
+                where = base + some[:, j].take(rows)
+                for i, x in enumerate((gs, hs)):
+                    out[:, i, j] += np.bincount(where, x, len(nodes) * BINS).astype(np.int64).reshape(len(nodes), BINS)
+        return out.reshape(len(nodes), 2, self.width * BINS)
 
     def nodes_of(self, k: int, bins: np.ndarray) -> np.ndarray:
         tree, at = self.trees[k], np.zeros(len(bins), np.int64)
@@ -192,44 +213,97 @@ class Round:
 
     def best(self, k: int, both: np.ndarray) -> tuple[float, float, int, int, float]:
         """Sums of a node, and column, bin and gain of its best split (-1: none)."""
-        g, h = (x.reshape(self.width, BINS) for x in both)
+        g, h = (x.reshape(self.width, BINS)[self.allowed[k]] for x in both)
         total_g, total_h = int(g[0].sum()) * UNIT, int(h[0].sum()) * UNIT
         left_g, left_h = np.cumsum(g, axis=1)[:, :-1] * UNIT, np.cumsum(h, axis=1)[:, :-1] * UNIT
         right_g, right_h = total_g - left_g, total_h - left_h
         gain = left_g ** 2 / (left_h + PENALTY) + right_g ** 2 / (right_h + PENALTY) - total_g ** 2 / (total_h + PENALTY)
         gain[(left_h < LEAST_WEIGHT) | (right_h < LEAST_WEIGHT)] = -np.inf
-        gain = gain[self.allowed[k]]
         j, b = divmod(int(gain.argmax()), BINS - 1)
         if not gain[j, b] > 1e-6:
             return total_g, total_h, -1, 0, 0.0
         return total_g, total_h, int(self.allowed[k][j]), b, float(gain[j, b])
 
+    def split(self, k: int, found: dict[int, tuple[float, float, int, int, float]], last: bool) -> list[tuple[int, float]]:
+        """Apply the splits of a level of one class; their columns and gains."""
+        tree, following, made = self.trees[k], [], []
+        for node in self.open[k]:
+            g, h, column, b, gain = found.get(node, (0.0, 0.0, -1, 0, 0.0))
+            tree.value[node] = -g / (h + PENALTY)
+            if column >= 0 and not last:
+                tree.column[node], tree.bin[node] = column, b
+                made.append((column, gain))
+                following += [2 * node + 1, 2 * node + 2]
+        self.open[k] = following
+        return made
+
     def grow(self, found: dict[tuple[int, int], tuple[float, float, int, int, float]], last: bool, gains: np.ndarray) -> bool:
         """Apply the splits of a level; whether any node is open."""
-        for k, tree in enumerate(self.trees):
-            following = []
-            for node in self.open[k]:
-                g, h, column, b, gain = found.get((k, node), (0.0, 0.0, -1, 0, 0.0))
-                tree.value[node] = -g / (h + PENALTY)
-                if column >= 0 and not last:
-                    tree.column[node], tree.bin[node] = column, b
-                    gains[column] += gain
-                    following += [2 * node + 1, 2 * node + 2]
-            self.open[k] = following
+        for k in range(self.classes):
+            for column, gain in self.split(k, {node: v for (c, node), v in found.items() if c == k}, last):
+                gains[column] += gain
         return any(self.open)
 
+    def grow_class(self, k: int, depth: int, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> list[list[tuple[int, float]]]:
+        """Grow the tree of one class from rows at hand (``bins`` by columns); columns and gains of the splits by level.
 
-def _grow_here(model: Boosted, bins: np.ndarray, y: np.ndarray, key: np.ndarray, rounds: int, subsample: float, columns: float, seed: int) -> None:
-    margins = np.zeros((len(y), len(model.classes)))
+        Of two children the smaller one's sums are made, and taken from their parent's for the other.
+        """
+        tree, at, levels = self.trees[k], np.zeros(len(g), np.int64), []
+        known = dict(zip([0], self.sums(k, bins, g, h, at, [0])))
+        for level in range(depth + 1):
+            there = np.bincount(at, minlength=len(tree.column))
+            levels.append(self.split(k, {n: self.best(k, known[n]) for n in self.open[k] if there[n]}, level == depth))
+            if not self.open[k]:
+                break
+            column = tree.column.take(at)
+            for first in range(0, len(at), BLOCK):
+                rows = first + np.nonzero(column[first:first + BLOCK] >= 0)[0]
+                here = at[rows]
+                # Only rows of this level's nodes stand in nodes with a column.
+                at[rows] = 2 * here + 1 + (bins[rows, column[rows]] > tree.bin.take(here))
+            there = np.bincount(at, minlength=len(tree.column))
+            pairs = [(n, n + 1) if there[n] <= there[n + 1] else (n + 1, n) for n in self.open[k][::2]]
+            made = self.sums(k, bins, g, h, at, [small for small, _ in pairs])
+            known = {n: x for (small, large), x in zip(pairs, made) for n, x in ((small, x), (large, known[(small - 1) // 2] - x))}
+        return levels
+
+
+def gradients(p: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients and second derivatives of one class in whole units."""
+    return np.round((p - own) / UNIT), np.round(np.maximum(2 * p * (1 - p), 1e-16) / UNIT)
+
+
+def _grow_here(model: Boosted, bins: np.ndarray, y: np.ndarray, key: np.ndarray, rounds: int, subsample: float, columns: float, seed: int,
+               mine: Sequence[int], tell) -> None:
+    """All rounds from rows at hand: the trees of the classes ``mine`` are grown here, ``tell`` gives those of all tasks for them."""
+    margins, by_column = np.zeros((len(y), len(model.classes))), np.asfortranarray(bins)
     for number in range(rounds):
         now = Round(number, model, subsample, columns, seed)
+        rows = np.nonzero(now.drawn(key))[0]
+        p, own = softmax(margins[rows]), y[rows]
+        some = np.empty((len(rows), bins.shape[1]), np.uint8, order="F")
+        for j in range(bins.shape[1]):
+            some[:, j] = by_column[:, j].take(rows)
+        grown = {}
+        for k in mine:
+            levels = now.grow_class(k, model.depth, some, *gradients(p[:, k], own == k))
+            grown[k] = (now.trees[k], levels)
+        grown = tell(grown)
         for level in range(model.depth + 1):
-            found = {(k, node): now.best(k, both) for k, node, both in now.histograms(bins, y, key, margins)}
-            if not now.grow(found, level == model.depth, model.gains):
-                break
-        for k, tree in enumerate(now.trees):
+            for k in range(len(model.classes)):
+                for column, gain in (grown[k][1][level] if level < len(grown[k][1]) else ()):
+                    model.gains[column] += gain
+        trees = [grown[k][0] for k in range(len(model.classes))]
+        for k, tree in enumerate(trees):
             margins[:, k] += model.rate * tree.leaves(bins)
-        model.rounds.append(now.trees)
+        model.rounds.append(trees)
+
+
+def _told(grown: dict) -> dict:
+    """What all tasks of the barrier have grown in a round."""
+    said = BarrierTaskContext.get().allGather(base64.b64encode(pickle.dumps(grown)).decode())
+    return {k: v for text in said for k, v in pickle.loads(base64.b64decode(text)).items()}
 
 
 def _rows(batches: Iterator[pa.RecordBatch], width: int, classes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -255,27 +329,27 @@ def fit(train: DataFrame, features: Sequence[str], target: str = "attack_type",
         return model
     n, spark, width, k = cuts["n"], train.sparkSession, len(features), len(classes)
     tasks = -(-n // rows_per_task)
+    bins_of = lambda batch: model.binned(np.stack([_numbers(batch.column(2 + j)) for j in range(width)], axis=1)) if width else np.zeros((batch.num_rows, 0), np.uint8)
 
-    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bins = model.binned(np.stack([_numbers(batch.column(2 + j)) for j in range(width)], axis=1)) if width else np.zeros((batch.num_rows, 0), np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(batch.column(0)).astype(np.int64) - 1), batch.column(1), pa.array([b.tobytes() for b in bins], pa.binary()),
-                 pa.array([bytes(8 * k)] * batch.num_rows, pa.binary())], ["y", "key", "bins", "margins"])
-
-    table = written(rows.mapInArrow(binned, "y bigint, key bigint, bins binary, margins binary").repartition(tasks), "binned")
     if tasks == 1:
+        def packed(batch: pa.RecordBatch) -> list[np.ndarray]:
+            return [np.asarray(batch.column(0)).astype(np.int64) - 1, np.asarray(batch.column(1)).astype(np.int64), bins_of(batch)]
+
+        growers = max(1, min(k, slots(spark))) if n > BARRIER_ROWS else 1
+        table = written(packed_rows(rows, packed), "binned")
+
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = list(_rows(batches, width, k))
-            bins, y, keys = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            y, keys, bins = unpacked(batches, [(np.int64, 1), (np.int64, 1), (np.uint8, width)])
+            me = BarrierTaskContext.get().partitionId() if growers > 1 else 0
             grown = Boosted(features, classes, model.cuts, rate, depth, gains=np.zeros(width))
-            _grow_here(grown, bins, y, keys, rounds, subsample, columns, seed)
-            for r, trees in enumerate(grown.rounds):
+            _grow_here(grown, bins, y[:, 0], keys[:, 0], rounds, subsample, columns, seed, range(me, k, growers), _told if growers > 1 else dict)
+            for r, trees in enumerate(grown.rounds if me == 0 else ()):
                 for c, t in enumerate(trees):
                     yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([c]), pa.array([t.column.tolist()]), pa.array([t.bin.tolist()]), pa.array([t.value.tolist()]),
                                                       pa.array([grown.gains.tolist() if r + c == 0 else None], pa.list_(pa.float64()))], ["r", "c", "column", "bin", "value", "gains"])
 
-        made = table.coalesce(1).mapInArrow(whole, "r bigint, c bigint, column array<bigint>, bin array<bigint>, value array<double>, gains array<double>").collect()
+        made = to_each_task(table, growers).mapInArrow(
+            whole, "r bigint, c bigint, column array<bigint>, bin array<bigint>, value array<double>, gains array<double>", barrier=growers > 1).collect()
         made.sort(key=lambda r: (r["r"], r["c"]))
         for r in made:
             if r["c"] == 0:
@@ -284,6 +358,13 @@ def fit(train: DataFrame, features: Sequence[str], target: str = "attack_type",
             model.gains = np.array(r["gains"]) if r["gains"] is not None else model.gains
         return model
 
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.asarray(batch.column(0)).astype(np.int64) - 1), batch.column(1), pa.array([b.tobytes() for b in bins_of(batch)], pa.binary()),
+                 pa.array([bytes(8 * k)] * batch.num_rows, pa.binary())], ["y", "key", "bins", "margins"])
+
+    table = written(rows.mapInArrow(binned, "y bigint, key bigint, bins binary, margins binary").repartition(tasks), "binned")
     renewed = 0
     for number in range(rounds):
         if number - renewed == RENEW:
