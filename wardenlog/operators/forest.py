@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 
 SAMPLE = 256
+#: Rows that walk the trees together: what they stand at then stays in the processor's cache.
+BLOCK = 256
 NODES = T.StructType([
     T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()),
@@ -120,23 +122,26 @@ class Forest:
         right = np.where(feature >= 0, table["right"] + offset, np.arange(len(table)))
         roots = start[sorted(table["tree"].unique())].to_numpy().astype(np.int64)
         shared = df.sparkSession.sparkContext.broadcast(
-            (feature, cut, left.astype(np.int64), right.astype(np.int64), table["depth"].to_numpy(), roots)
+            (np.maximum(feature, 0).astype(np.int64), cut, np.stack([right, left], axis=1).astype(np.int64).ravel(), table["depth"].to_numpy(), roots)
         )
         norm = average_path(self.sample) or 1.0
 
         @F.pandas_udf("double")
         def isolation(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            feature, cut, left, right, depth, roots = shared.value
+            column, cut, children, depth, roots = shared.value
             steps = int(math.ceil(math.log2(SAMPLE))) + 1
             for batch in batches:
                 x = np.array(batch.tolist(), dtype=float)
-                at = np.tile(roots, (len(x), 1))
-                row = np.arange(len(x))[:, None]
-                for _ in range(steps):
-                    f = feature[at]
-                    below = x[row, np.maximum(f, 0)] <= cut[at]
-                    at = np.where(below, left[at], right[at])
-                yield pd.Series(np.power(2.0, -depth[at].mean(axis=1) / norm))
+                path = np.zeros(len(x))
+                for first in range(0, len(x), BLOCK):
+                    part = x[first:first + BLOCK]
+                    flat, row = part.ravel(), (np.arange(len(part)) * x.shape[1])[:, None]
+                    at = np.tile(roots, (len(part), 1))
+                    for _ in range(steps):
+                        below = flat.take(row + column.take(at)) <= cut.take(at)
+                        at = children.take(2 * at + below)
+                    path[first:first + BLOCK] = depth.take(at).mean(axis=1)
+                yield pd.Series(np.power(2.0, -path / norm))
 
         return df.withColumn(name, isolation(vector))
 

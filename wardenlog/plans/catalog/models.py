@@ -228,18 +228,35 @@ def m3_same(spark, sf_dir):
     data, train, names, _ = engineered(spark, sf_dir)
     s = scaling.fit_scaler(train, names)
     fitted = forest.fit_forest(train, s.vector())
-    nodes = F.broadcast(fitted.nodes(spark).select("tree", "node", "feature", "threshold", "left", "right", "depth"))
-    walk = data.select("event_id", s.vector().alias("x"), F.explode(F.sequence(F.lit(0), F.lit(fitted.trees - 1))).alias("tree")).withColumn("node", F.lit(0))
-    for _ in range(8):
-        down = F.when(F.col("feature") < 0, F.col("node")).when(
-            F.element_at("x", F.greatest("feature", F.lit(0)) + 1) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
-        walk = walk.join(nodes, ["tree", "node"]).select("event_id", "x", "tree", down.alias("node"))
-    paths = walk.join(nodes, ["tree", "node"]).groupBy("event_id").agg(F.avg("depth").alias("path"))
+    nodes = fitted.nodes(spark)
+    size = nodes.agg(F.max("node")).first()[0] + 1
+    # One number for a node, so that a join looks it up by place; a leaf leads to itself.
+    at, is_leaf = (F.col("tree") * size).cast("bigint"), F.col("feature") < 0
+    numbered = written(nodes.select(
+        (at + F.col("node")).alias("node"), F.greatest("feature", F.lit(0)).alias("feature"), "threshold",
+        *((at + F.when(is_leaf, F.col("node")).otherwise(F.col(c))).alias(c) for c in ("left", "right")), "depth"), "forest-nodes", _NODES)
+    # The row's values are made before it is repeated for each tree.
+    rows = data.select("event_id", s.vector().alias("x"))
+    walk = rows.withColumn("node", F.explode(F.sequence(F.lit(0), F.lit((fitted.trees - 1) * size), F.lit(size)))).withColumn("node", F.col("node").cast("bigint"))
+    paths = _walked(walk, numbered, 8, ["event_id"], "depth").groupBy("event_id").agg(F.avg("depth").alias("path"))
     again = paths.select("event_id", F.pow(F.lit(2.0), -F.col("path") / F.lit(forest.average_path(fitted.sample) or 1.0)).alias("again"))
     scored = fitted.score(data, s.vector()).select("event_id", "isolation_raw")
     return _differences(scored.join(again, "event_id", "left"), F.col("isolation_raw"), F.col("again"))
 
 
+#: Nodes of a model are a small table, however many rows it was fitted on: one file.
+_NODES = 1
+
+
+def _walked(walk, nodes, steps, keep, value):
+    """Rows at a ``node`` go down ``steps`` levels by their values ``x``; gives ``keep`` and the ``value`` of the node where they end."""
+    inner = F.broadcast(nodes.select("node", "feature", "threshold", "left", "right"))
+    for _ in range(steps):
+        down = F.when(F.get("x", F.col("feature")) <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))
+        walk = walk.join(inner, "node").select(*keep, "x", down.alias("node"))
+    return walk.join(F.broadcast(nodes.select("node", value)), "node").select(*keep, value)
+
+
 def _differences(rows, a, b):
     return rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(~F.coalesce(F.abs(a - b) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(a)), F.lit(False))).alias("different"))
 
@@ -308,16 +325,23 @@ SELECT count(*) AS events, CAST(0 AS BIGINT) AS different, CAST(150 AS BIGINT) A
 def m12_same(spark, sf_dir):
     """The stored trees, walked node by node in SQL, name the same class for each anomaly with the same probability."""
     fitted, data = the_boosted(spark, sf_dir), engineered(spark, sf_dir)[0].where("label = 'anomaly'")
-    nodes = written(fitted.nodes(spark), "boosted-nodes")
-    value = {f: F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in fitted.features}
-    rows = data.select("event_id", F.create_map(*[c for f, v in value.items() for c in (F.lit(f), v)]).alias("x"))
-    walk = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(len(fitted.rounds) - 1)))).withColumn(
-        "class", F.explode(F.array(*map(F.lit, fitted.classes)))).withColumn("node", F.lit(0))
-    for _ in range(fitted.depth):
-        at = walk.join(F.broadcast(nodes.select("round", "class", "node", "feature", "threshold")), ["round", "class", "node"])
-        right = F.when(F.col("feature").isNotNull(), 2 * F.col("node") + 1 + (F.element_at("x", F.coalesce("feature", F.lit(fitted.features[0]))) > F.col("threshold")).cast("int"))
-        walk = at.select("event_id", "x", "round", "class", F.coalesce(right, "node").alias("node"))
-    leaves = walk.join(F.broadcast(nodes.select("round", "class", "node", "value")), ["round", "class", "node"])
+    nodes = written(fitted.nodes(spark), "boosted-nodes", _NODES)
+    size, trees = 2 ** (fitted.depth + 1) - 1, len(fitted.rounds) * len(fitted.classes)
+    # One number for a node, so that a join looks it up by place; a leaf leads to itself.
+    place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c)) - 1
+    at = (F.col("round") * len(fitted.classes) + place(fitted.classes, "class")) * size
+    leaf = F.col("feature").isNull()
+    numbered = written(nodes.select(
+        (at + F.col("node")).alias("node"), F.when(leaf, 0).otherwise(place(fitted.features, "feature")).cast("int").alias("feature"),
+        F.coalesce("threshold", F.lit(0.0)).alias("threshold"), *((at + F.when(leaf, F.col("node")).otherwise(2 * F.col("node") + i)).alias(c)
+                                                                  for i, c in ((1, "left"), (2, "right"))), "value"), "numbered-nodes", _NODES)
+    value = [F.coalesce(F.nanvl(F.col(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in fitted.features]
+    # The row's values are made before it is repeated for each tree.
+    rows = data.select("event_id", F.array(*value).alias("x"))
+    walk = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).select(
+        "event_id", "x", F.get(F.array(*map(F.lit, fitted.classes)), F.col("tree") % len(fitted.classes)).alias("class"),
+        (F.col("tree") * size).cast("bigint").alias("node"))
+    leaves = _walked(walk, numbered, fitted.depth, ["event_id", "class"], "value")
     margins = leaves.groupBy("event_id", "class").agg(F.sum("value").alias("margin"))
     best = margins.groupBy("event_id").agg(F.max_by("class", "margin").alias("named"), F.max("margin").alias("top"), F.collect_list("margin").alias("all"))
     best = best.select("event_id", "named", F.aggregate("all", F.lit(0.0), lambda s, m: s + F.exp(m - F.col("top"))).alias("odds"))
